@@ -16,12 +16,18 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read_back(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.bpe_codec import round_trip_digests
 
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op9_byte_bpe,)}
+QUERIES = {f.__name__: f for f in (op2_token_store, op7_quality, op9_byte_bpe,)}
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
