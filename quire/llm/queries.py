@@ -22,6 +22,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read_back(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.secret_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.quality import classify
 
@@ -34,6 +40,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_store, op7_quality, op9_byte_bpe,)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.pii import detect
+
+    return detect(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_store, op5_secret_scan, op7_quality, op9_byte_bpe, op10_pii)}
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
