@@ -33,11 +33,21 @@ WINDOW = 16
 CUT_BITS = 9
 MIN_CHUNK, MAX_CHUNK = 128, 4096
 #: Distinct words whose ids a worker remembers, up to twice so many.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 300_000
 
 OBJECTS = "kind string, key binary, width int, n long, body binary, doc_id long, seq long, keys array<binary>, sizes array<int>, root binary"
 
 
+class _Known(dict):
+    """A dictionary that learns what it misses."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        return self.learn(word)
+
+
 class WordTokenizer:
     """Ids of texts by the tokenizers library, word by word.
 
@@ -59,7 +69,7 @@ class WordTokenizer:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = _Known(self._word)
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -91,9 +101,8 @@ class WordTokenizer:
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return self.encode_whole(text)
         if len(self.words) > CACHE_WORDS:
-            self.words, self.older = {}, self.words
-        words, learn = self.words, self._word
-        return b"".join([words[w] if w in words else learn(w) for w in text.split()])
+            self.words, self.older = _Known(self._word), self.words
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def tokenizer(path: str) -> WordTokenizer:
