@@ -28,6 +28,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.ngram_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.quality import classify
 
@@ -46,6 +52,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_store, op5_secret_scan, op7_quality, op9_byte_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_store, op5_secret_scan, op6_ngram_join, op7_quality, op9_byte_bpe, op10_pii)}
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
