@@ -38,15 +38,17 @@ def _seeded(k: int):
     return lambda s: F.xxhash64(s, F.lit(k))
 
 
-def fingerprint(text: Column) -> Column:
-    """struct(whole array<long>, n_parts long, parts array<long>); a null text counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    paragraphs = F.transform(F.split(text, "\n", -1), lambda p: F.md5(p.cast("binary")))
-    sentences = F.filter(F.split(text, "(?<=[.!?]) |\n", -1), lambda s: s != "")
-    hashes = [F.transform(sentences, _seeded(k)) for k in range(HASHES)]
-    whole = [_sum(paragraphs, lambda p, k=k: F.xxhash64(p, F.lit(k)).bitwiseAND(F.lit(MASK32)), MASK32) for k in range(WHOLE_LANES)]
-    parts = [_sum(h, lambda x, j=j: F.shiftrightunsigned(x, j).bitwiseAND(F.lit(LANE_ONES)), LANE_MASK) for h in hashes for j in range(LANE)]
-    return F.struct(F.array(*whole).alias("whole"), F.size(sentences).cast("long").alias("n_parts"), F.array(*parts).alias("parts"))
+def with_fingerprint(df: DataFrame, text_col: str, out: str = "fingerprint") -> DataFrame:
+    """Adds struct(whole array<long>, n_parts long, parts array<long>); a null text counts
+    as empty.  The arrays of hashes are columns of their own on the way, so that a text is
+    split once and not once a lane."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    df = df.withColumns({"_p": F.transform(F.split(text, "\n", -1), lambda p: F.md5(p.cast("binary"))), "_s": F.filter(F.split(text, "(?<=[.!?]) |\n", -1), lambda s: s != "")})
+    df = df.withColumns({f"_h{k}": F.transform("_s", _seeded(k)) for k in range(HASHES)} | {"_n": F.size("_s").cast("long")})
+    whole = [_sum(F.col("_p"), lambda p, k=k: F.xxhash64(p, F.lit(k)).bitwiseAND(F.lit(MASK32)), MASK32) for k in range(WHOLE_LANES)]
+    parts = [_sum(F.col(f"_h{k}"), lambda x, j=j: F.shiftrightunsigned(x, j).bitwiseAND(F.lit(LANE_ONES)), LANE_MASK) for k in range(HASHES) for j in range(LANE)]
+    df = df.withColumn(out, F.struct(F.array(*whole).alias("whole"), F.col("_n").alias("n_parts"), F.array(*parts).alias("parts")))
+    return df.drop("_p", "_s", "_n", *(f"_h{k}" for k in range(HASHES)))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -117,10 +119,10 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     its own successor.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("f", fingerprint(F.col("text"))), ["text", "f"], "doc_id", "text")
-    n = F.char_length("text").cast("long")
-    rows = rows.withColumn("n_chars", n).withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), substring(next_text, 1, int(n_chars div 4)))"))
-    rows = rows.select("doc_id", "n_chars", "f", "next_f", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("e"))
+    rows = with_next(with_fingerprint(rows, "text", "f"), ["text", "f"], "doc_id", "text")
+    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), substring(next_text, 1, int(n_chars div 4)))"))
+    rows = with_fingerprint(rows.drop("text", "next_text"), "edited", "e").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("next_f")).alias("near_next"),
