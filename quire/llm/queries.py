@@ -40,6 +40,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.bpe_codec import round_trip_digests
 
@@ -52,6 +58,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_store, op5_secret_scan, op6_ngram_join, op7_quality, op9_byte_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_store, op5_secret_scan, op6_ngram_join, op7_quality, op8_mixing, op9_byte_bpe, op10_pii)}
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
