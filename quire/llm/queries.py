@@ -22,6 +22,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read_back(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.hnsw import neighbours
+
+    return neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.secret_scan import scan
 
@@ -58,6 +64,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_store, op5_secret_scan, op6_ngram_join, op7_quality, op8_mixing, op9_byte_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_store, op3_hnsw, op5_secret_scan, op6_ngram_join, op7_quality, op8_mixing, op9_byte_bpe, op10_pii)}
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
