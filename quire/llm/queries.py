@@ -28,6 +28,12 @@ def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.line_dedup import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.secret_scan import scan
 
@@ -64,6 +70,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_store, op3_hnsw, op5_secret_scan, op6_ngram_join, op7_quality, op8_mixing, op9_byte_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_store, op3_hnsw, op4_line_dedup, op5_secret_scan, op6_ngram_join, op7_quality, op8_mixing, op9_byte_bpe, op10_pii)}
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}

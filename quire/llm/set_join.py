@@ -179,13 +179,13 @@ def may_link(na, pa_, sa, nb, pb, sb) -> np.ndarray:
     need = required(na, nb)
     ok = (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)) & (np.minimum(na - pa_, nb - pb) >= need)
     if sa is not None:
-        ok &= np.bitwise_count(sa ^ sb).astype(np.int64) <= na + nb - 2 * need
+        ok &= np.bitwise_count((sa ^ sb).astype(np.uint64)).astype(np.int64) <= na + nb - 2 * need
     return ok
 
 
 POSTING = "h long, body binary"
-#: What a posting's body holds.
-BODY = np.dtype([("name", "<i8"), ("sig", "<i8"), ("ord", "<i4"), ("n", "<i4"), ("pos", "<i4")])
+#: What a posting's body holds; the big end of ``ord`` first, so that sorted bodies of a set begin with the least.
+BODY = np.dtype([("name", "<i8"), ("sig", "<i8"), ("ord", ">i4"), ("n", "<i4"), ("pos", "<i4")])
 
 
 def postings(token: np.ndarray, name, sig, order, n, pos) -> pa.RecordBatch:
@@ -257,8 +257,6 @@ def first_round(signed: bool) -> Callable:
                 yield group(h[:cut], x[:cut], marked, done)
                 h, x, marked, done = h[cut:], x[cut:], False, 0
             if len(h) > GROUP_ROWS:
-                out = x.copy()
-                out["ord"][: len(out)] = x["ord"]
                 yield group(h, x, True, done)
                 lead = np.argsort(x["ord"], kind="stable")[:2]  # goes on with the group's first rows
                 h, x, marked, done = h[lead], x[lead], True, 2
