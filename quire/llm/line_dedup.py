@@ -152,12 +152,11 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return links.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("name")).distinct()
 
     gone = written(losers(found.filter("a is not null").select("a", "b")), "line-losers")
-    live = found.filter("h is not null").select("h", "body")
+    live = found.filter("h is not null").select("h", "name", "body")
     if not live.isEmpty():
-        name_of = F.expr("conv(hex(reverse(substring(body, 1, 8))), 16, -10)").cast("long")
         at = F.floor((F.col("first.doc_id") - F.lit(int(low))) / F.lit(max(1, int(high) - int(low))) * F.lit(2.0**31 - 2))
         state = firsts.join(gone.withColumn("gone", F.lit(True)), "name", "left").select("name", (F.coalesce(at, F.lit(-1)) - F.when(F.col("gone"), F.lit(1 << 62)).otherwise(0)).cast("long").alias("place"))
-        marked = live.withColumn("name", name_of).join(state, "name").select("h", "body", "place")
+        marked = live.join(state, "name").select("h", "body", "place")
         rest = written(sj.sort_postings(marked).mapInArrow(_open_pairs, "a long, b long").distinct(), "line-rest")
         if not rest.isEmpty():
             gone = written(gone.union(losers(rest)).distinct(), "line-losers")

@@ -147,10 +147,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     edges = links(found.filter("a is not null").select("a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
     joined = components(edges)
-    live = found.filter("h is not null").select("h", "body")
-    name_of = F.expr("conv(hex(reverse(substring(body, 1, 8))), 16, -10)").cast("long")
+    live = found.filter("h is not null").select("h", F.col("name").alias("node"), "body")
     if not live.isEmpty():
-        live = live.withColumn("node", name_of).join(joined, "node", "left").select("h", "body", F.coalesce("root", "node").alias("root"))
+        live = live.join(joined, "node", "left").select("h", "body", F.coalesce("root", "node").alias("root"))
         rest = written(sj.sort_postings(live).mapInArrow(_open_pairs, "a long, b long").distinct(), "rest")
         if not rest.isEmpty():
             more = links(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))

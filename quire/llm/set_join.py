@@ -200,20 +200,20 @@ def bodies(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], BODY, len(column), int(offsets[0])) if len(column) else np.zeros(0, BODY)
 
 
-FOUND = "a long, b long, h long, body binary"
+FOUND = "a long, b long, h long, name long, body binary"
 
 
 def _found(a, b, h, body) -> pa.RecordBatch:
     n, m = len(a), len(h)
     none = lambda k, t: pa.nulls(k, t)
     live = postings(h, body["name"], body["sig"], body["ord"], body["n"], body["pos"])
-    cols = [pa.array(a), pa.array(b), none(n, pa.int64()), none(n, pa.binary())], [none(m, pa.int64()), none(m, pa.int64()), live[0], live[1]]
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(*cols)], ["a", "b", "h", "body"])
+    cols = [pa.array(a), pa.array(b), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.binary())], [none(m, pa.int64()), none(m, pa.int64()), live[0], pa.array(body["name"].astype(np.int64)), live[1]]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(*cols)], ["a", "b", "h", "name", "body"])
 
 
 def first_round(signed: bool) -> Callable:
     """Over postings sorted by (h, body): candidate pairs (a, b), and again the postings
-    (h, body) of groups in which some pairs were left out."""
+    (h, name, body) of groups in which some pairs were left out."""
 
     def group(h: np.ndarray, x: np.ndarray, marked: bool, done: int) -> pa.RecordBatch:
         """Whole groups; ``marked``: the first one has been passed on in part, ``done`` rows of it before."""
