@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import set_join as sj
@@ -159,3 +159,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_name = labelled.join(classes, "root").select("name", "component_id")
     out = info.join(by_name, "name", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """The rows of ``docs`` whose id names their component, one a component.
+
+    Of several rows of that id the one of the least text stays.  Rows without an id stay
+    unless their component has one.
+    """
+    classes = near_duplicates(docs, id_col, text_col, size)
+    keep = classes.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    if classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col)))
+    return kept.withColumn("_k", first).filter((F.col("_k") == 1) | F.col(id_col).isNull()).select(*docs.columns)
