@@ -103,10 +103,11 @@ def with_next(docs: DataFrame, carried: list[str], id_col: str, tie_col: str) ->
     rows = rows.join(F.broadcast(firsts) if small else firsts, "_b")
     own, visit = F.struct(F.col("_b").alias("g"), F.lit(False).alias("v")), F.struct(F.col("_before").alias("g"), F.lit(True).alias("v"))
     rows = rows.withColumn("_at", F.explode(F.when(F.col(id_col).eqNullSafe(F.col("_first")), F.array(own, visit)).otherwise(F.array(own))))
-    w = Window.partitionBy("_at.g").orderBy(F.col("_at.v"), F.col(id_col).asc_nulls_first(), tie_col)
-    for c in carried:
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(w))
-    return rows.filter(~F.col("_at.v")).drop("_b", "_first", "_before", "_at")
+    # flat columns and one projection: all leads share one exchange and one sort
+    rows = rows.select(*docs.columns, F.col("_at.g").alias("_g"), F.col("_at.v").alias("_v"))
+    w = Window.partitionBy("_g").orderBy("_v", F.col(id_col).asc_nulls_first(), tie_col)
+    rows = rows.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried))
+    return rows.filter(~F.col("_v")).drop("_g", "_v")
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
