@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,15 +79,18 @@ class WordTokenizer:
             self.pieces.clear()
         byte_char = self.byte_char
         text = piece if piece.isascii() else "".join([byte_char[b] for b in piece.encode()])
-        self.pieces[piece] = out = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        self.pieces[piece] = out = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         return out
 
     def _word(self, word: str) -> bytes:
         got = self.older.get(word)
         if got is None:
-            if len(word) < 256 and self.PLAIN.fullmatch(word):
-                get = self.pieces.get
-                got = b"".join([get(p) or self._piece(p) for p in self.PIECES.findall(word.lower())])
+            get, low = self.pieces.get, word.lower()
+            if len(word) < 256 and (word.isascii() and word.isprintable() or self.PLAIN.fullmatch(word)):
+                if low.isalpha():
+                    got = get(low) or self._piece(low)
+                else:
+                    got = b"".join([get(p) or self._piece(p) for p in self.PIECES.findall(low)])
             else:
                 got = self.encode_whole(word)
         if len(word) <= 64:
