@@ -87,8 +87,8 @@ def _tokens(wanted: np.ndarray | None):
                 for k in np.flatnonzero(on):
                     if (name := int(sets.name[k])) not in seen:
                         seen.add(name)
-                        rows.append((name, sets.token[sets.first[k] : sets.first[k] + sets.size[k]].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["name", "tokens"])
+                        rows.append((name, sets.token[sets.first[k] : sets.first[k] + sets.size[k]]))
+                yield sj.token_rows(rows)
 
     return run
 
@@ -144,9 +144,9 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         names = written(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), "line-names")
         if names.count() <= sj.SENT_NAMES:
             sent = np.sort(np.array([r[0] for r in names.toLocalIterator()], np.int64))
-            sets = rows.mapInArrow(_tokens(sent), "name long, tokens binary")
+            sets = rows.mapInArrow(_tokens(sent), sj.TOKENS)
         else:
-            sets = rows.mapInArrow(_tokens(None), "name long, tokens binary").join(names, "name", "left_semi")
+            sets = rows.mapInArrow(_tokens(None), sj.TOKENS).join(names, "name", "left_semi")
         links = sj.verified(pairs, written(sets, "line-sets"))
         links = links.join(firsts.select(F.col("name").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("name").alias("b"), F.col("first").alias("fb")), "b")
         return links.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("name")).distinct()

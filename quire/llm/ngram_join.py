@@ -70,11 +70,15 @@ def _prefixes(size: int, counts: np.ndarray):
 
 def _tokens(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for _, texts in sj.slices(batch[1]):
-                sets = _sets(texts, size)
-                ends = sets.first + sets.size
-                yield pa.RecordBatch.from_arrays([pa.array(sets.name), pa.array([sets.token[a:b].tobytes() for a, b in zip(sets.first, ends, strict=True)], pa.binary())], ["name", "tokens"])
+                sets, rows = _sets(texts, size), []
+                for name, a, n in zip(sets.name.tolist(), sets.first, sets.size, strict=True):
+                    if name not in seen:
+                        seen.add(name)
+                        rows.append((name, sets.token[a : a + n]))
+                yield sj.token_rows(rows)
 
     return run
 
@@ -142,7 +146,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = written(names.join(named, "name").select(F.col("doc_id").alias("_w")).distinct(), "wanted")
         sent = F.broadcast(wanted) if wanted.count() <= sj.SENT_NAMES else wanted
         texts = rows.join(sent, F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
-        sets = written(texts.mapInArrow(_tokens(size), "name long, tokens binary").join(F.broadcast(names) if sent is not wanted else names, "name", "left_semi"), "sets")
+        sets = written(texts.mapInArrow(_tokens(size), sj.TOKENS).join(F.broadcast(names) if sent is not wanted else names, "name", "left_semi"), "sets")
         return written(sj.verified(pairs, sets), "links")
 
     edges = links(found.filter("a is not null").select("a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -19,10 +19,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.shared import worker_state, written
+
 #: Similarity from which sets link: 80 / 100.
 NUM, DEN = 80, 100
 SKETCH_BITS = 16
@@ -39,8 +42,6 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _SPACE = np.zeros(256, np.int8)
 _SPACE[[9, 10, 11, 12, 13, 32]] = 1
 _P = 0x9E3779B97F4A7C15
-_POW = np.concatenate([[U(1)], np.full(2 * SLICE_BYTES, U(_P))]).cumprod(dtype=np.uint64)
-_INV = np.concatenate([[U(1)], np.full(2 * SLICE_BYTES, U(pow(_P, -1, 1 << 64)))]).cumprod(dtype=np.uint64)
 _PLACE = _rng.integers(0, 2**63, 8, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -50,6 +51,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, kept by the worker: as globals they
+    would travel with every task."""
+    state = worker_state()
+    have = state.get("set_join_powers")
+    if have is None or len(have[0]) < n:
+        size = max(n, SLICE_BYTES + 1)
+        have = tuple(np.concatenate([[U(1)], np.full(size, U(b))]).cumprod(dtype=np.uint64) for b in (_P, pow(_P, -1, 1 << 64)))
+        if size <= 2 * SLICE_BYTES:
+            state["set_join_powers"] = have
+    return have
+
+
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and hashes of the words of a text: runs of bytes other than white
     space, A-Z as a-z.  Long texts go in pieces cut at white space."""
@@ -68,7 +82,7 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
             part = data[at:stop]
         edge = np.diff(_SPACE[part], prepend=np.int8(1), append=np.int8(1))
         s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        pow_, inv = (_POW, _INV) if len(part) < len(_POW) else (np.concatenate([[U(1)], np.full(len(part), U(b))]).cumprod(dtype=np.uint64) for b in (_P, pow(_P, -1, 1 << 64)))
+        pow_, inv = _powers(len(part))
         c = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTE[part] * pow_[: len(part)], out=c[1:])
         h = (c[e] - c[s]) * inv[s]
@@ -293,17 +307,48 @@ def verify(a: bytes, b: bytes) -> int:
     return both if both >= need else -1
 
 
+#: Bits of the parity by which pairs are looked at before their tokens are fetched.
+PARITY_BITS = 2048
+TOKENS = "name long, parity binary, tokens binary"
+
+
+def token_rows(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """A batch of TOKENS from names and sorted token arrays."""
+    parities = []
+    for _, t in rows:
+        odd = np.bincount((t >> U(8)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+        parities.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(parities, pa.binary()), pa.array([t.tobytes() for _, t in rows], pa.binary())], ["name", "parity", "tokens"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of names that link; ``sets``: (name, tokens), perhaps with repeats."""
-    sets = sets.dropDuplicates(["name"])
+    """The pairs (a, b) of names that link; ``sets``: a written table of TOKENS, perhaps
+    with repeats.
+
+    Two sets differ in at least as many tokens as their parities in bits, which settles
+    most pairs that don't link; only the tokens of the others are fetched.
+    """
 
     @F.pandas_udf("boolean")
-    def links(a, b):
-        import pandas as pd
+    def may(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
+        na, nb = na.to_numpy(np.int64) // 8, nb.to_numpy(np.int64) // 8
+        if not len(na):
+            return pd.Series([], dtype=bool)
+        apart = np.bitwise_count(np.frombuffer(b"".join(a), np.uint8) ^ np.frombuffer(b"".join(b), np.uint8)).reshape(len(na), -1).sum(1)
+        return pd.Series((apart <= na + nb - 2 * required(na, nb)) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)))
 
+    @F.pandas_udf("boolean")
+    def links(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([verify(x, y) >= 0 for x, y in zip(a, b, strict=True)])
 
+    marks = sets.select("name", "parity", F.octet_length("tokens").alias("n")).dropDuplicates(["name"])
+    side = lambda k: marks.select(F.col("name").alias(k), F.col("parity").alias("p" + k), F.col("n").alias("n" + k))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(may("pa", "na", "pb", "nb")).select("a", "b")
+    near = written(near, "near-pairs")
+    names = near.select(F.col("a").alias("name")).union(near.select("b")).distinct()
+    few = near.count() <= SENT_NAMES // 2
+    sets = sets.join(F.broadcast(names) if few else names, "name", "left_semi").select("name", "tokens").dropDuplicates(["name"])
     # b's tokens travel with the pair, a's stand still: a is the one with many partners
-    got = pairs.join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b")
+    got = near.join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b")
     got = got.join(sets.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a")
     return got.filter(links("ta", "tb")).select("a", "b")
