@@ -127,7 +127,9 @@ def plan(rows: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS) -> tupl
                 block, times = np.unique(feistel(j % size, size, key * np.uint64(0x94D049BB133111EB)), return_counts=True)
                 yield pd.DataFrame({"src": np.full(len(block), src, np.int32), "block": block, "times": times})
 
-    taken = drawn.select("src", "first", "n").mapInPandas(slot_blocks, "src int, block long, times long")
+    # a few bytes a draw become thousands of slots, so draws are dealt out first
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    taken = drawn.select("src", "first", "n").repartition(parts, "src", "first").mapInPandas(slot_blocks, "src int, block long, times long")
     return rows, taken.groupBy("src", "block").agg(F.sum("times").alias("times"))
 
 
@@ -136,7 +138,7 @@ def pieces(rows: DataFrame, taken: DataFrame, block_words: int = BLOCK_WORDS) ->
     end = F.col("start") + F.col("size")
     cut = rows.filter("size > 0").select("row", "src", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))).alias("block"))
     low, high = F.greatest("start", F.col("block") * block_words), F.least(end, (F.col("block") + 1) * block_words)
-    return cut.select("row", "src", "block", (low - F.col("start")).alias("at"), (high - low).alias("n")).join(taken, ["src", "block"]).select("row", "at", "n", "times")
+    return cut.select("row", "src", "block", (low - F.col("start")).alias("at"), (high - low).alias("n")).join(taken.hint("merge"), ["src", "block"]).select("row", "at", "n", "times")
 
 
 def mix(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
