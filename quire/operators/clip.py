@@ -47,10 +47,14 @@ def selection(docs: DataFrame, ax: float, ay: float, bx: float, by: float) -> Da
     return _joined(by_line, "line", ["block_no", "line_no"], ["doc_id", "page_no"], "\n", "text")
 
 
-@F.pandas_udf("string")
-def fold(texts: pd.Series) -> pd.Series:
+def fold(text: Column) -> Column:
     """Composed, lower-case, with single spaces (Spark has no normalising function)."""
-    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).lower().split()))
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).lower().split()))
+
+    return run(text)
 
 
 def _hits(text: Column, needle: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,20 +48,22 @@ def word_jaccard(a: Column, b: Column) -> Column:
     return F.when(all_ == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(wa, wb)) / all_)
 
 
-@F.pandas_udf("lev double, order_score double")
-def sequence_scores(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    """Matcher ratio over the tokens, and the share of the common multiset that stands in
-    matching order; both 1 where there is nothing to compare."""
-    from collections import Counter
-
-    out = []
-    for h, r in zip(hyp, ref, strict=True):
-        a, b = (h or "").lower().split()[:TOKEN_CAP], (r or "").lower().split()[:TOKEN_CAP]
-        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-        shared = sum((Counter(a) & Counter(b)).values())
-        matched = sum(x.size for x in m.get_matching_blocks())
-        out.append((m.ratio() if a or b else 1.0, min(1.0, matched / shared) if shared else 1.0))
-    return pd.DataFrame(out, columns=["lev", "order_score"])
+def sequence_scores(hyp: Column, ref: Column) -> Column:
+    """struct(lev, order_score): the matcher's ratio over the tokens, and the share of the
+    common multiset that stands in matching order; both 1 where nothing can be compared."""
+
+    @F.pandas_udf("lev double, order_score double")
+    def run(hyps: pd.Series, refs: pd.Series) -> pd.DataFrame:
+        out = []
+        for h, r in zip(hyps, refs, strict=True):
+            a, b = (h or "").lower().split()[:TOKEN_CAP], (r or "").lower().split()[:TOKEN_CAP]
+            m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+            shared = sum((Counter(a) & Counter(b)).values())
+            matched = sum(x.size for x in m.get_matching_blocks())
+            out.append((m.ratio() if a or b else 1.0, min(1.0, matched / shared) if shared else 1.0))
+        return pd.DataFrame(out, columns=["lev", "order_score"])
+
+    return run(hyp, ref)
 
 
 def char_accuracy(hyp: Column, ref: Column) -> Column:
