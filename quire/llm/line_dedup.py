@@ -74,6 +74,12 @@ def _prefixes(counts: np.ndarray, low: int, high: int):
     return run
 
 
+def _among(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(wanted):
+        return np.zeros(len(names), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, names), len(wanted) - 1)] == names
+
+
 def _tokens(wanted: np.ndarray | None):
     """(name, tokens) of the lines whose names are wanted (sorted; None: all)."""
 
@@ -82,7 +88,7 @@ def _tokens(wanted: np.ndarray | None):
         for batch in batches:
             for _, texts in sj.slices(batch[2]):
                 sets, _, _ = _line_sets(texts)
-                on = np.ones(len(sets.name), bool) if wanted is None else np.isin(sets.name, wanted, kind="sort")
+                on = np.ones(len(sets.name), bool) if wanted is None else _among(sets.name, wanted)
                 rows = []
                 for k in np.flatnonzero(on):
                     if (name := int(sets.name[k])) not in seen:

@@ -9,9 +9,9 @@ keeps frequent tokens out of the prefixes.
 
 Two sets with Jaccard similarity of at least NUM/DEN share a token of their prefixes.
 Prefix tokens are dealt out by hash; within the rows of one token, pairs pass the length,
-positional and signature filters.  Every row is paired with the first two and the last two
-rows before it, which is all of them in groups of five.  Larger groups are kept, and a
-second round pairs all rows there that the first round's links have left open.
+positional and signature filters.  Of the earlier rows that pass, a row is paired with the
+first two and the last two.  Where more pass, these rows are kept, and a second round
+pairs all of them that the first round's links have left open.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ SLICE_BYTES = 1 << 20
 GROUP_ROWS = 200_000
 #: Names of sets that are sent to all executors up to so many (8 bytes each); more are joined.
 SENT_NAMES = 1_000_000
+#: Groups up to the first size are compared side by side with others, up to the second one
+#: by one in blocks; in larger ones just four partners are tried and the second round does
+#: the rest.
+SMALL_GROUP, MIDDLE_GROUP = 64, 512
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -244,19 +248,45 @@ def first_round(signed: bool) -> Callable:
         h, x, gid, given = h[o], x[o], gid[o], given[o]
         first = np.flatnonzero(np.diff(gid, prepend=-1))
         size = np.diff(first, append=len(gid))
-        start = np.repeat(first, size)
-        at = np.arange(len(h))
-        pairs = []
+        start, at = np.repeat(first, size), np.arange(len(h))
+        n, pos, sig = x["n"].astype(np.int64), x["pos"].astype(np.int64), x["sig"].astype(np.int64)
+        whole = size <= MIDDLE_GROUP
+        if marked and len(whole):
+            whole[0] = False
+        in_whole, in_small = np.repeat(whole, size), np.repeat(whole & (size <= SMALL_GROUP), size)
+
+        def passing(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ok = may_link(n[i], pos[i], sig[i] if signed else None, n[j], pos[j], sig[j])
+            return i[ok], j[ok]
+
+        tried = []
+        i = at[in_small]
+        for d in range(1, SMALL_GROUP):
+            i = i[i - start[i] >= d]
+            if not len(i):
+                break
+            tried.append(passing(i, i - d))
+        for g in np.flatnonzero(whole & (size > SMALL_GROUP)):
+            a, b = int(first[g]), int(first[g] + size[g])
+            for c in range(a, b, 128):
+                i, j = np.meshgrid(np.arange(c, min(c + 128, b)), np.arange(a, min(c + 128, b)), indexing="ij")
+                below = j < i
+                tried.append(passing(i[below], j[below]))
+        i, j = (np.concatenate(t) for t in zip(*tried)) if tried else (at[:0], at[:0])
+        o = np.lexsort((j, i))
+        i, j = i[o], j[o]
+        count = np.bincount(i, minlength=len(h))
+        rank = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        picked = (rank < 2) | (rank >= count[i] - 2)
+        more = count[i] > 4
+        live = ~in_whole
+        live[i[more]] = live[j[more]] = True
+        pairs = [(i[picked], j[picked])]
         for partner, ok in ((start, at > start), (start + 1, at > start + 1), (at - 1, at - 1 > start + 1), (at - 2, at - 2 > start + 1)):
-            i, j = at[ok], partner[ok]
-            u, v = x[i], x[j]
-            good = may_link(u["n"].astype(np.int64), u["pos"], u["sig"] if signed else None, v["n"].astype(np.int64), v["pos"], v["sig"])
-            pairs.append(np.stack([u["name"][good], v["name"][good]], 1))
-        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, 1), axis=0)
-        live = np.repeat(size > 5, size)
-        if marked and len(gid):
-            live |= gid == gid[0]
+            ok &= ~in_whole
+            pairs.append(passing(at[ok], partner[ok]))
+        i, j = (np.concatenate(t) for t in zip(*pairs))
+        pairs = np.unique(np.sort(np.stack([x["name"][i], x["name"][j]], 1), 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
         live &= ~given
         return _found(pairs[:, 0], pairs[:, 1], h[live].view(np.uint64), x[live])
 
