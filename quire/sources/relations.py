@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.sources import document as dc
+from quire.sources import inventory
 from quire.sources.syntax import Name, Ref, Stream, write
 
 SCHEMAS = {
@@ -119,6 +120,9 @@ def _diagnostics(i, d):
 
 MAKERS: dict[str, Callable] = {"documents": _documents, "pages": _pages, "objects": _objects, "glyphs": _glyphs, "rects": _rects, "toc": _toc, "links": _links, "diagnostics": _diagnostics}
 
+for _name, (_make, _schema) in inventory.RELATIONS.items():
+    MAKERS[_name], SCHEMAS[_name] = _make, _schema
+
 
 def relation(files: DataFrame, name: str, id_col: str = "doc_id", content_col: str = "content", mode: str = "lenient") -> DataFrame:
     """A relation of ``SCHEMAS`` from documents in a binary column; null contents give none.
