@@ -7,6 +7,7 @@ import zlib
 from dataclasses import dataclass
 
 from quire.sources import filters
+from quire.sources.crypto import Handler
 from quire.sources.syntax import Keyword, Name, Parser, Ref, Stream, SyntaxProblem, text_of, write
 
 INHERITED = ("MediaBox", "CropBox", "Rotate", "Resources")
@@ -16,8 +17,10 @@ LETTER = [0, 0, 612, 792]
 class Document:
     """A parsed document.  ``problems`` lists (offset, kind, detail) of what was mended."""
 
-    def __init__(self, data: bytes, strict: bool = False):
+    def __init__(self, data: bytes, strict: bool = False, password: bytes = b""):
         self.data, self.problems, self.cache = data, [], {}
+        self.handler: Handler | None = None
+        self.password = password
         self.entries: dict[int, tuple] = {}
         self.trailer: dict = {}
         self.revisions, self.repaired = 0, False
@@ -25,6 +28,7 @@ class Document:
         self.version, self.shift = (head[1].decode(), head.start()) if head else ("", 0)
         try:
             self._chain()
+            self._unlock()
             self._gate()
         except (SyntaxProblem, ValueError, KeyError, IndexError, RecursionError, zlib.error) as e:
             if strict:
@@ -87,6 +91,15 @@ class Document:
             self.entries.setdefault(num, entry)
         return s.dict
 
+    def _unlock(self) -> None:
+        """Sets up decryption where the trailer asks for it; a wrong password leaves strings
+        and streams as they are and ``handler.role`` at None."""
+        encrypt = self.get(self.trailer.get("Encrypt"))
+        if isinstance(encrypt, dict):
+            ids = self.get(self.trailer.get("ID"))
+            handler = Handler(encrypt, ids[0] if isinstance(ids, list) and ids else b"", self.password)
+            self.cache, self.handler = {}, handler
+
     def _gate(self) -> None:
         root = self.get(self.trailer.get("Root"))
         if not isinstance(root, dict) or not isinstance(self.get(root.get("Pages")), dict):
@@ -138,6 +151,9 @@ class Document:
                 ref, out = Parser(self.data, entry[1]).indirect(self.get)
                 if ref.num != num:
                     raise SyntaxProblem(f"object {num} is not at its place")
+                locked = self.trailer.get("Encrypt")
+                if self.handler and self.handler.role and not (isinstance(locked, Ref) and locked.num == num):
+                    out = self.handler.open(ref, out)
             elif entry[0] == "in":
                 members = self._members(entry[1])
                 out = next((v for n, v in members if n == num), None)
@@ -393,8 +409,8 @@ def interpret(doc: Document, page: dict, content: bytes | None = None, resources
     return glyphs, rects
 
 
-def build(objects: dict[int, object], root: int, info: int | None = None, compress: bool = True) -> bytes:
-    """A whole file with a classic cross-reference table."""
+def build(objects: dict[int, object], root: int, info: int | None = None, compress: bool = True, more: dict | None = None) -> bytes:
+    """A whole file with a classic cross-reference table; ``more`` goes into the trailer."""
     out, places = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), {}
     for num in sorted(objects):
         value = objects[num]
@@ -406,7 +422,7 @@ def build(objects: dict[int, object], root: int, info: int | None = None, compre
     out += b"xref\n0 %d\n0000000000 65535 f \n" % size
     for num in range(1, size):
         out += b"%010d 00000 n \n" % places[num] if num in places else b"0000000000 00000 f \n"
-    trailer = {"Size": size, "Root": Ref(root)} | ({"Info": Ref(info)} if info else {})
+    trailer = {"Size": size, "Root": Ref(root)} | ({"Info": Ref(info)} if info else {}) | (more or {})
     return bytes(out + b"trailer\n" + write(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
