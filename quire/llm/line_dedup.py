@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quire.llm import set_join as sj
 from quire.llm.shared import written
 
-PASSED = "doc_id long, th long, line int, name long, cell int, tokens long"
+PASSED = "doc_id long, th long, line int, name long, cell int, tokens binary"
 
 
 def _line_sets(texts: list[bytes]) -> tuple[sj.Sets, np.ndarray, np.ndarray]:
@@ -39,7 +39,7 @@ def _line_sets(texts: list[bytes]) -> tuple[sj.Sets, np.ndarray, np.ndarray]:
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for every line with words, and one for every sketch cell of a task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("name", pa.int64()), ("cell", pa.int32()), ("tokens", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("name", pa.int64()), ("cell", pa.int32()), ("tokens", pa.binary())])
     counts = np.zeros(1 << sj.SKETCH_BITS, np.int64)
     for batch in batches:
         for at, texts in sj.slices(batch[2]):
@@ -47,10 +47,10 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += np.bincount(sets.cells(), minlength=len(counts))
             take = pa.array(doc + at)
             none = pa.nulls(len(doc))
-            yield pa.RecordBatch.from_arrays([batch[0].take(take), batch[1].take(take), pa.array(line.astype(np.int32)), pa.array(sets.name), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
-    full = np.flatnonzero(counts)
-    none = pa.nulls(len(full))
-    yield pa.RecordBatch.from_arrays([none.cast(f.type) for f in list(schema)[:4]] + [pa.array(full.astype(np.int32)), pa.array(counts[full])], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch[0].take(take), batch[1].take(take), pa.array(line.astype(np.int32)), pa.array(sets.name), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+    cell, tokens = sj.sketch_blocks(counts)
+    none = pa.nulls(len(cell))
+    yield pa.RecordBatch.from_arrays([*(none.cast(f.type) for f in list(schema)[:4]), cell, tokens], schema=schema)
 
 
 def _prefixes(counts: np.ndarray, low: int, high: int):
@@ -134,9 +134,7 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, lines array<int>): numbers of the removed lines by id and text hash."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     passed = written(rows.mapInArrow(_survey, PASSED), "line-survey")
-    counts = np.zeros(1 << sj.SKETCH_BITS, np.int64)
-    for r in passed.filter("cell is not null").groupBy("cell").agg(F.sum("tokens").alias("tokens")).collect():  # 2**SKETCH_BITS rows at most
-        counts[r["cell"]] = r["tokens"]
+    counts = sj.sketch(passed.filter("cell is not null").select("cell", "tokens"))
     lines = passed.filter("cell is null").select("doc_id", "th", "line", "name")
     place = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "th", "line")
     firsts = written(lines.groupBy("name").agg(F.min(place).alias("first")), "line-firsts")

@@ -21,7 +21,7 @@ from quire.llm.components import components
 from quire.llm.shared import written
 
 SIZE = 5
-PASSED = "doc_id long, n int, name long, cell int, tokens long"
+PASSED = "doc_id long, n int, name long, cell int, tokens binary"
 
 
 def _sets(texts: list[bytes], size: int) -> sj.Sets:
@@ -32,7 +32,7 @@ def _sets(texts: list[bytes], size: int) -> sj.Sets:
 def _survey(size: int):
     """A row for every document, (doc_id, n, name), and for every sketch cell of a task,
     (cell, tokens)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("name", pa.int64()), ("cell", pa.int32()), ("tokens", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("name", pa.int64()), ("cell", pa.int32()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << sj.SKETCH_BITS, np.int64)
@@ -43,10 +43,10 @@ def _survey(size: int):
                 n, name = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64)
                 n[sets.who], name[sets.who] = sets.size, sets.name
                 none = pa.nulls(len(texts))
-                yield pa.RecordBatch.from_arrays([batch[0].slice(at, len(texts)), pa.array(n), pa.array(name, mask=n == 0), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
-        full = np.flatnonzero(counts)
-        none = pa.nulls(len(full))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(full.astype(np.int32)), pa.array(counts[full])], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch[0].slice(at, len(texts)), pa.array(n), pa.array(name, mask=n == 0), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+        cell, tokens = sj.sketch_blocks(counts)
+        none = pa.nulls(len(cell))
+        yield pa.RecordBatch.from_arrays([*(none.cast(f.type) for f in list(schema)[:3]), cell, tokens], schema=schema)
 
     return run
 
@@ -130,10 +130,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     passed = written(rows.mapInArrow(_survey(size), PASSED), "survey")
-    cells = passed.filter("cell is not null").groupBy("cell").agg(F.sum("tokens").alias("tokens")).collect()  # 2**SKETCH_BITS rows at most
-    counts = np.zeros(1 << sj.SKETCH_BITS, np.int64)
-    for r in cells:
-        counts[r["cell"]] = r["tokens"]
+    counts = sj.sketch(passed.filter("cell is not null").select("cell", "tokens"))
     info = passed.filter("cell is null").select("doc_id", "n", "name")
     named = info.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
 

@@ -28,7 +28,9 @@ from quire.llm.shared import worker_state, written
 
 #: Similarity from which sets link: 80 / 100.
 NUM, DEN = 80, 100
-SKETCH_BITS = 16
+SKETCH_BITS = 20
+#: Cells travel from tasks in blocks of so many.
+SKETCH_BLOCK = 4096
 SLICE_BYTES = 1 << 20
 #: Rows of one token that a task holds before it passes them on in part.
 GROUP_ROWS = 200_000
@@ -123,6 +125,31 @@ def shingles(owner: np.ndarray, words: np.ndarray, size: int = 5) -> tuple[np.nd
     return (np.concatenate(owners), np.concatenate(out)) if owners else (owner[:0], words[:0])
 
 
+def sketch_blocks(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A task's counts as (block number, 32-bit counts): its share of the sketch."""
+    blocks = counts.astype("<u4").reshape(-1, SKETCH_BLOCK)
+    return pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())
+
+
+def sketch(rows: DataFrame) -> np.ndarray:
+    """Counts of all cells from rows (cell, tokens) of ``sketch_blocks``.  Blocks are summed
+    in two steps, so that no task holds more than a share of them; 2**SKETCH_BITS numbers
+    reach the driver, whatever the corpus."""
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(SKETCH_BLOCK, np.uint64)
+        for b in pdf["tokens"]:
+            out += np.frombuffer(b, "<u4" if len(b) == 4 * SKETCH_BLOCK else "<u8")
+        return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "tokens": [out.astype("<u8").tobytes()]})
+
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(64))
+    summed = rows.withColumn("part", part).groupBy("cell", "part").applyInPandas(total, "cell int, tokens binary").groupBy("cell").applyInPandas(total, "cell int, tokens binary")
+    out = np.zeros(1 << SKETCH_BITS, np.uint64)
+    for r in summed.collect():
+        out[r["cell"] * SKETCH_BLOCK : (r["cell"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["tokens"], "<u8")
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
+
+
 class Sets:
     """Sets of several owners: ``owner`` and ``token`` sorted by (owner, token) without
     repeats; ``first`` and ``size`` by set; ``name`` is a set's hash."""
