@@ -139,11 +139,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.distinct(), "pairs")
-        names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+        names = written(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), "names")
         wanted = written(names.join(named, "name").select(F.col("doc_id").alias("_w")).distinct(), "wanted")
-        sent = F.broadcast(wanted) if wanted.count() <= sj.SENT_NAMES else wanted
+        few = names.count() <= sj.SENT_NAMES  # and so are the ids wanted: each name has one
+        sent = F.broadcast(wanted) if few else wanted
         texts = rows.join(sent, F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
-        sets = written(texts.mapInArrow(_tokens(size), sj.TOKENS).join(F.broadcast(names) if sent is not wanted else names, "name", "left_semi"), "sets")
+        sets = written(texts.mapInArrow(_tokens(size), sj.TOKENS).join(F.broadcast(names) if few else names, "name", "left_semi"), "sets")
         return written(sj.verified(pairs, sets), "links")
 
     edges = links(found.filter("a is not null").select("a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
