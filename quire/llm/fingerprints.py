@@ -5,10 +5,11 @@ and the fingerprint is the sum of the vectors, lane by lane, modulo powers of tw
 
 * ``whole``: ``WHOLE_LANES`` lanes modulo 2**32 of each paragraph, for equality.  The
   order of paragraphs doesn't matter, and a paragraph can be added or taken away later.
-* ``parts``: lanes modulo 2**20, three to a long, each counting the sentences of the
-  paragraphs for which one bit of a hash is set; ``n_parts`` counts all sentences.  Less
-  half of that count they are sums of random signs, so the squared length of a difference
-  of two fingerprints measures how many sentences the texts don't share.
+* ``parts``: ``PART_LANES`` lanes of the runs of a few words that a paragraph is cut into,
+  where a run adds a heavy-tailed signed number of its hash, times its characters, to every
+  lane; ``n_parts`` counts the characters.  A lane of the difference of two fingerprints is
+  about Cauchy with the sum of characters x |difference of a run's counts| for its scale:
+  a run weighs by its length, and one repeated often by its repeats and not their square.
 """
 
 from __future__ import annotations
@@ -20,50 +21,57 @@ from quire.llm.shared import doc_buckets, written
 
 WHOLE_LANES = 16
 MASK32 = 0xFFFFFFFF
-#: Three lanes of 20 bits with a spare bit each: a sum of two is cut back by one mask.
-LANE = 21
-LANE_MASK = sum((1 << 20) - 1 << LANE * k for k in range(3))
-LANE_ONES = sum(1 << LANE * k for k in range(3))
-#: Hashes of a sentence; each gives 63 lanes in 21 longs.
-HASHES = 2
+#: Lanes of word runs; the distance they give errs by sqrt(2 / PART_LANES) of itself.
+PART_LANES = 64
+#: A run ends with the first word from 16 characters on that ends in one of about half of
+#: all letters, so that an edit moves no ends but those beside it, or within 47 characters.
+#: In scripts without spaces some blocks of characters end a run.
+RUNS = r"\S[^\n]{15,46}?(?:[.!?,;:aegikoqstxz](?!\S)|[、。぀-ゟ一-埿])|\S[^\n]{0,46}"
+#: A run's number in a lane is its length << TOP_BITS over an odd number of ODD_BITS bits of
+#: a hash; the length is kept in the low bits of the run's first hash.
+TOP_BITS, ODD_BITS, LENGTH_MASK = 38, 36, 63
+#: Scale of the Cauchy lanes of one character: pi / 2 times the least of these numbers.
+SCALE = 3.141592653589793 / 2 * (1 << TOP_BITS - ODD_BITS + 1)
+#: What the estimate of a distance exceeds it by, in characters, as few such numbers aren't
+#: quite Cauchy; for a single run it is the ratio.
+EXCESS, SINGLE = 8, 0.69
 #: The table of first ids is broadcast up to so many rows, else joined.
 BROADCAST_ROWS = 200_000
 
 
-def _sum(values: Column, term, mask: int) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: (a + term(x)).bitwiseAND(F.lit(mask)))
+def _sum(values: Column, term) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + term(x))
 
 
-def _seeded(k: int):
-    return lambda s: F.xxhash64(s, F.lit(k))
+def _lane(k: int):
+    odd = lambda x: F.shiftright(F.xxhash64(x, F.lit(k)), 64 - ODD_BITS).bitwiseOR(F.lit(1))
+    return lambda x: F.call_function("div", F.shiftleft(x.bitwiseAND(F.lit(LENGTH_MASK)), TOP_BITS), odd(x))
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str = "fingerprint") -> DataFrame:
     """Adds struct(whole array<long>, n_parts long, parts array<long>); a null text counts
     as empty.  The arrays of hashes are columns of their own on the way, so that a text is
-    split once and not once a lane."""
+    cut once and not once a lane."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumns({"_p": F.transform(F.split(text, "\n", -1), lambda p: F.md5(p.cast("binary"))), "_s": F.filter(F.split(text, "(?<=[.!?]) |\n", -1), lambda s: s != "")})
-    df = df.withColumns({f"_h{k}": F.transform("_s", _seeded(k)) for k in range(HASHES)} | {"_n": F.size("_s").cast("long")})
-    whole = [_sum(F.col("_p"), lambda p, k=k: F.xxhash64(p, F.lit(k)).bitwiseAND(F.lit(MASK32)), MASK32) for k in range(WHOLE_LANES)]
-    parts = [_sum(F.col(f"_h{k}"), lambda x, j=j: F.shiftrightunsigned(x, j).bitwiseAND(F.lit(LANE_ONES)), LANE_MASK) for k in range(HASHES) for j in range(LANE)]
-    df = df.withColumn(out, F.struct(F.array(*whole).alias("whole"), F.col("_n").alias("n_parts"), F.array(*parts).alias("parts")))
-    return df.drop("_p", "_s", "_n", *(f"_h{k}" for k in range(HASHES)))
+    length = lambda s: F.char_length(s).cast("long")
+    hashed = F.transform(F.regexp_extract_all(text, F.lit(RUNS), F.lit(0)), lambda s: F.xxhash64(s).bitwiseAND(F.lit(~LENGTH_MASK)).bitwiseOR(length(s)))
+    df = df.withColumns({"_p": F.transform(F.split(text, "\n", -1), lambda p: F.md5(p.cast("binary"))), "_r": hashed})
+    whole = [_sum(F.col("_p"), lambda p, k=k: F.xxhash64(p, F.lit(k)).bitwiseAND(F.lit(MASK32))).bitwiseAND(F.lit(MASK32)) for k in range(WHOLE_LANES)]
+    parts = [_sum(F.col("_r"), _lane(k)) for k in range(PART_LANES)]
+    df = df.withColumn(out, F.struct(F.array(*whole).alias("whole"), _sum(F.col("_r"), lambda x: x.bitwiseAND(F.lit(LENGTH_MASK))).alias("n_parts"), F.array(*parts).alias("parts")))
+    return df.drop("_p", "_r")
 
 
 def add(a: Column, b: Column) -> Column:
     """Fingerprint of both multisets together: insertion of ``b`` into ``a``."""
-    lanes = lambda name, mask: F.zip_with(a[name], b[name], lambda x, y: (x + y).bitwiseAND(F.lit(mask))).alias(name)
-    return F.struct(lanes("whole", MASK32), (a["n_parts"] + b["n_parts"]).alias("n_parts"), lanes("parts", LANE_MASK))
+    whole = F.zip_with(a["whole"], b["whole"], lambda x, y: (x + y).bitwiseAND(F.lit(MASK32)))
+    return F.struct(whole.alias("whole"), (a["n_parts"] + b["n_parts"]).alias("n_parts"), F.zip_with(a["parts"], b["parts"], lambda x, y: x + y).alias("parts"))
 
 
 def subtract(a: Column, b: Column) -> Column:
     """Fingerprint of ``a`` after deletion of the paragraphs of ``b``."""
     whole = F.zip_with(a["whole"], b["whole"], lambda x, y: (x + F.lit(1 << 32) - y).bitwiseAND(F.lit(MASK32)))
-    # the spare bits, set beforehand, lend to their own lane alone
-    guard = sum(1 << 20 + LANE * k for k in range(3))
-    parts = F.zip_with(a["parts"], b["parts"], lambda x, y: (x.bitwiseOR(F.lit(guard)) - y).bitwiseAND(F.lit(LANE_MASK)))
-    return F.struct(whole.alias("whole"), (a["n_parts"] - b["n_parts"]).alias("n_parts"), parts.alias("parts"))
+    return F.struct(whole.alias("whole"), (a["n_parts"] - b["n_parts"]).alias("n_parts"), F.zip_with(a["parts"], b["parts"], lambda x, y: x - y).alias("parts"))
 
 
 def as_text(f: Column) -> Column:
@@ -72,17 +80,23 @@ def as_text(f: Column) -> Column:
     return F.concat_ws(":", lanes("whole"), F.hex(f["n_parts"]), lanes("parts"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """From 0 to 1: the share of sentences that two texts have in common, estimated from
-    their fingerprints; 1 for equal ones and 0 where just one text is empty."""
+def _distance(lanes: Column) -> Column:
+    """Scale of Cauchy numbers by likelihood: steps of expectation-maximisation from the
+    median of their sizes."""
+    sizes = F.transform(lanes, lambda x: F.abs(x.cast("double")))
+    start = lambda v: F.greatest(F.lit(1e-9), F.element_at(F.array_sort(v), PART_LANES // 2))
+    weighed = lambda v, c: F.aggregate(v, F.lit(0.0), lambda s, x: s + 2 * x * x * c * c / (c * c + x * x))
+    step = lambda v: lambda c, _: F.greatest(F.lit(1e-9), F.sqrt(weighed(v, c) / PART_LANES))
+    # an array of one array gives the sizes a name, else every step would make them anew
+    return F.transform(F.array(sizes), lambda v: F.aggregate(F.array(*map(F.lit, range(4))), start(v), step(v)))[0]
 
-    def lanes(f):  # twice the count less the number of sentences
-        return F.flatten(F.transform(f["parts"], lambda x: F.array(*(F.shiftright(x, LANE * k).bitwiseAND(F.lit((1 << 20) - 1)) * 2 - f["n_parts"] for k in range(3)))))
 
-    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    apart = F.zip_with(lanes(a), lanes(b), lambda x, y: x - y)
-    total = square(lanes(a)) + square(lanes(b))
-    estimate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - square(apart) / F.greatest(total, F.lit(1e-9))))
+def likeness(a: Column, b: Column) -> Column:
+    """From 0 to 1: the share of the texts' characters in word runs that both have, repeats
+    counted, estimated from their fingerprints; 1 for equal ones and 0 where just one text is empty."""
+    apart = _distance(F.zip_with(a["parts"], b["parts"], lambda x, y: x - y)) / SCALE
+    apart = F.greatest(apart - EXCESS, apart * SINGLE)
+    estimate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / F.greatest(a["n_parts"] + b["n_parts"], F.lit(1))))
     same = (a["whole"] == b["whole"]) & (a["parts"] == b["parts"])
     return F.when(same, F.lit(1.0)).when((a["n_parts"] == 0) | (b["n_parts"] == 0), F.lit(0.0)).otherwise(estimate)
 

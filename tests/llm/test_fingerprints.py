@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -41,3 +42,33 @@ def test_likeness_follows_shared_sentences(spark):
     r = fp.neighbours(docs).agg(F.avg("near_edited").alias("e"), F.avg("near_next").alias("n")).first()
     assert 0.6 < r.e < 0.9
     assert r.n < 0.25
+
+
+def test_kept_three_quarters_show_in_any_shape_of_text(spark):
+    random.seed(5)
+    run = lambda n, sep=" ": sep.join("".join(random.choices("abcdefghiklmnoprstuvwz", k=random.randint(2, 9))) for _ in range(n))
+    rows, line = [], "the same line again and again, over and over"
+    for _ in range(40):
+        kept = [run(9) for _ in range(60)]
+        rows.append(("one line", run(400), None))
+        rows.append(("repeats go", "\n".join(kept + [line] * 20), "\n".join(kept + [run(9) for _ in range(20)])))
+        rows.append(("repeats come", "\n".join(kept + [run(9) for _ in range(20)]), "\n".join(kept + [line] * 20)))
+        rows.append(("short lines come", run(400), None))
+        rows.append(("nothing kept", "\n".join([line] * 20 + [run(9)]), run(200)))
+    for k, (shape, a, b) in enumerate(rows):
+        if b is None:
+            cut = len(a) - len(a) // 4
+            rows[k] = (shape, a, a[:cut] + (run(len(a) // 28, "\n") if shape[0] == "s" else run(len(a))[: len(a) // 4]))
+    df = spark.createDataFrame(rows, "shape string, a string, b string").repartition(4)
+    df = fp.with_fingerprint(fp.with_fingerprint(df, "a", "f"), "b", "g").select("shape", fp.likeness(F.col("f"), F.col("g")).alias("x"))
+    got = {r["shape"]: r for r in df.groupBy("shape").agg(F.min("x").alias("low"), F.avg("x").alias("mean"), F.max("x").alias("high")).collect()}
+    for shape in ("one line", "repeats go", "repeats come"):
+        assert got[shape]["low"] > 0.5 and 0.68 < got[shape]["mean"] < 0.82, got[shape]
+    assert got["short lines come"]["low"] > 0.4
+    assert got["nothing kept"]["mean"] < 0.2 and got["nothing kept"]["high"] < 0.5
+
+
+def test_low_quantiles_of_edited_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    low, mid = fp.neighbours(docs).filter("n_chars > 200").selectExpr("percentile(near_edited, array(0.01, 0.5)) q").first().q
+    assert low > 0.45 and 0.65 < mid < 0.85
