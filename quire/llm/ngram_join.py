@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import set_join as sj
@@ -164,15 +164,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one a component.
+    """One row of each component of ``docs``: that of the smallest id, null ids last, and of
+    several rows of that id the one of the least text.
 
-    Of several rows of that id the one of the least text stays.  Rows without an id stay
-    unless their component has one.
+    Every row has a number of its own, so that rows of one id, or of none, are told apart.
     """
-    classes = near_duplicates(docs, id_col, text_col, size)
-    keep = classes.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    if classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col)))
-    return kept.withColumn("_k", first).filter((F.col("_k") == 1) | F.col(id_col).isNull()).select(*docs.columns)
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    classes = near_duplicates(numbered, "_row", text_col, size).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_c"))
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"))
+    ranked = written(classes.join(numbered.select("_row", rank.alias("_id")), "_row"), "ranked")
+    least = ranked.groupBy("_c").agg(F.min("_id").alias("_id"))
+    first = written(ranked.join(least, ["_c"]).filter(ranked["_id"].eqNullSafe(least["_id"])).groupBy("_c").agg(F.min("_row").alias("_row"), F.count("*").alias("_n"), F.first(least["_id"]).alias("_id")), "first")
+    tied = first.filter("_n > 1").select("_c", F.col("_id").alias("_least"))
+    tied = ranked.join(tied, "_c").filter(F.col("_id").eqNullSafe(F.col("_least"))).select("_c", "_row")
+    texts = tied.join(numbered.select("_row", F.col(text_col).alias("_t")), "_row").groupBy("_c").agg(F.min(F.struct("_t", "_row")).alias("_m"))
+    keep = first.filter("_n = 1").select("_row").unionByName(texts.select(F.col("_m._row").alias("_row")))
+    return numbered.join(keep, "_row", "left_semi").select(*docs.columns)

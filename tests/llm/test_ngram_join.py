@@ -98,3 +98,19 @@ def test_verify_is_exact():
         both = len(np.intersect1d(a, b))
         want = both if 100 * both >= 80 * (len(a) + len(b) - both) else -1
         assert sj.verify(a.tobytes(), b.tobytes()) == want
+
+
+def test_one_row_of_each_component_stays_where_ids_repeat(spark):
+    alone = "a standalone text that no other row is like at all"
+    docs = odd_documents(spark, [(None, alone, "en", "c"), (None, " ".join(f"n{k}" for k in range(90)), "en", "c"), (None, " ".join(f"n{k}" for k in range(90)), "en", "c")])
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    at = [(k, t) for k, (_, t) in enumerate(rows)]
+    best = {}
+    for (k, _, c), (i, t) in zip(brute(at), rows, strict=True):
+        best[c] = min(best.get(c, (True, 0, "~")), (i is None, i or 0, t or ""))
+    got = nj.one_of_each(docs)
+    assert got.columns == docs.columns
+    got = [(r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect()]
+    assert sorted(got) == sorted(best.values())
+    assert sum(t == alone for *_, t in got) == 1
+    assert any(t.startswith("é ß") for *_, t in got) and not any(t.endswith(" tail") for *_, t in got)
