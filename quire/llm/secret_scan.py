@@ -3,8 +3,8 @@
 Spans of three base kinds (assigned values, access keys, hexadecimal strings) and bare
 credential-looking strings are found in every text.  Each candidate's value is hashed and
 the hashes are aggregated over the corpus by the distinct repositories and owners that
-hold them: what many owners hold is a copied example, what one owner holds alone looks
-live.  Base spans always stay; a bare string becomes a span only where it looks live.
+hold them: what many owners or very many repositories hold is a copied example, what few
+hold looks live.  Base spans always stay; a bare string becomes a span only where it looks live.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 #: A bare string of base64 or URL-safe characters; it must mix cases and digits to count.
-BARE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}"
+BARE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}"
 KINDS = ("assign", "access", "hex", "bare")
-#: Held by so many owners at least, a value is a copied example.
-EXAMPLE_OWNERS = 3
+#: Held by so many owners at least, or so many repositories, a value is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 100
 
 SPANS = "array<struct<ord:int,kind:string,start:bigint,end:bigint,m:string>>"
 
@@ -46,8 +46,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     """One row per document: (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_bare,
     n_live, n_example).
 
-    ``n_live`` counts its spans whose value belongs to a single owner, ``n_example`` those
-    of at least ``EXAMPLE_OWNERS`` owners.  A document is its own repository unless a
+    ``n_example`` counts its spans whose value at least ``EXAMPLE_OWNERS`` owners or
+    ``EXAMPLE_REPOSITORIES`` repositories hold, ``n_live`` all others.  A document is its own repository unless a
     column names one.  A null owner is one owner; a null text counts as empty; repeated
     rows each count as a document; other columns are ignored.
     """
@@ -60,11 +60,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     by_owner = held.select("s.hash", "owner", "repository").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n_repositories"))
     owned = by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n_repositories").alias("n_repositories"))
     judged = held.select("row", "s.*").join(owned, "hash")
-    keep = (F.col("ord") < 3) | (F.col("n_owners") == 1)
-    spans = judged.filter(keep).groupBy("row").agg(
+    example = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repositories") >= EXAMPLE_REPOSITORIES)
+    kept = (F.col("ord") < 3) | ~example
+    spans = judged.filter(kept).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "ord", "end", "kind"))).alias("all"),
-        F.count_if(F.col("n_owners") == 1).alias("n_live"),
-        F.count_if(F.col("n_owners") >= EXAMPLE_OWNERS).alias("n_example"),
+        F.count_if(~example).alias("n_live"),
+        F.count_if(example).alias("n_example"),
     )
     none = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string>>")
     out = rows.select("doc_id", "row").join(spans, "row", "left").withColumn("all", F.coalesce("all", none))

@@ -38,3 +38,13 @@ def test_ownership_tells_examples_from_live_values(spark):
     got = {r.doc_id: r for r in ss.scan(odd_documents(spark, rows)).collect()}
     assert got[200].spans == "bare:2:38" and got[200].n_live == 1
     assert got[301].spans == "hex:44:84" and got[301].n_example == 1
+
+
+def test_two_owners_are_live_and_many_repositories_an_example(spark):
+    two, pasted, named = "aB3" * 12, "xY7" * 12, "qR5" * 12
+    rows = [(200, f"x {two} y", "en", "a"), (201, two, "en", "b"), (202, f"AZURE={named}", "en", "a"), (203, f"?sig={named}==", "en", "a")]
+    rows += [(1000 + k, f"see {pasted} or {'0a1b' * 10}", "en", "a") for k in range(ss.EXAMPLE_REPOSITORIES)]
+    got = {r.doc_id: r for r in ss.scan(odd_documents(spark, rows)).collect()}
+    assert (got[200].spans, got[201].spans, got[200].n_live) == ("bare:2:38", "bare:0:36", 1)
+    assert got[202].spans == "bare:6:42" and got[203].spans == "bare:5:43"
+    assert got[1000].spans == "hex:44:84" and (got[1000].n_live, got[1000].n_example) == (0, 1)
