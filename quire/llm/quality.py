@@ -10,12 +10,13 @@ compressed by its own past alone.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.shared import worker_state
@@ -23,8 +24,8 @@ from quire.llm.shared import worker_state
 #: Labelled texts of each class that a fit takes at most: those of the smallest hashes.
 #: The bound keeps the driver's share of the corpus fixed.
 SAMPLE_PER_CLASS = 1500
-#: Bytes of one text that a dictionary or the calibration learns from, from its start, middle and end.
-SAMPLE_BYTES = 16384
+#: Blocks of one text that a dictionary learns from, drawn from all of its blocks.
+SAMPLE_BLOCKS = 16
 DICT_BYTES = 65536
 BLOCK_BYTES = 1024
 LEVEL = 1
@@ -39,11 +40,14 @@ def _blocks(raw: bytes) -> list[bytes]:
     return [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
 
 
-def _excerpt(raw: bytes) -> bytes:
-    if len(raw) <= SAMPLE_BYTES:
+def _drawn(raw: bytes) -> bytes:
+    """A text's blocks in order, or ``SAMPLE_BLOCKS`` of them drawn by its hash."""
+    blocks = _blocks(raw)
+    if len(blocks) <= SAMPLE_BLOCKS:
         return raw
-    third, mid = SAMPLE_BYTES // 3, len(raw) // 2
-    return raw[:third] + raw[mid : mid + third] + raw[-third:]
+    chosen = np.random.default_rng(zlib.crc32(raw)).choice(len(blocks), SAMPLE_BLOCKS, replace=False)
+    # the last block may be short: in order, it leaves the others whole
+    return b"".join(blocks[k] for k in np.sort(chosen))
 
 
 def train_dictionary(texts: list[bytes]) -> bytes:
@@ -104,31 +108,45 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model: dictionaries, scales and curve.
 
     It learns only from labelled rows outside the held-out fold, at most
-    ``SAMPLE_PER_CLASS`` a class.  Half of them build the dictionaries, the other half fit
-    the curve, weighted to the classes' true shares.  Without labels every score is 0.5;
+    ``SAMPLE_PER_CLASS`` a class.  Half of them build the dictionaries, from at most
+    ``SAMPLE_BLOCKS`` blocks a text; the other half, measured whole where they lie, fit the
+    curve, weighted to the classes' true shares.  Without labels every score is 0.5;
     with one class only, every score leans to it.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & (fold(id_col) != 0)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     shares = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     by_hash = F.xxhash64(F.col(id_col))
     chosen = [known.filter(F.col("_y") == y).orderBy(by_hash, id_col).limit(SAMPLE_PER_CLASS) for y in (0, 1)]
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # SAMPLE_PER_CLASS rows a class
-    rows = docs.select(id_col, F.col(text_col).alias("_t")).join(ids, id_col).select("_y", by_hash.alias("_h"), F.encode(F.coalesce("_t", F.lit("")), "UTF-8").alias("_t"))
+    place = F.row_number().over(Window.partitionBy("_y").orderBy(by_hash, id_col))  # SAMPLE_PER_CLASS rows a class
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]).withColumn("_curve", place % 2 == 0))
+    rows = docs.select(id_col, F.col(text_col).alias("_t")).join(ids, id_col).select("_y", "_curve", by_hash.alias("_h"), F.encode(F.coalesce("_t", F.lit("")), "UTF-8").alias("_t"))
 
     @F.pandas_udf("binary")
-    def excerpt(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _excerpt(bytes(t)))
+    def drawn(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _drawn(bytes(t)))
 
-    got = sorted((r["_h"], r["_y"], bytes(r["_t"])) for r in rows.select("_h", "_y", excerpt("_t").alias("_t")).collect())
+    got = sorted((r["_h"], r["_y"], bytes(r["_t"])) for r in rows.filter(~F.col("_curve")).select("_h", "_y", drawn("_t").alias("_t")).collect())
     texts = {y: [t for _, c, t in got if c == y] for y in (0, 1)}
-    if not got:
+    dicts = {y: train_dictionary(texts[y]) for y in (0, 1)}
+
+    @F.pandas_udf("array<double>")
+    def measured(texts: pd.Series) -> pd.Series:
+        pair = Compressors(dicts[1], dicts[0])
+        return texts.map(lambda t: list(pair.measures(bytes(t))))
+
+    def numbers(part: DataFrame) -> list:
+        return sorted((r["_y"], r["_h"], *r["_m"]) for r in part.select("_y", "_h", measured("_t").alias("_m")).collect())
+
+    curve_rows = numbers(rows.filter("_curve"))
+    lone = [y for y in (0, 1) if texts[y] and all(r[0] != y for r in curve_rows)]
+    if lone:  # a single text is its class's dictionary and its measure
+        curve_rows = sorted(curve_rows + numbers(rows.filter(~F.col("_curve") & F.col("_y").isin(lone))))
+    if not curve_rows:
         return {"good": b"", "bad": b"", "center": [0.0, 0.0], "spread": [1.0, 1.0], "curve": [0.0, 0.0, 0.0]}
-    dicts = {y: train_dictionary(texts[y][::2]) for y in (0, 1)}
-    pair = Compressors(dicts[1], dicts[0])
-    rest = {y: texts[y][1::2] or texts[y] for y in (0, 1)}
-    x = np.array([pair.measures(t) for y in (0, 1) for t in rest[y]])
-    y = np.array([c for c in (0, 1) for _ in rest[c]], float)
-    weight = np.array([shares.get(c, 0) / len(rest[c]) for c in (0, 1) for _ in rest[c]])
+    x = np.array([r[2:] for r in curve_rows])
+    y = np.array([r[0] for r in curve_rows], float)
+    count = {c: max(1, int((y == c).sum())) for c in (0, 1)}
+    weight = np.array([shares.get(int(c), 0) / count[int(c)] for c in y])
     weight *= len(weight) / max(weight.sum(), 1e-9)
     usual = x[y == 1] if (y == 1).any() else x
     center = np.median(usual, 0)

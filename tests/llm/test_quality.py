@@ -42,3 +42,21 @@ def test_odd_rows(spark):
         assert len(out) == docs.count()
         assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
     assert q.classify(docs.limit(0), labels).count() == 0
+
+
+def test_calibration_measures_whole_texts(spark, monkeypatch):
+    import random
+
+    random.seed(4)
+    noise = lambda n: "".join(random.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    third = "plain words of a plain text " * 300
+    rows = [(k, (third + noise(40000) + third + noise(40000) + third) if k % 2 else third * 12) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
+    model = q.fit(docs, labels)
+    known = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 5]
+    pair = q.Compressors(model["good"], model["bad"])
+    whole = {k: pair.measures(t.encode()) for k, t in known}
+    order = [r.doc_id for r in spark.createDataFrame([(k,) for k, _ in known], "doc_id long").orderBy(q.F.xxhash64("doc_id"), "doc_id").collect()]
+    assert np.allclose(model["center"], np.median([whole[k] for k in order[1::2]], 0))
+    assert len(q._drawn(noise(10**6).encode())) == q.SAMPLE_BLOCKS * q.BLOCK_BYTES
