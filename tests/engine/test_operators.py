@@ -40,3 +40,20 @@ def test_html():
     assert text.split("\n")[0] == "A&b" and "x" not in text and links == ["u"] and "\n\n\n" not in text
     cells = markup.table_cells("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td colspan='2'>c</td></tr></table>")
     assert cells == [(0, 0, 0, 2, 1, "a"), (0, 0, 1, 1, 1, "b"), (0, 1, 1, 1, 2, "c")]
+
+
+def test_char_accuracy_tells_letters_beyond_ascii_apart(spark, tmp_path):
+    from quire import queries
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    texts = ["été à l'île", "êtë â l'ïle", "日本語の本文", "中国的文章", "🙂 plain", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.id: r.accuracy for r in queries.score_char_accuracy_whole(spark, str(tmp_path)).collect()}
+    assert got == {k: round(max(0, 1 - distance(a, b) / len(b)), 9) for k, (a, b) in enumerate(zip(texts, texts[1:], strict=False))}
