@@ -48,15 +48,16 @@ def word_jaccard(a: Column, b: Column) -> Column:
     return F.when(all_ == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(wa, wb)) / all_)
 
 
-def sequence_scores(hyp: Column, ref: Column) -> Column:
+def sequence_scores(hyp: Column, ref: Column, cap: int | None = None) -> Column:
     """struct(lev, order_score): the matcher's ratio over the tokens, and the share of the
-    common multiset that stands in matching order; both 1 where nothing can be compared."""
+    common multiset that stands in matching order; both 1 where nothing can be compared.
+    ``cap`` bounds the tokens looked at, as the reference does with ``TOKEN_CAP``."""
 
     @F.pandas_udf("lev double, order_score double")
     def run(hyps: pd.Series, refs: pd.Series) -> pd.DataFrame:
         out = []
         for h, r in zip(hyps, refs, strict=True):
-            a, b = (h or "").lower().split()[:TOKEN_CAP], (r or "").lower().split()[:TOKEN_CAP]
+            a, b = (h or "").lower().split()[:cap], (r or "").lower().split()[:cap]
             m = difflib.SequenceMatcher(None, a, b, autojunk=False)
             shared = sum((Counter(a) & Counter(b)).values())
             matched = sum(x.size for x in m.get_matching_blocks())

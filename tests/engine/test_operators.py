@@ -57,3 +57,13 @@ def test_char_accuracy_tells_letters_beyond_ascii_apart(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.id: r.accuracy for r in queries.score_char_accuracy_whole(spark, str(tmp_path)).collect()}
     assert got == {k: round(max(0, 1 - distance(a, b) / len(b)), 9) for k, (a, b) in enumerate(zip(texts, texts[1:], strict=False))}
+
+
+def test_sequence_scores_see_the_end_of_long_texts(spark):
+    from quire.operators import scoring
+
+    words = [f"w{k}" for k in range(60_000)]
+    df = spark.createDataFrame([(" ".join(words), " ".join(words[:54_000] + ["other"] * 6_000))], "h string, r string")
+    whole, capped = df.select(scoring.sequence_scores(F.col("h"), F.col("r")), scoring.sequence_scores(F.col("h"), F.col("r"), scoring.TOKEN_CAP)).first()
+    assert whole.lev == pytest.approx(0.9) and whole.order_score == 1
+    assert capped.lev == 1
