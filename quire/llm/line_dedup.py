@@ -5,8 +5,9 @@ null first; text hash; line number).  A line is removed if an earlier line, kept
 has the same set or one of Jaccard similarity 0.8 or more; lines without words stay.
 
 The similarity join is described in ``set_join``: rare-first prefixes with length,
-positional and signature filters, then an exact verification.  The earliest rows of a
-token are tried first, and a line that has found an earlier match isn't tried again.
+positional and signature filters, then an exact verification.  Equal lines are found on
+the way: of the lines of one set in a task only the first is dealt out at all, and the
+firsts of all tasks meet by name.  A line that has found an earlier match isn't tried again.
 """
 
 from __future__ import annotations
@@ -20,193 +21,166 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import set_join as sj
-from quire.llm.shared import written
+from quire.llm.shared import inner_names, written
 
-PASSED = "doc_id long, th long, line int, name long, cell int, tokens binary"
+#: Packed columns of a removed line, and of a set's first line in a task: id, whether it has one, text hash, line.
+GONE = ("<i8", "i1", "<i8", "<i4")
+FIRST = ("<i8", *GONE)
 
 
-def _line_sets(texts: list[bytes]) -> tuple[sj.Sets, np.ndarray, np.ndarray]:
-    """Sets of the lines that have words, with their texts' indices and line numbers."""
+def _line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Line (numbered through the texts) and hash of every word, and by text the number of its first line."""
     owner, words, raw, starts = sj.owned_words(texts)
     breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
-    line = np.searchsorted(breaks, starts)
+    line = sj.places(breaks, starts)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]) if texts else np.zeros(0, int)
+    return owner, line, words, np.searchsorted(breaks, begins)
+
+
+def _line_sets(texts: list[bytes]) -> tuple[sj.Sets, np.ndarray, np.ndarray]:
+    """Sets of the lines that have words, with their texts' indices and line numbers."""
+    owner, line, words, begins = _line_words(texts)
     sets = sj.Sets(line, words)
     first = np.flatnonzero(np.diff(line, prepend=-1))  # first word of each line with words
     doc = owner[first]
-    return sets, doc, line[first] - np.searchsorted(breaks, begins)[doc]
-
+    return sets, doc, line[first] - begins[doc]
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every line with words, and one for every sketch cell of a task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("name", pa.int64()), ("cell", pa.int32()), ("tokens", pa.binary())])
-    counts = np.zeros(1 << sj.SKETCH_BITS, np.int64)
-    for batch in batches:
-        for at, texts in sj.slices(batch[2]):
-            sets, doc, line = _line_sets(texts)
-            counts += np.bincount(sets.cells(), minlength=len(counts))
-            take = pa.array(doc + at)
-            none = pa.nulls(len(doc))
-            yield pa.RecordBatch.from_arrays([batch[0].take(take), batch[1].take(take), pa.array(line.astype(np.int32)), pa.array(sets.name), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
-    cell, tokens = sj.sketch_blocks(counts)
-    none = pa.nulls(len(cell))
-    yield pa.RecordBatch.from_arrays([*(none.cast(f.type) for f in list(schema)[:4]), cell, tokens], schema=schema)
 
-
-def _prefixes(counts: np.ndarray, low: int, high: int):
-    """``low`` and ``high`` bound the ids; a posting's ``ord`` is its id's place between."""
+def _postings(counts: np.ndarray, low: int, high: int, buckets: int):
+    """Prefix postings of each set that the task meets, its first line, and all its other
+    lines as removed.  ``low`` and ``high`` bound the ids; ``ord`` is an id's place between."""
+    noise = sj.noise_of(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        dealer = sj.Dealer(buckets)
+        firsts: dict[int, tuple] = {}  # name -> (has id, id, text hash, line): one for each set of the task
         for batch in batches:
-            ids = np.array([low if i is None else i for i in batch[0].to_pylist()], np.float64)
-            place = np.floor((ids - low) / max(1, high - low) * (2**31 - 2)).astype(np.int64)
+            known = np.array(batch[0].is_valid(), dtype=np.int8)
+            ids, hashes = batch[0].fill_null(0).to_numpy().astype(np.int64), batch[1].to_numpy().astype(np.int64)
+            place = np.floor(np.where(known, (ids.astype(np.float64) - low) / max(1, high - low), 0) * (2**31 - 2)).astype(np.int64)
             for at, texts in sj.slices(batch[2]):
-                sets, doc, _ = _line_sets(texts)
-                keep = np.zeros(len(sets.name), bool)
-                for k, name in enumerate(sets.name.tolist()):
-                    if name not in seen:
-                        seen.add(name)
-                        keep[k] = True
-                which, token, pos = sets.prefixes(counts, keep)
-                yield sj.postings(token, sets.name[which], sets.signatures()[which], place[doc + at][which], sets.size[which], pos)
+                sets, doc, line = _line_sets(texts)
+                doc = doc + at
+                new, lost = np.zeros(len(doc), bool), []
+                for k, (name, *mine) in enumerate(zip(sets.name.tolist(), known[doc].tolist(), ids[doc].tolist(), hashes[doc].tolist(), line.tolist(), strict=True)):
+                    old = firsts.get(name)
+                    if old is None:
+                        firsts[name], new[k] = tuple(mine), True
+                    elif (mine := tuple(mine)) < old:
+                        firsts[name] = mine
+                        new[k] = mine[:2] < old[:2]  # its postings have an earlier place
+                        lost.append(old)
+                    else:
+                        lost.append(mine)
+                dealer.add_postings(sets, counts, noise, new, place[doc])
+                if lost:
+                    h, i, t, n = (np.array(x) for x in zip(*lost, strict=True))
+                    dealer.add(sj.ITEMS, GONE, sj.mix(t.astype(np.int64).view(np.uint64)), [i, h, t, n])
+                yield from dealer.given(sj.HELD_POSTINGS)
+        if firsts:
+            names = np.fromiter(firsts, np.int64, len(firsts))
+            h, i, t, n = (np.array(x) for x in zip(*firsts.values(), strict=True))
+            dealer.add(sj.FIRSTS, FIRST, sj.mix(names.view(np.uint64)), [names, i, h, t, n])
+        yield from dealer.given()
 
     return run
 
 
-def _among(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(wanted):
-        return np.zeros(len(names), bool)
-    return wanted[np.minimum(np.searchsorted(wanted, names), len(wanted) - 1)] == names
-
+def _others(kind: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+    if kind == sj.ITEMS:
+        ids, known, th, line = sj.unpack(bodies, GONE)
+        yield sj.found(sj.ITEM, len(ids), b=pa.array(ids, mask=known == 0), c=th, n=line)
+        return
+    name, ids, known, th, line = sj.unpack(bodies, FIRST)
+    o = np.lexsort((line, th, ids, known, name))
+    name, ids, known, th, line = (x[o] for x in (name, ids, known, th, line))
+    first = np.ones(len(name), bool)
+    first[1:] = name[1:] != name[:-1]
+    for kind, on in ((sj.FIRST, first), (sj.ITEM, ~first)):
+        more = {"a": name[on]} if kind == sj.FIRST else {}
+        yield sj.found(kind, int(on.sum()), **more, b=pa.array(ids[on], mask=known[on] == 0), c=th[on], n=line[on])
 
-def _tokens(wanted: np.ndarray | None):
-    """(name, tokens) of the lines whose names are wanted (sorted; None: all)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, texts in sj.slices(batch[2]):
-                sets, _, _ = _line_sets(texts)
-                on = np.ones(len(sets.name), bool) if wanted is None else _among(sets.name, wanted)
-                rows = []
-                for k in np.flatnonzero(on):
-                    if (name := int(sets.name[k])) not in seen:
-                        seen.add(name)
-                        rows.append((name, sets.token[sets.first[k] : sets.first[k] + sets.size[k]]))
-                yield sj.token_rows(rows)
-
-    return run
-
-
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over postings (h, body, place), sorted by (h, body): each row that is still open with
-    all rows of its token that aren't later.  ``place`` is that of a line's first document,
-    less 2**62 where the line has gone.  It holds the rows of one token."""
-
-    def group(x: np.ndarray, order: np.ndarray) -> Iterator[pa.RecordBatch]:
-        gone = order < -(2**61)
-        if gone.all():
-            return
-        order = np.where(gone, order + 2**62, order)
-        n = x["n"].astype(np.int64)
-        for i in np.flatnonzero(~gone):
-            j = np.flatnonzero((order <= order[i]) & (x["name"] != x["name"][i]))
-            good = j[sj.may_link(n[i], x["pos"][i], x["sig"][i], n[j], x["pos"][j], x["sig"][j])]
-            if len(good):
-                pairs = np.unique(np.sort(np.stack([np.full(len(good), x["name"][i]), x["name"][good]], 1), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    h, x, gone = np.zeros(0, np.int64), np.zeros(0, sj.BODY), np.zeros(0, np.int64)
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in batches:
-        h = np.concatenate([h, batch[0].to_numpy()])
-        x, gone = np.concatenate([x, sj.bodies(batch[1])]), np.concatenate([gone, batch[2].to_numpy()])
-        edges = np.flatnonzero(np.diff(h)) + 1
-        for a, b in zip([0, *edges[:-1]], edges, strict=False):
-            yield from group(x[a:b], gone[a:b])
-        if len(edges):
-            h, x, gone = h[edges[-1] :], x[edges[-1] :], gone[edges[-1] :]
-    if len(h):
-        yield from group(x, gone)
+        for _, texts in sj.slices(batch[0]):
+            sets, _, _ = _line_sets(texts)
+            yield sets.rows(sj.fresh(sets.name, seen), False)
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, lines array<int>): numbers of the removed lines by id and text hash."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    passed = written(rows.mapInArrow(_survey, PASSED), "line-survey")
-    counts = sj.sketch(passed.filter("cell is not null").select("cell", "tokens"))
-    lines = passed.filter("cell is null").select("doc_id", "th", "line", "name")
-    place = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "th", "line")
-    firsts = written(lines.groupBy("name").agg(F.min(place).alias("first")), "line-firsts")
+    counts = sj.sketch(rows.select("text").mapInArrow(sj.sketched(lambda texts: sj.owned_words(texts)[1]), "cell int, tokens binary"))
     low, high = rows.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
-    dealt = sj.sort_postings(rows.mapInArrow(_prefixes(counts, int(low), int(high)), sj.POSTING))
-    found = written(dealt.mapInArrow(sj.first_round(True), sj.FOUND), "line-candidates")
+    dealt = sj.deal(rows.mapInArrow(_postings(counts, int(low), int(high), sj.bucket_count(docs)), sj.DEALT))
+    found = written(dealt.mapInArrow(sj.first_round(_others), sj.FOUND), "line-found")
+    firsts = found.filter(F.col("k") == sj.FIRST).select(F.col("a").alias("name"), F.col("b").alias("doc_id"), F.col("c").alias("th"), F.col("n").alias("line"))
+    pairs = written(found.filter(F.col("k") == sj.PAIR).select("a", "b").distinct(), "line-pairs")
+    live = found.filter(F.col("k") == sj.LIVE).select(F.col("a").alias("key"), F.col("b").alias("name"), "body")
+    names = written(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).union(live.select("name")).distinct(), "line-names")
+    sets = sj.wanted_sets(rows.select("text").mapInArrow(_token_rows, sj.TOKENS), names)
+    places = written(firsts.join(F.broadcast(names) if names.count() <= sj.SENT_NAMES else names, "name", "left_semi"), "line-places")
 
     def losers(pairs: DataFrame) -> DataFrame:
-        """Names with an earlier match, among pairs (a, b)."""
-        pairs = written(pairs.distinct(), "line-pairs")
-        names = written(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), "line-names")
-        if names.count() <= sj.SENT_NAMES:
-            sent = np.sort(np.array([r[0] for r in names.toLocalIterator()], np.int64))
-            sets = rows.mapInArrow(_tokens(sent), sj.TOKENS)
-        else:
-            sets = rows.mapInArrow(_tokens(None), sj.TOKENS).join(names, "name", "left_semi")
-        links = sj.verified(pairs, written(sets, "line-sets"))
-        links = links.join(firsts.select(F.col("name").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("name").alias("b"), F.col("first").alias("fb")), "b")
+        """Names with an earlier match, among candidate pairs (a, b)."""
+        at = lambda k: places.select(F.col("name").alias(k), F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "th", "line").alias("f" + k))
+        links = sj.verified(pairs, sets, False).join(at("a"), "a").join(at("b"), "b")
         return links.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("name")).distinct()
 
-    gone = written(losers(found.filter("a is not null").select("a", "b")), "line-losers")
-    live = found.filter("h is not null").select("h", "name", "body")
-    if not live.isEmpty():
-        at = F.floor((F.col("first.doc_id") - F.lit(int(low))) / F.lit(max(1, int(high) - int(low))) * F.lit(2.0**31 - 2))
-        state = firsts.join(gone.withColumn("gone", F.lit(True)), "name", "left").select("name", (F.coalesce(at, F.lit(-1)) - F.when(F.col("gone"), F.lit(1 << 62)).otherwise(0)).cast("long").alias("place"))
-        marked = live.join(state, "name").select("h", "body", "place")
-        rest = written(sj.sort_postings(marked).mapInArrow(_open_pairs, "a long, b long").distinct(), "line-rest")
-        if not rest.isEmpty():
-            gone = written(gone.union(losers(rest)).distinct(), "line-losers")
-    judged = firsts.join(gone.withColumn("gone", F.lit(True)), "name", "left")
-    out = lines.join(judged, "name").filter(F.coalesce("gone", F.lit(False)) | (place != F.col("first")))
-    return out.groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines"))
+    gone = written(losers(pairs), "line-losers")
+
+    def settle(more: DataFrame | None) -> DataFrame:
+        nonlocal gone
+        if more is not None:
+            gone = written(gone.unionByName(more).distinct(), "line-losers")
+        return gone.select("name", F.lit(1).cast("long").alias("state"))
 
+    sj.rounds(live, pairs, sets, losers, settle, False)
+    lost = places.join(gone, "name", "left_semi").select("doc_id", "th", "line")
+    equal = found.filter(F.col("k") == sj.ITEM).select(F.col("b").alias("doc_id"), F.col("c").alias("th"), F.col("n").alias("line"))
+    return equal.unionByName(lost).groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines"))
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the kept lines as their texts, and columns n_lines, n_removed, and
-    n_worded, the kept lines that have words.
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", added: tuple[str, str, str] = ("n_lines", "n_removed", "n_worded")) -> DataFrame:
+    """``docs`` with the kept lines as their texts, and columns ``added``: the lines, the
+    removed ones, and the kept lines that have words.
 
     Null texts stay null, with 0 lines.  Of rows of the same id and text the first keeps
-    its lines and the others lose all that have words.  Other columns are carried along.
+    its lines and the others lose all that have words.  Other columns are carried along
+    whatever their names, but for those that are named like an added one: these give way.
     """
-    gone = removed_lines(docs, id_col, text_col).withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th")
-    keyed = docs.withColumn("_h", F.xxhash64(text_col))
-    repeated = keyed.groupBy(F.col(id_col).cast("long"), "_h").count().filter("count > 1")
+    key, hash_, copy, other_key, other_hash, lines, cut = inner_names(docs, 7)
+    gone = removed_lines(docs, id_col, text_col).toDF(other_key, other_hash, lines)
+    keyed = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(hash_, F.xxhash64(text_col))
+    repeated = keyed.groupBy(key, hash_).agg(F.count("*").alias(copy)).filter(F.col(copy) > 1)
     if not repeated.isEmpty():
-        keyed = keyed.withColumn("_copy", F.row_number().over(Window.partitionBy(F.col(id_col).cast("long"), "_h").orderBy(F.lit(0))))
+        keyed = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(key, hash_).orderBy(F.lit(0))))
     else:
-        keyed = keyed.withColumn("_copy", F.lit(1))
-    joined = keyed.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
+        keyed = keyed.withColumn(copy, F.lit(1))
+    joined = keyed.join(gone, F.col(key).eqNullSafe(F.col(other_key)) & (F.col(hash_) == F.col(other_hash)), "left")
 
     @F.pandas_udf("text string, n_lines int, n_removed int, n_worded int")
-    def cut(texts: pd.Series, gone: pd.Series, copies: pd.Series) -> pd.DataFrame:
-        import re
-
-        word, out = re.compile(r"[^\x20\x09-\x0D]"), []
+    def kept(texts: pd.Series, gone: pd.Series, copies: pd.Series) -> pd.DataFrame:
+        out = []
         for text, lines, copy in zip(texts, gone, copies, strict=True):
             if text is None:
                 out.append((None, 0, 0, 0))
                 continue
             all_lines = text.split("\n")
-            worded = [bool(word.search(x)) for x in all_lines]
-            drop = {k for k, w in enumerate(worded) if w} if copy > 1 else set() if lines is None else set(lines)
-            kept = [x for k, x in enumerate(all_lines) if k not in drop]
-            out.append(("\n".join(kept), len(all_lines), len(drop), sum(worded) - len(drop)))
+            worded = [bool(x.strip(" \t\n\x0b\x0c\r")) for x in all_lines]
+            drop = {k for k, w in enumerate(worded) if w} if copy > 1 else set() if lines is None else set(lines.tolist())
+            text = "\n".join([x for k, x in enumerate(all_lines) if k not in drop]) if drop else text
+            out.append((text, len(all_lines), len(drop), sum(worded) - len(drop)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "n_worded"])
 
-    out = joined.withColumn("_cut", cut(F.col(text_col), F.col("lines"), F.col("_copy")))
-    kept = [F.col("_cut.text").alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return out.select(*kept, "_cut.n_lines", "_cut.n_removed", "_cut.n_worded")
+    out = joined.withColumn(cut, kept(F.col(text_col), F.col(lines), F.col(copy)))
+    columns = [F.col(cut)["text"].alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in added]
+    return out.select(*columns, *(F.col(cut)[f].alias(c) for f, c in zip(("n_lines", "n_removed", "n_worded"), added, strict=True)))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, text_sha256 of the kept text; null: of nothing)."""
-    out = dedup_lines(docs.select(id_col, text_col), id_col, text_col)
-    return out.select(F.col(id_col).alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    out = dedup_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))

@@ -1,10 +1,10 @@
 """Near-duplicate documents by an exact Jaccard join on word n-grams.
 
 A document's set is that of its 5-word shingles.  The join itself is described in
-``set_join``: rare-first prefixes, length and positional filters on the prefix n-grams, a
-suffix filter and one verification per pair.  Documents of equal sets are one record
-throughout, and pairs inside a component that earlier links have joined aren't looked at
-again, so large groups of copies cost no more than their members' prefixes.
+``set_join``: rare-first prefixes, length, positional and signature filters on the prefix
+n-grams, a suffix filter and one verification per pair.  Documents of equal sets are one
+record throughout, and pairs inside a component that earlier links have joined aren't
+looked at again, so large groups of copies cost no more than their members' prefixes.
 """
 
 from __future__ import annotations
@@ -18,10 +18,20 @@ from pyspark.sql import functions as F
 
 from quire.llm import set_join as sj
 from quire.llm.components import components
-from quire.llm.shared import written
+from quire.llm.shared import inner_names, written
 
 SIZE = 5
-PASSED = "doc_id long, n int, name long, cell int, tokens binary"
+#: Packed columns of a document (id, whether it has one, name, size) and of a name's first document.
+ITEM = ("<i8", "i1", "<i8", "<i4")
+FIRST = ("<i8", "<i8", "i1")
+
+
+def _tokens(size: int):
+    def run(texts: list[bytes]) -> np.ndarray:
+        owner, words, _, _ = sj.owned_words(texts)
+        return sj.shingles(owner, words, size)[1]
+
+    return run
 
 
 def _sets(texts: list[bytes], size: int) -> sj.Sets:
@@ -29,136 +39,100 @@ def _sets(texts: list[bytes], size: int) -> sj.Sets:
     return sj.Sets(*sj.shingles(owner, words, size))
 
 
-def _survey(size: int):
-    """A row for every document, (doc_id, n, name), and for every sketch cell of a task,
-    (cell, tokens)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("name", pa.int64()), ("cell", pa.int32()), ("tokens", pa.binary())])
+def _postings(size: int, counts: np.ndarray, buckets: int):
+    """Prefix postings of each set that the task meets; a row for every document; and the
+    least id of every name."""
+    noise = sj.noise_of(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << sj.SKETCH_BITS, np.int64)
+        dealer, seen = sj.Dealer(buckets), set()
+        least: dict[int, int] = {}
         for batch in batches:
+            ids = batch[0].to_numpy(zero_copy_only=False) if not batch[0].null_count else batch[0].fill_null(0).to_numpy()
+            known = np.array(batch[0].is_valid(), dtype=np.int8)
             for at, texts in sj.slices(batch[1]):
                 sets = _sets(texts, size)
-                counts += np.bincount(sets.cells(), minlength=len(counts))
+                dealer.add_postings(sets, counts, noise, sj.fresh(sets.name, seen), sets.size)
+                mine, have = ids[at : at + len(texts)].astype(np.int64), known[at : at + len(texts)]
                 n, name = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64)
                 n[sets.who], name[sets.who] = sets.size, sets.name
-                none = pa.nulls(len(texts))
-                yield pa.RecordBatch.from_arrays([batch[0].slice(at, len(texts)), pa.array(n), pa.array(name, mask=n == 0), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
-        cell, tokens = sj.sketch_blocks(counts)
-        none = pa.nulls(len(cell))
-        yield pa.RecordBatch.from_arrays([*(none.cast(f.type) for f in list(schema)[:3]), cell, tokens], schema=schema)
+                dealer.add(sj.ITEMS, ITEM, sj.mix(mine.view(np.uint64) + np.arange(len(mine), dtype=np.uint64)), [mine, have, name, n])
+                for w, i, h in zip(name[n > 0].tolist(), mine[n > 0].tolist(), have[n > 0].tolist(), strict=True):
+                    old = least.get(w, ())
+                    if old == () or h and (old is None or i < old):
+                        least[w] = i if h else None
+                yield from dealer.given(sj.HELD_POSTINGS)
+        names = np.array(list(least), np.int64)
+        first = list(least.values())
+        dealer.add(sj.FIRSTS, FIRST, sj.mix(names.view(np.uint64)), [names, np.array([i or 0 for i in first], np.int64), np.array([i is not None for i in first], np.int8)])
+        yield from dealer.given()
 
     return run
 
 
-def _prefixes(size: int, counts: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a task gives out each set once
-        for batch in batches:
-            for _, texts in sj.slices(batch[1]):
-                sets = _sets(texts, size)
-                keep = np.zeros(len(sets.name), bool)
-                for k, name in enumerate(sets.name.tolist()):
-                    if name not in seen:
-                        seen.add(name)
-                        keep[k] = True
-                which, token, pos = sets.prefixes(counts, keep)
-                yield sj.postings(token, sets.name[which], 0, 0, sets.size[which], pos)
-
-    return run
+def _others(kind: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+    if kind == sj.ITEMS:
+        ids, known, name, n = sj.unpack(bodies, ITEM)
+        yield sj.found(sj.ITEM, len(ids), b=pa.array(ids, mask=known == 0), c=pa.array(name, mask=n == 0), n=n)
+    else:
+        name, ids, known = sj.unpack(bodies, FIRST)
+        o = np.lexsort((ids, known == 0, name))
+        name, ids, known = name[o], ids[o], known[o]
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, int)
+        yield sj.found(sj.FIRST, len(first), a=name[first], b=pa.array(ids[first], mask=known[first] == 0))
 
 
-def _tokens(size: int):
+def _token_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, texts in sj.slices(batch[1]):
-                sets, rows = _sets(texts, size), []
-                for name, a, n in zip(sets.name.tolist(), sets.first, sets.size, strict=True):
-                    if name not in seen:
-                        seen.add(name)
-                        rows.append((name, sets.token[a : a + n]))
-                yield sj.token_rows(rows)
+                sets = _sets(texts, size)
+                yield sets.rows(sj.fresh(sets.name, seen), True)
 
     return run
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over postings with components, sorted by (h, body): all pairs of different
-    components that pass the filters.  It holds the rows of one token."""
-
-    def group(x: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, new = np.unique(x["name"], return_index=True)
-        x, root = x[new], root[new]
-        if (root == root[0]).all():
-            return
-        o = np.argsort(x["n"], kind="stable")
-        x, root = x[o], root[o]
-        n = x["n"].astype(np.int64)
-        for a in range(0, len(x), 256):
-            b = min(a + 256, len(x))
-            lo = int(np.searchsorted(n, -(-(sj.NUM * int(n[a])) // sj.DEN)))
-            i, j = np.meshgrid(np.arange(a, b), np.arange(lo, b), indexing="ij")
-            ok = (j < i) & (root[i] != root[j])
-            i, j = i[ok], j[ok]
-            good = sj.may_link(n[i], x["pos"][i], None, n[j], x["pos"][j], None)
-            pairs = np.sort(np.stack([x["name"][i[good]], x["name"][j[good]]], 1), 1)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    h, x, root = np.zeros(0, np.int64), np.zeros(0, sj.BODY), np.zeros(0, np.int64)
-    for batch in batches:
-        h = np.concatenate([h, batch[0].to_numpy()])
-        x, root = np.concatenate([x, sj.bodies(batch[1])]), np.concatenate([root, batch[2].to_numpy()])
-        edges = np.flatnonzero(np.diff(h)) + 1
-        for a, b in zip([0, *edges[:-1]], edges, strict=False):
-            yield from group(x[a:b], root[a:b])
-        if len(edges):
-            h, x, root = h[edges[-1] :], x[edges[-1] :], root[edges[-1] :]
-    if len(h):
-        yield from group(x, root)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id), the smallest id that links
     reach.
 
     Null, empty and blank texts have no shingles and link with nothing; texts of fewer
     words are one shingle.  Rows of equal text link, so repeated rows share a component;
-    null ids never name one unless a component has no other.  Extra columns are ignored.
+    null ids never name one unless a component has no other.  Extra columns are ignored;
+    an empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    passed = written(rows.mapInArrow(_survey(size), PASSED), "survey")
-    counts = sj.sketch(passed.filter("cell is not null").select("cell", "tokens"))
-    info = passed.filter("cell is null").select("doc_id", "n", "name")
-    named = info.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-
-    dealt = sj.sort_postings(rows.mapInArrow(_prefixes(size, counts), sj.POSTING))
-    found = written(dealt.mapInArrow(sj.first_round(False), sj.FOUND), "candidates")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.distinct(), "pairs")
-        names = written(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), "names")
-        wanted = written(names.join(named, "name").select(F.col("doc_id").alias("_w")).distinct(), "wanted")
-        few = names.count() <= sj.SENT_NAMES  # and so are the ids wanted: each name has one
-        sent = F.broadcast(wanted) if few else wanted
-        texts = rows.join(sent, F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
-        sets = written(texts.mapInArrow(_tokens(size), sj.TOKENS).join(F.broadcast(names) if few else names, "name", "left_semi"), "sets")
-        return written(sj.verified(pairs, sets), "links")
-
-    edges = links(found.filter("a is not null").select("a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    joined = components(edges)
-    live = found.filter("h is not null").select("h", F.col("name").alias("node"), "body")
-    if not live.isEmpty():
-        live = live.join(joined, "node", "left").select("h", "body", F.coalesce("root", "node").alias("root"))
-        rest = written(sj.sort_postings(live).mapInArrow(_open_pairs, "a long, b long").distinct(), "rest")
-        if not rest.isEmpty():
-            more = links(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    counts = sj.sketch(rows.mapInArrow(sj.sketched(_tokens(size), 1), "cell int, tokens binary"))
+    dealt = sj.deal(rows.mapInArrow(_postings(size, counts, sj.bucket_count(docs)), sj.DEALT))
+    found = written(dealt.mapInArrow(sj.first_round(_others), sj.FOUND), "found")
+    info = found.filter(F.col("k") == sj.ITEM).select(F.col("b").alias("doc_id"), F.col("c").alias("name"), "n")
+    named = found.filter(F.col("k") == sj.FIRST).select(F.col("a").alias("name"), F.col("b").alias("doc_id"))
+    pairs = written(found.filter(F.col("k") == sj.PAIR).select("a", "b").distinct(), "pairs")
+    live = found.filter(F.col("k") == sj.LIVE).select(F.col("a").alias("key"), F.col("b").alias("name"), "body")
+
+    names = written(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).union(live.select("name")).distinct(), "names")
+    few = names.count() <= sj.SENT_NAMES  # and so are the ids wanted: each name has one
+    wanted = names.join(named, "name").select(F.col("doc_id").alias("_w")).distinct()
+    texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
+    sets = sj.wanted_sets(texts.mapInArrow(_token_rows(size), sj.TOKENS), names)
+
+    links = sj.verified(pairs, sets, True).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    joined = components(links)
+
+    def settle(links: DataFrame | None) -> DataFrame:
+        nonlocal joined
+        if links is not None:
+            more = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
             joined = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-    labelled = named.join(joined.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    classes = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_name = labelled.join(classes, "root").select("name", "component_id")
+        return joined.select(F.col("node").alias("name"), F.col("root").alias("state"))
+
+    sj.rounds(live, pairs, sets, lambda new: sj.verified(new, sets, True), settle, True)
+    linked = joined.select(F.col("node").alias("name"), "root").unionByName(joined.select(F.col("root").alias("name"), "root").distinct())
+    inside = written(linked.join(named, "name"), "linked")
+    classes = inside.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_name = named.join(inside.select("name", "root").join(classes, "root").select("name", F.col("component_id").alias("_linked")), "name", "left")
+    by_name = by_name.select("name", F.coalesce("_linked", "doc_id").alias("component_id"))
     out = info.join(by_name, "name", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -168,15 +142,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several rows of that id the one of the least text.
 
     Every row has a number of its own, so that rows of one id, or of none, are told apart.
+    The columns come through as they are, whatever their names.
     """
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    classes = near_duplicates(numbered, "_row", text_col, size).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_c"))
-    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"))
-    ranked = written(classes.join(numbered.select("_row", rank.alias("_id")), "_row"), "ranked")
-    least = ranked.groupBy("_c").agg(F.min("_id").alias("_id"))
-    first = written(ranked.join(least, ["_c"]).filter(ranked["_id"].eqNullSafe(least["_id"])).groupBy("_c").agg(F.min("_row").alias("_row"), F.count("*").alias("_n"), F.first(least["_id"]).alias("_id")), "first")
-    tied = first.filter("_n > 1").select("_c", F.col("_id").alias("_least"))
-    tied = ranked.join(tied, "_c").filter(F.col("_id").eqNullSafe(F.col("_least"))).select("_c", "_row")
-    texts = tied.join(numbered.select("_row", F.col(text_col).alias("_t")), "_row").groupBy("_c").agg(F.min(F.struct("_t", "_row")).alias("_m"))
-    keep = first.filter("_n = 1").select("_row").unionByName(texts.select(F.col("_m._row").alias("_row")))
-    return numbered.join(keep, "_row", "left_semi").select(*docs.columns)
+    row, class_, rank, least, text = inner_names(docs, 5)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    classes = near_duplicates(numbered, row, text_col, size).select(F.col("doc_id").alias(row), F.col("component_id").alias(class_))
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"))
+    ranked = written(classes.join(numbered.select(row, place.alias(rank)), row), "ranked")
+    best = ranked.groupBy(class_).agg(F.min(rank).alias(least))
+    at_best = ranked.join(best, class_).filter(F.col(rank).eqNullSafe(F.col(least)))
+    first = written(at_best.groupBy(class_).agg(F.min(row).alias(row), F.count("*").alias("n"), F.first(least).alias(least)), "first")
+    tied = ranked.join(first.filter("n > 1").select(class_, least), class_).filter(F.col(rank).eqNullSafe(F.col(least))).select(class_, row)
+    texts = tied.join(numbered.select(row, F.col(text_col).alias(text)), row).groupBy(class_).agg(F.min(F.struct(text, row)).alias(rank))
+    keep = first.filter("n = 1").select(row).unionByName(texts.select(F.col(rank)[row].alias(row)))
+    return numbered.join(keep, row, "left_semi").select(*docs.columns)

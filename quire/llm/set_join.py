@@ -4,14 +4,20 @@ A record is a set of 64-bit token hashes; equal sets are one record, named by a
 the set (two unlike sets share a name with a chance of about n*n/2**65).  Tokens are put
 in one global order, rare ones first: by the count of the sketch cell that a token falls
 in, then by hash.  The sketch has a fixed number of cells and counts every token of the
-corpus, so what is broadcast doesn't grow.  Any global order gives exact results; this one
-keeps frequent tokens out of the prefixes.
-
-Two sets with Jaccard similarity of at least NUM/DEN share a token of their prefixes.
-Prefix tokens are dealt out by hash; within the rows of one token, pairs pass the length,
-positional and signature filters.  Of the earlier rows that pass, a row is paired with the
-first two and the last two.  Where more pass, these rows are kept, and a second round
-pairs all of them that the first round's links have left open.
+corpus, so what is sent to all tasks doesn't grow.  Any global order gives exact results;
+this one keeps frequent tokens out of the prefixes.
+
+Two sets with Jaccard similarity of at least NUM/DEN share a token of their prefixes.  A
+task packs its prefix postings into one array for each bucket of token hashes, so that
+Spark moves some thousand arrays and not millions of rows.  Within the rows of one token,
+sorted by size, all pairs in the length window pass the signature and positional filters;
+each row yields its first ROUND_ZERO partners.  Where more pass, the rows are kept, and
+later rounds give out the partners beyond, GROWTH times as many a round, of those rows
+that the links so far have left open.  A pair that has been judged isn't judged again.
+
+The rows of a token with many of them are dealt to the cells of a triangle: with s salts,
+a row goes to the s cells that its salt is part of, so that any two rows meet and no cell
+has more than about 2 * HOT_ROWS rows.
 """
 
 from __future__ import annotations
@@ -21,10 +27,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import worker_state, written
+from quire.llm.shared import written
 
 #: Similarity from which sets link: 80 / 100.
 NUM, DEN = 80, 100
@@ -32,23 +39,27 @@ SKETCH_BITS = 20
 #: Cells travel from tasks in blocks of so many.
 SKETCH_BLOCK = 4096
 SLICE_BYTES = 1 << 20
-#: Rows of one token that a task holds before it passes them on in part.
-GROUP_ROWS = 200_000
-#: Names of sets that are sent to all executors up to so many (8 bytes each); more are joined.
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Rows of one token that meet in one cell; a token with more is dealt to several.
+HOT_ROWS = 1 << 13
+#: Partners of a row that the first round gives out, and how many times more each later one.
+ROUND_ZERO, GROWTH = 4, 8
+#: Pairs that are looked at side by side.
+PAIR_BATCH = 1 << 20
+#: Postings that a task holds before it gives them out.
+HELD_POSTINGS = 1 << 20
+#: Buckets of token hashes for each shuffle partition.
+BUCKETS = 4
+#: Names of sets that are broadcast up to so many (8 bytes each); more are joined.
 SENT_NAMES = 1_000_000
-#: Groups up to the first size are compared side by side with others, up to the second one
-#: by one in blocks; in larger ones just four partners are tried and the second round does
-#: the rest.
-SMALL_GROUP, MIDDLE_GROUP = 64, 512
 
 U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_SPACE = np.zeros(256, np.int8)
-_SPACE[[9, 10, 11, 12, 13, 32]] = 1
-_P = 0x9E3779B97F4A7C15
-_PLACE = _rng.integers(0, 2**63, 8, dtype=np.uint64) * U(2) + U(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_A, _B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+_PLACE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**63, 8, dtype=np.uint64) * U(2) + U(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,52 +68,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse, kept by the worker: as globals they
-    would travel with every task."""
-    state = worker_state()
-    have = state.get("set_join_powers")
-    if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        have = tuple(np.concatenate([[U(1)], np.full(size, U(b))]).cumprod(dtype=np.uint64) for b in (_P, pow(_P, -1, 1 << 64)))
-        if size <= 2 * SLICE_BYTES:
-            state["set_join_powers"] = have
-    return have
+def _piece_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low = raw.lower() + b" " * 8
+    space = _SPACE[np.frombuffer(low, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate([[0], edges])
+    start, end = edges[0::2], edges[1::2]
+    size = end - start
+    eight = np.ndarray((len(low) - 7,), "<u8", low, 0, (1,))  # eight bytes from each offset
+    h = eight[start] & _LOW_BYTES[np.minimum(size, 8)]
+    h = (h ^ size.astype(np.uint64) * _B) * _A
+    h ^= h >> U(32)
+    k, at = 8, np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    while len(at):
+        x = (h[at] ^ eight[start[at] + k] & _LOW_BYTES[np.minimum(size[at] - k, 8)]) * _A
+        h[at] = x ^ (x >> U(29))
+        k += 8
+        at = at[size[at] > k]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(low[start[i] : end[i]])
+    return start, mix(h)
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and hashes of the words of a text: runs of bytes other than white
     space, A-Z as a-z.  Long texts go in pieces cut at white space."""
-    data = np.frombuffer(raw, np.uint8)
     starts, hashes, at = [], [], 0
-    while at < len(data):
-        stop = min(at + SLICE_BYTES, len(data))
-        part = data[at:stop]
-        if stop < len(data):
-            gaps = np.flatnonzero(_SPACE[part])
+    while at < len(raw):
+        stop = min(at + 2 * SLICE_BYTES, len(raw))
+        if stop < len(raw):
+            gaps = np.flatnonzero(_SPACE[np.frombuffer(raw, np.uint8, stop - at, at)])
             if len(gaps):
                 stop = at + int(gaps[-1]) + 1
-            else:  # one word longer than a slice
-                rest = np.flatnonzero(_SPACE[data[stop:]])
-                stop = stop + int(rest[0]) + 1 if len(rest) else len(data)
-            part = data[at:stop]
-        edge = np.diff(_SPACE[part], prepend=np.int8(1), append=np.int8(1))
-        s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        pow_, inv = _powers(len(part))
-        c = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * pow_[: len(part)], out=c[1:])
-        h = (c[e] - c[s]) * inv[s]
+            else:  # one word longer than a piece
+                while stop < len(raw):
+                    part = np.flatnonzero(_SPACE[np.frombuffer(raw, np.uint8, min(SLICE_BYTES, len(raw) - stop), stop)])
+                    if len(part):
+                        stop += int(part[0]) + 1
+                        break
+                    stop = min(stop + SLICE_BYTES, len(raw))
+        s, h = _piece_hashes(raw[at:stop])
         starts.append(s + at)
-        hashes.append(mix(h ^ ((e - s).astype(np.uint64) * U(_P))))
+        hashes.append(h)
         at = stop
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(starts), np.concatenate(hashes)
 
 
+def places(ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many of the ascending ``ends`` are at or before each of the ascending ``starts``."""
+    return np.cumsum(np.bincount(np.searchsorted(starts, ends), minlength=len(starts) + 1)[: len(starts)])
+
+
 def shingles(owner: np.ndarray, words: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of ``size`` words of one owner; the whole sequence where it has fewer."""
+    """Runs of ``size`` words of one owner; the whole sequence where it has fewer.  Owners ascend."""
     n = len(words)
+    owners, out = [], []
     if n >= size:
         h = np.zeros(n - size + 1, np.uint64)
         for k in range(size):
@@ -110,30 +133,51 @@ def shingles(owner: np.ndarray, words: np.ndarray, size: int = 5) -> tuple[np.nd
         own = owner[: n - size + 1]
         full = own == owner[size - 1 :]
         owners, out = [own[full]], [mix(h[full])]
-    else:
-        owners, out = [], []
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     count = np.diff(first, append=n)
     for k in range(1, size):
         at = first[count == k]
         if len(at):
-            h = np.full(len(at), U(k) * _PLACE[7])
+            h = np.full(len(at), k, np.uint64) * _PLACE[7]
             for j in range(k):
                 h += words[at + j] * _PLACE[j]
             owners.append(owner[at])
             out.append(mix(mix(h)))
-    return (np.concatenate(owners), np.concatenate(out)) if owners else (owner[:0], words[:0])
+    if not out:
+        return owner[:0], words[:0]
+    owners, out = np.concatenate(owners), np.concatenate(out)
+    o = np.argsort(owners, kind="stable")
+    return owners[o], out[o]
+
+
+def cells_of(token: np.ndarray) -> np.ndarray:
+    return (token >> U(20)).astype(np.int64) & ((1 << SKETCH_BITS) - 1)
+
 
+def sketched(tokens_of: Callable[[list[bytes]], np.ndarray], column: int = 0) -> Callable:
+    """A mapper from batches of texts to a task's share of the sketch, (cell, tokens): block
+    numbers and 32-bit counts."""
 
-def sketch_blocks(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """A task's counts as (block number, 32-bit counts): its share of the sketch."""
-    blocks = counts.astype("<u4").reshape(-1, SKETCH_BLOCK)
-    return pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held = np.zeros(1 << SKETCH_BITS, np.int64), []
+        for batch in batches:
+            for _, texts in slices(batch[column]):
+                held.append(cells_of(tokens_of(texts)))
+                if sum(map(len, held)) > 4 << SKETCH_BITS:
+                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
+                    held = []
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=len(counts))
+        blocks = np.minimum(counts, 2**32 - 1).astype("<u4").reshape(-1, SKETCH_BLOCK)
+        full = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([blocks[k].tobytes() for k in full], pa.binary())], ["cell", "tokens"])
+
+    return run
 
 
 def sketch(rows: DataFrame) -> np.ndarray:
-    """Counts of all cells from rows (cell, tokens) of ``sketch_blocks``.  Blocks are summed
-    in two steps, so that no task holds more than a share of them; 2**SKETCH_BITS numbers
+    """Counts of all cells from rows (cell, tokens) of ``sketched``.  Blocks are summed in
+    two steps, so that no task holds more than a share of them; 2**SKETCH_BITS numbers
     reach the driver, whatever the corpus."""
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,49 +191,93 @@ def sketch(rows: DataFrame) -> np.ndarray:
     out = np.zeros(1 << SKETCH_BITS, np.uint64)
     for r in summed.collect():
         out[r["cell"] * SKETCH_BLOCK : (r["cell"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["tokens"], "<u8")
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+    return np.minimum(out, _MOST).astype(np.int32)
+
+
+#: Counts are told apart up to this one; a rank key is a count and the rest of its bits from the token's hash.
+_COUNT_BITS = 28
+_MOST = U((1 << _COUNT_BITS) - 1)
+
+
+def sorted_within(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Values in ascending order within each run of equal owners.  Runs of one length are
+    sorted side by side."""
+    if not len(owner):
+        return value.copy()
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    size = np.diff(first, append=len(owner))
+    out = value.copy()
+    o = np.argsort(size, kind="stable")
+    cuts = np.flatnonzero(np.diff(size[o], prepend=0))
+    for a, b in zip(cuts, [*cuts[1:], len(o)], strict=True):
+        n = int(size[o[a]])
+        if n == 1:
+            continue
+        if b - a == 1:
+            out[first[o[a]] : first[o[a]] + n].sort()
+        else:
+            at = first[o[a:b], None] + np.arange(n)
+            rows = value[at]
+            rows.sort(axis=1)
+            out[at] = rows
+    return out
 
 
 class Sets:
-    """Sets of several owners: ``owner`` and ``token`` sorted by (owner, token) without
-    repeats; ``first`` and ``size`` by set; ``name`` is a set's hash."""
+    """Sets of several owners, which ascend: ``owner`` and ``token`` in order of (owner,
+    token) without repeats; ``who``, ``first`` and ``size`` by set; ``name`` is a set's hash."""
 
     def __init__(self, owner: np.ndarray, token: np.ndarray):
-        o = np.lexsort((token, owner))
-        owner, token = owner[o], token[o]
-        new = np.ones(len(o), bool)
+        token = sorted_within(owner, token)
+        new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
         self.owner, self.token = owner[new], token[new]
         self.first = np.flatnonzero(np.diff(self.owner, prepend=-1))
         self.size = np.diff(self.first, append=len(self.owner))
         self.who = self.owner[self.first]
+        self.name = np.zeros(0, np.int64)
         if len(self.first):
             total = np.add.reduceat(mix(self.token ^ _PLACE[5]), self.first)
             self.name = mix(total ^ (self.size.astype(np.uint64) * _PLACE[6])).view(np.int64)
-        else:
-            self.name = np.zeros(0, np.int64)
-
-    def cells(self) -> np.ndarray:
-        return (self.token >> U(20)).astype(np.int64) & ((1 << SKETCH_BITS) - 1)
 
     def signatures(self) -> np.ndarray:
         """One 64-bit parity of token bits per set: sets that differ in d tokens differ in
         at most d bits."""
         bits = U(1) << (self.token >> U(40) & U(63))
-        return np.bitwise_xor.reduceat(bits, self.first).view(np.int64) if len(self.first) else np.zeros(0, np.int64)
+        return np.bitwise_xor.reduceat(bits, self.first) if len(self.first) else np.zeros(0, np.uint64)
 
-    def prefixes(self, counts: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Set index, token and position of the prefix tokens of the sets that ``keep`` marks."""
+    def prefixes(self, counts: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Set index, key, count and position of the prefix tokens of the sets that ``keep``
+        marks.  A key stands for all tokens of one rank; tokens that occur once in the
+        corpus are left out, as no other set has them."""
         which = np.repeat(np.arange(len(self.first)), self.size)
         on = keep[which]
-        which, token, count = which[on], self.token[on], counts[self.cells()[on]]
-        o = np.lexsort((token, count, which))
-        which, token = which[o], token[o]
+        which, token = which[on], self.token[on]
+        rank = counts[cells_of(token)].astype(np.uint64) << U(64 - _COUNT_BITS) | token >> U(_COUNT_BITS)
+        rank = sorted_within(which, rank)
         first = np.flatnonzero(np.diff(which, prepend=-1))
         pos = np.arange(len(which)) - np.repeat(first, np.diff(first, append=len(which)))
-        size = self.size[which]
-        short = pos < size + (-NUM * size) // DEN + 1  # size - ceil(size * NUM / DEN) + 1
-        return which[short], token[short], pos[short]
+        size, count = self.size[which], (rank >> U(64 - _COUNT_BITS)).astype(np.int64)
+        short = (pos < size + (-NUM * size) // DEN + 1) & (count > 1)  # size - ceil(size * NUM / DEN) + 1
+        return which[short], mix(rank[short]), count[short], pos[short]
+
+    def rows(self, keep: np.ndarray, parity: bool) -> pa.RecordBatch:
+        """Rows of ``TOKENS`` of the sets that ``keep`` marks."""
+        at = np.flatnonzero(keep)
+        on = np.repeat(keep, self.size)
+        tokens = self.token[on]
+        offsets = np.concatenate([[0], np.cumsum(self.size[at])]) * 8
+        body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(tokens.tobytes())]).cast(pa.binary())
+        marks = pa.nulls(len(at), pa.binary())
+        if parity:
+            bits = [np.bincount((self.token[a : a + n] >> U(8)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1 for a, n in zip(self.first[at], self.size[at], strict=True)]
+            marks = pa.array([np.packbits(b.astype(np.uint8)).tobytes() for b in bits], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(self.name[at]), marks, body], ["name", "parity", "tokens"])
+
+
+#: Bits of the parity by which pairs of large sets are looked at before their tokens are fetched.
+PARITY_BITS = 2048
+TOKENS = "name long, parity binary, tokens binary"
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -211,7 +299,17 @@ def owned_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.n
     raw = b"\n".join(texts)
     ends = np.cumsum([len(t) + 1 for t in texts])
     starts, words = word_hashes(raw)
-    return np.searchsorted(ends, starts, "right"), words, raw, starts
+    return places(ends, starts), words, raw, starts
+
+
+def fresh(names: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which names this task meets for the first time."""
+    out = np.zeros(len(names), bool)
+    for k, name in enumerate(names.tolist()):
+        if name not in seen:
+            seen.add(name)
+            out[k] = True
+    return out
 
 
 def required(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -219,126 +317,291 @@ def required(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return -(-(NUM * (na + nb)) // (NUM + DEN))
 
 
-def may_link(na, pa_, sa, nb, pb, sb) -> np.ndarray:
-    """Length, positional and signature filters, by size, position and signature."""
-    need = required(na, nb)
-    ok = (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)) & (np.minimum(na - pa_, nb - pb) >= need)
-    if sa is not None:
-        ok &= np.bitwise_count((sa ^ sb).astype(np.uint64)).astype(np.int64) <= na + nb - 2 * need
-    return ok
-
-
-POSTING = "h long, body binary"
-#: What a posting's body holds; the big end of ``ord`` first, so that sorted bodies of a set begin with the least.
-BODY = np.dtype([("name", "<i8"), ("sig", "<i8"), ("ord", ">i4"), ("n", "<i4"), ("pos", "<i4")])
-
-
-def postings(token: np.ndarray, name, sig, order, n, pos) -> pa.RecordBatch:
-    body = np.zeros(len(token), BODY)
-    body["name"], body["sig"], body["ord"], body["n"], body["pos"] = name, sig, order, n, pos
-    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BODY.itemsize), len(body), [None, pa.py_buffer(body.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), fixed.cast(pa.binary())], ["h", "body"])
-
-
-def bodies(column: pa.Array) -> np.ndarray:
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], BODY, len(column), int(offsets[0])) if len(column) else np.zeros(0, BODY)
-
-
-FOUND = "a long, b long, h long, name long, body binary"
-
-
-def _found(a, b, h, body) -> pa.RecordBatch:
-    n, m = len(a), len(h)
-    none = lambda k, t: pa.nulls(k, t)
-    live = postings(h, body["name"], body["sig"], body["ord"], body["n"], body["pos"])
-    cols = [pa.array(a), pa.array(b), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.binary())], [none(m, pa.int64()), none(m, pa.int64()), live[0], pa.array(body["name"].astype(np.int64)), live[1]]
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(*cols)], ["a", "b", "h", "name", "body"])
-
-
-def first_round(signed: bool) -> Callable:
-    """Over postings sorted by (h, body): candidate pairs (a, b), and again the postings
-    (h, name, body) of groups in which some pairs were left out."""
-
-    def group(h: np.ndarray, x: np.ndarray, marked: bool, done: int) -> pa.RecordBatch:
-        """Whole groups; ``marked``: the first one has been passed on in part, ``done`` rows of it before."""
-        given = np.arange(len(h)) < done
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (x["name"][1:] != x["name"][:-1])  # copies of a set from several tasks
-        h, x, given = h[new], x[new], given[new]
-        gid = np.cumsum(np.diff(h, prepend=h[:1]) != 0)
-        many = np.bincount(gid)[gid] > 1
-        if marked and len(gid):
-            many |= gid == gid[0]
-        h, x, gid, given = h[many], x[many], gid[many], given[many]
-        o = np.lexsort((x["name"], x["ord"], gid))
-        h, x, gid, given = h[o], x[o], gid[o], given[o]
-        first = np.flatnonzero(np.diff(gid, prepend=-1))
-        size = np.diff(first, append=len(gid))
-        start, at = np.repeat(first, size), np.arange(len(h))
-        n, pos, sig = x["n"].astype(np.int64), x["pos"].astype(np.int64), x["sig"].astype(np.int64)
-        whole = size <= MIDDLE_GROUP
-        if marked and len(whole):
-            whole[0] = False
-        in_whole, in_small = np.repeat(whole, size), np.repeat(whole & (size <= SMALL_GROUP), size)
-
-        def passing(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            ok = may_link(n[i], pos[i], sig[i] if signed else None, n[j], pos[j], sig[j])
-            return i[ok], j[ok]
-
-        tried = []
-        i = at[in_small]
-        for d in range(1, SMALL_GROUP):
-            i = i[i - start[i] >= d]
-            if not len(i):
-                break
-            tried.append(passing(i, i - d))
-        for g in np.flatnonzero(whole & (size > SMALL_GROUP)):
-            a, b = int(first[g]), int(first[g] + size[g])
-            for c in range(a, b, 128):
-                i, j = np.meshgrid(np.arange(c, min(c + 128, b)), np.arange(a, min(c + 128, b)), indexing="ij")
-                below = j < i
-                tried.append(passing(i[below], j[below]))
-        i, j = (np.concatenate(t) for t in zip(*tried)) if tried else (at[:0], at[:0])
-        o = np.lexsort((j, i))
-        i, j = i[o], j[o]
-        count = np.bincount(i, minlength=len(h))
-        rank = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-        picked = (rank < 2) | (rank >= count[i] - 2)
-        more = count[i] > 4
-        live = ~in_whole
-        live[i[more]] = live[j[more]] = True
-        pairs = [(i[picked], j[picked])]
-        for partner, ok in ((start, at > start), (start + 1, at > start + 1), (at - 1, at - 1 > start + 1), (at - 2, at - 2 > start + 1)):
-            ok &= ~in_whole
-            pairs.append(passing(at[ok], partner[ok]))
-        i, j = (np.concatenate(t) for t in zip(*pairs))
-        pairs = np.unique(np.sort(np.stack([x["name"][i], x["name"][j]], 1), 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
-        live &= ~given
-        return _found(pairs[:, 0], pairs[:, 1], h[live].view(np.uint64), x[live])
+# ---------------------------------------------------------------- packed arrays
+
+DEALT = "bucket int, kind byte, body binary"
+#: Kinds of packed arrays: postings, first rows by name, rows of the result to pass on.
+POSTINGS, FIRSTS, ITEMS = 0, 1, 2
+#: Lower half of the key, name, signature, order, size and position.
+POSTING = ("<u4", "<i8", "<u8", "<i4", "<i4", "<i4")
+
+
+def pack(columns: list[np.ndarray], types: tuple[str, ...]) -> bytes:
+    return b"".join(np.ascontiguousarray(c, t).tobytes() for c, t in zip(columns, types, strict=True))
+
+
+def unpack(bodies: list[bytes], types: tuple[str, ...]) -> list[np.ndarray]:
+    width = sum(np.dtype(t).itemsize for t in types)
+    out: list[list[np.ndarray]] = [[] for _ in types]
+    for body in bodies:
+        n, at = len(body) // width, 0
+        for k, t in enumerate(types):
+            out[k].append(np.frombuffer(body, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, types, strict=True)]
+
+
+class Dealer:
+    """Collects arrays of a task and gives them out by bucket."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, {}, 0
+
+    def add(self, kind: int, types: tuple[str, ...], hashes: np.ndarray, columns: list[np.ndarray]) -> None:
+        """``hashes`` choose the buckets, by their upper halves."""
+        if len(hashes):
+            at = (hashes.view(np.uint64) >> U(32)) % U(self.buckets)
+            self.held.setdefault((kind, types), []).append((at, [np.asarray(c).astype(t, copy=False) for c, t in zip(columns, types, strict=True)]))
+            self.size += len(hashes)
+
+    def given(self, least: int = 0) -> Iterator[pa.RecordBatch]:
+        """All that is held, if more than ``least`` rows."""
+        if self.size <= least:
+            return
+        for (kind, types), parts in self.held.items():
+            at = np.concatenate([p[0] for p in parts])
+            columns = [np.concatenate(c) for c in zip(*(p[1] for p in parts), strict=True)]
+            o = np.argsort(at.astype(np.uint16) if self.buckets <= 1 << 16 else at, kind="stable")
+            at, columns = at[o], [c[o] for c in columns]
+            cuts = np.flatnonzero(np.diff(at.astype(np.int64), prepend=-1))
+            bodies = [pack([c[a:b] for c in columns], types) for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at[cuts].astype(np.int32)), pa.array(np.full(len(cuts), kind, np.int8)), pa.array(bodies, pa.binary())], ["bucket", "kind", "body"])
+        self.held, self.size = {}, 0
+
+    def add_postings(self, sets: Sets, counts: np.ndarray, noise: int, keep: np.ndarray, order: np.ndarray) -> None:
+        which, key, count, pos = sets.prefixes(counts, keep)
+        salts = np.maximum(1, -(-(count - noise) // HOT_ROWS))
+        if len(salts) and salts.max() > 1:
+            row = np.repeat(np.arange(len(key)), salts)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(salts) - salts, salts)
+            own = sets.name[which].view(np.uint64)[row] % salts[row].astype(np.uint64)
+            low, high = np.minimum(own, other.astype(np.uint64)), np.maximum(own, other.astype(np.uint64))
+            cell = mix(key[row] + low * _PLACE[3] + high * _PLACE[4])
+            which, pos, key = which[row], pos[row], np.where(salts[row] > 1, cell, key[row])
+        self.add(POSTINGS, POSTING, key, [key & U(0xFFFFFFFF), sets.name[which], sets.signatures()[which], order[which], sets.size[which], pos])
+
+
+def bucket_count(df: DataFrame) -> int:
+    return max(1, BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def noise_of(counts: np.ndarray) -> int:
+    """What other tokens add to a cell: the median one.  In a small corpus it is 0 or 1."""
+    return int(np.median(counts))
+
+
+def deal(rows: DataFrame) -> DataFrame:
+    """Rows of ``DEALT`` with all of a bucket in one task, one after the other."""
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
+# ---------------------------------------------------------------- candidates
+
+_BUDGET = np.array([s - 2 * -(-NUM * s // (NUM + DEN)) for s in range(1 << 16)], np.int64)
+
+
+def _apart(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """By how many tokens two sets of these sizes may differ and link."""
+    s = na + nb
+    if len(s) and s.max() >= len(_BUDGET):
+        return s - 2 * required(na, nb)
+    return _BUDGET[s]
+
+
+def partners(group: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray, low: int, high: int, wanted=None, parity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j), j before i, of rows sorted by (group, n) that pass the filters and have
+    a rank of ``low`` up to ``high`` among the pairs of i; and which rows are in pairs of
+    any row that has more.
+
+    ``wanted`` says of index pairs whether they are given out; ranks count all pairs.
+    """
+    rows = np.arange(len(group))
+    key = group.astype(np.int64) << 32 | n
+    since = np.searchsorted(key, group.astype(np.int64) << 32 | -(-(NUM * n) // DEN))
+    width = rows - since
+    total = np.cumsum(width)
+    more = np.zeros(len(group), bool)
+    out_i, out_j, a = [], [], 0
+    while a < len(group):
+        before = int(total[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(total, before + PAIR_BATCH, "right")))
+        w = width[a:b]
+        if w.any():
+            i = np.repeat(rows[a:b], w)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(since[a:b], w)
+            budget = _apart(n[i], n[j])
+            ok = np.bitwise_count(sig[i] ^ sig[j]) <= budget
+            i, j, budget = i[ok], j[ok], budget[ok]
+            ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= (n[i] + n[j] - budget) // 2
+            i, j, budget = i[ok], j[ok], budget[ok]
+            each = np.bincount(i - a, minlength=b - a)
+            over = each[i - a] > high
+            more[i[over]] = more[j[over]] = True
+            rank = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
+            take = (rank >= low) & (rank < high)
+            if wanted is not None:
+                take[take] = wanted(i[take], j[take])
+            if parity is not None:  # doesn't change ranks
+                at = np.flatnonzero(take)
+                for c in range(0, len(at), 1 << 14):
+                    p = at[c : c + (1 << 14)]
+                    take[p] = np.bitwise_count(parity[i[p]] ^ parity[j[p]]).sum(1) <= budget[p]
+            out_i.append(i[take])
+            out_j.append(j[take])
+        a = b
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(out_i), np.concatenate(out_j), more) if out_i else (none, none, more)
+
+
+FOUND = "k byte, a long, b long, c long, n int, body binary"
+#: Kinds of what the first round finds: pairs, rows for later rounds, and as in ``DEALT``.
+PAIR, LIVE, FIRST, ITEM = 0, 1, 2, 3
+_FOUND = pa.schema([("k", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
+#: What a row for later rounds holds besides key and name.
+BODY = np.dtype([("sig", "<u8"), ("ord", "<i4"), ("n", "<i4"), ("pos", "<i4")])
+
+
+def found(kind: int, size: int, **columns) -> pa.RecordBatch:
+    """A batch of ``FOUND`` with nulls in the columns that aren't given."""
+    get = lambda f: columns.get(f.name)
+    arrays = [pa.array(np.full(size, kind, np.int8))] + [pa.nulls(size, f.type) if get(f) is None else get(f) if isinstance(get(f), pa.Array) else pa.array(get(f), f.type) for f in list(_FOUND)[1:]]
+    return pa.RecordBatch.from_arrays(arrays, schema=_FOUND)
+
+
+def _first_round(bucket: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+    h, name, sig, order, n, pos = unpack(bodies, POSTING)
+    o = np.argsort(h.astype(np.uint64) << U(32) | name.view(np.uint64) & U(0xFFFFFFFF))
+    h, name, sig, order, n, pos = (x[o] for x in (h, name, sig, order, n, pos))
+    new = np.ones(len(h), bool)  # copies of a set from several tasks, and tokens of one rank in a set
+    new[1:] = (h[1:] != h[:-1]) | (name[1:] != name[:-1])
+    first = np.flatnonzero(new)
+    if not len(first):
+        return
+    order, pos = np.minimum.reduceat(order, first), np.minimum.reduceat(pos, first)
+    h, name, sig, n = h[first], name[first], sig[first], n[first]
+    edge = np.flatnonzero(np.diff(h.astype(np.int64), prepend=-1))
+    size = np.diff(edge, append=len(h))
+    many = np.repeat(size > 1, size)
+    if not many.any():
+        return
+    h, name, sig, order, n, pos = (x[many] for x in (h, name, sig, order, n, pos))
+    o = np.lexsort((name, order, n, h))  # as later rounds sort
+    h, name, sig, order, n, pos = (x[o] for x in (h, name, sig, order, n, pos))
+    group = np.cumsum(np.diff(h.astype(np.int64), prepend=-1) != 0)
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    i, j, live = partners(group, n, pos, sig, 0, ROUND_ZERO)
+    if len(i):
+        pairs = np.unique(np.sort(np.stack([name[i], name[j]], 1), 1), axis=0)
+        yield found(PAIR, len(pairs), a=np.ascontiguousarray(pairs[:, 0]), b=np.ascontiguousarray(pairs[:, 1]))
+    if live.any():
+        body = np.zeros(int(live.sum()), BODY)
+        body["sig"], body["ord"], body["n"], body["pos"] = sig[live], order[live], n[live], pos[live]
+        key = np.int64(bucket) << 32 | h[live].astype(np.int64)
+        raw = body.tobytes()
+        yield found(LIVE, len(body), a=key, b=name[live], body=pa.FixedSizeBinaryArray.from_buffers(pa.binary(BODY.itemsize), len(body), [None, pa.py_buffer(raw)]).cast(pa.binary()))
+
+
+def first_round(others: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]]) -> Callable:
+    """Over ``deal``'s rows: candidate pairs and rows for later rounds; packed arrays of the
+    other kinds go through ``others`` (kind, bodies).  It holds one bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        now = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for kind, bodies in held.items():
+                yield from _first_round(now, bodies) if kind == POSTINGS else others(kind, bodies)
+
+        for batch in batches:
+            for bucket, kind, body in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
+                if bucket != now:
+                    yield from out()
+                    held, now = {}, bucket
+                held.setdefault(kind, []).append(body.as_buffer())
+        yield from out()
+
+    return run
+
+
+def later_round(low: int, high: int, by_root: bool) -> Callable:
+    """Over rows (key, name, body, state, parity) sorted by key: pairs (a, b) of rank
+    ``low`` up to ``high`` that are still open, and a row of nulls where pairs of higher
+    rank may be.  It holds the rows of one key.
+
+    With ``by_root``, ``state`` is a component and pairs of one component are settled; else
+    it is 1 for a set that has gone, and pairs are settled whose later set has gone.
+    """
+
+    def group(name, x, state, parity) -> Iterator[pa.RecordBatch]:
+        if (state == state[0]).all() and (by_root or state[0] == 1):
+            return
+        o = np.lexsort((name, x["ord"], x["n"]))
+        name, x, state = name[o], x[o], state[o]
+        marks = None if parity is None else parity[o]
+        n, order = x["n"].astype(np.int64), x["ord"]
+
+        def wanted(i, j):
+            if by_root:
+                return state[i] != state[j]
+            lost = np.where(order[i] > order[j], state[i], np.where(order[i] < order[j], state[j], state[i] & state[j]))
+            return lost == 0
+
+        i, j, over = partners(np.ones(len(n), np.int64), n, x["pos"].astype(np.int64), x["sig"], low, high, wanted, marks)
+        if len(i):
+            pairs = np.unique(np.sort(np.stack([name[i], name[j]], 1), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+        if over.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, x, marked, done = np.zeros(0, np.int64), np.zeros(0, BODY), False, 0
+        held = None
         for batch in batches:
-            h = np.concatenate([h, batch[0].to_numpy()])
-            x = np.concatenate([x, bodies(batch[1])])
-            last = int(np.searchsorted(h[::-1] != h[-1], True)) if len(h) else 0  # rows of the last group
-            cut = len(h) - last
-            if cut:
-                yield group(h[:cut], x[:cut], marked, done)
-                h, x, marked, done = h[cut:], x[cut:], False, 0
-            if len(h) > GROUP_ROWS:
-                yield group(h, x, True, done)
-                lead = np.argsort(x["ord"], kind="stable")[:2]  # goes on with the group's first rows
-                h, x, marked, done = h[lead], x[lead], True, 2
-        if len(h):
-            yield group(h, x, marked, done)
+            key, name, state = (batch[k].to_numpy() for k in (0, 1, 3))
+            x = np.frombuffer(b"".join(batch[2].to_pylist()), BODY)
+            marks = batch[4].to_pylist()
+            parity = np.frombuffer(b"".join(marks), np.uint64).reshape(len(marks), -1) if marks and marks[0] is not None else None
+            part = [key, name, x, state, parity]
+            if held is not None:
+                part = [None if p is None else np.concatenate([h, p]) for h, p in zip(held, part, strict=True)]
+            cuts = [0, *(np.flatnonzero(np.diff(part[0])) + 1).tolist()]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield from group(*(None if p is None else p[a:b] for p in part[1:]))
+            held = [None if p is None else p[cuts[-1] :] for p in part]
+        if held is not None and len(held[0]):
+            yield from group(*held[1:])
 
     return run
 
 
-def sort_postings(rows: DataFrame) -> DataFrame:
-    return rows.repartition("h").sortWithinPartitions("h", "body")
+def rounds(live: DataFrame, pairs: DataFrame, sets: DataFrame, judge: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame], DataFrame], by_root: bool) -> None:
+    """Later rounds over the rows that the first one kept.
+
+    ``judge`` takes new candidate pairs to links, ``settle`` takes all links of a round into
+    account and returns the state (name, state) for the next; ``pairs`` have been judged.
+    """
+    low, high, judged = ROUND_ZERO, ROUND_ZERO * GROWTH, pairs
+    if live.isEmpty():
+        return
+    marks = sets.select("name", "parity").dropDuplicates(["name"])
+    state = settle(None)
+    while True:
+        rows = live.join(state, "name", "left").join(marks, "name", "left")
+        default = F.col("name") if by_root else F.lit(0).cast("long")
+        rows = rows.select("key", "name", "body", F.coalesce("state", default).alias("state"), "parity")
+        # only tokens that have an open row go on
+        differ = rows.groupBy("key").agg(F.min("state").alias("_l"), F.max("state").alias("_m"))
+        differ = differ.filter(F.col("_l") < F.col("_m") if by_root else F.col("_l") == 0).select("key")
+        rows = rows.join(differ, "key", "left_semi").repartition("key").sortWithinPartitions("key")
+        new = written(rows.mapInArrow(later_round(low, high, by_root), "a long, b long").distinct(), "open-pairs")
+        more = not new.filter("a is null").isEmpty()
+        fresh_pairs = written(new.filter("a is not null").join(judged, ["a", "b"], "left_anti"), "new-pairs")
+        if not fresh_pairs.isEmpty():
+            state = settle(judge(fresh_pairs))
+            judged = written(judged.unionByName(fresh_pairs), "judged")
+        if not more:
+            return
+        low, high = high, high * GROWTH
 
 
 def verify(a: bytes, b: bytes) -> int:
@@ -364,26 +627,13 @@ def verify(a: bytes, b: bytes) -> int:
     return both if both >= need else -1
 
 
-#: Bits of the parity by which pairs are looked at before their tokens are fetched.
-PARITY_BITS = 2048
-TOKENS = "name long, parity binary, tokens binary"
-
-
-def token_rows(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    """A batch of TOKENS from names and sorted token arrays."""
-    parities = []
-    for _, t in rows:
-        odd = np.bincount((t >> U(8)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
-        parities.append(np.packbits(odd.astype(np.uint8)).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(parities, pa.binary()), pa.array([t.tobytes() for _, t in rows], pa.binary())], ["name", "parity", "tokens"])
+def verified(pairs: DataFrame, sets: DataFrame, parity: bool) -> DataFrame:
+    """The pairs (a, b) of names that link; ``sets``: a written table of TOKENS, one row a
+    name.
 
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of names that link; ``sets``: a written table of TOKENS, perhaps
-    with repeats.
-
-    Two sets differ in at least as many tokens as their parities in bits, which settles
-    most pairs that don't link; only the tokens of the others are fetched.
+    With ``parity``, for large sets: two sets differ in at least as many tokens as their
+    parities in bits, which settles most pairs that don't link; only the tokens of the
+    others are fetched.
     """
 
     @F.pandas_udf("boolean")
@@ -398,14 +648,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def links(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([verify(x, y) >= 0 for x, y in zip(a, b, strict=True)])
 
-    marks = sets.select("name", "parity", F.octet_length("tokens").alias("n")).dropDuplicates(["name"])
-    side = lambda k: marks.select(F.col("name").alias(k), F.col("parity").alias("p" + k), F.col("n").alias("n" + k))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(may("pa", "na", "pb", "nb")).select("a", "b")
-    near = written(near, "near-pairs")
-    names = near.select(F.col("a").alias("name")).union(near.select("b")).distinct()
-    few = near.count() <= SENT_NAMES // 2
-    sets = sets.join(F.broadcast(names) if few else names, "name", "left_semi").select("name", "tokens").dropDuplicates(["name"])
-    # b's tokens travel with the pair, a's stand still: a is the one with many partners
-    got = near.join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b")
+    if parity:
+        marks = sets.select("name", "parity", F.octet_length("tokens").alias("n"))
+        side = lambda k: marks.select(F.col("name").alias(k), F.col("parity").alias("p" + k), F.col("n").alias("n" + k))
+        pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(may("pa", "na", "pb", "nb")).select("a", "b"), "near-pairs")
+    got = pairs.join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b")
     got = got.join(sets.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a")
     return got.filter(links("ta", "tb")).select("a", "b")
+
+
+def wanted_sets(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """A written table of those ``rows`` (of ``TOKENS``, perhaps with repeats) that are named, once each."""
+    few = names.count() <= SENT_NAMES
+    return written(rows.join(F.broadcast(names) if few else names, "name", "left_semi").dropDuplicates(["name"]), "sets")

@@ -85,3 +85,13 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
         .withColumn(out, (F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0))).cast("long"))
         .drop("_base")
     )
+
+
+def inner_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` doesn't have, in any case."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if (name := f"_q{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out

@@ -33,10 +33,12 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [None, 30])
-def test_kept_lines_match_brute_force(spark, monkeypatch, group_rows):
-    if group_rows:
-        monkeypatch.setattr(sj, "GROUP_ROWS", group_rows)
+@pytest.mark.parametrize("hot_rows", [None, 3])
+def test_kept_lines_match_brute_force(spark, monkeypatch, hot_rows):
+    if hot_rows:  # tokens in many cells, and pairs in many batches
+        monkeypatch.setattr(sj, "HOT_ROWS", hot_rows)
+        monkeypatch.setattr(sj, "PAIR_BATCH", 50)
+        monkeypatch.setattr(sj, "HELD_POSTINGS", 100)
     random.seed(4)
     bases = [[f"w{random.randrange(300)}" for _ in range(n)] for n in (3, 8, 12, 25, 60) for _ in range(3)]
     extra = []

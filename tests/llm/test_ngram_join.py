@@ -51,10 +51,12 @@ def near_copies(n, words, edits, seed):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("group_rows", [None, 40])
-def test_components_match_brute_force(spark, monkeypatch, group_rows):
-    if group_rows:
-        monkeypatch.setattr(sj, "GROUP_ROWS", group_rows)
+@pytest.mark.parametrize("hot_rows", [None, 3])
+def test_components_match_brute_force(spark, monkeypatch, hot_rows):
+    if hot_rows:  # tokens in many cells, and pairs in many batches
+        monkeypatch.setattr(sj, "HOT_ROWS", hot_rows)
+        monkeypatch.setattr(sj, "PAIR_BATCH", 50)
+        monkeypatch.setattr(sj, "HELD_POSTINGS", 100)
     extra, k = [], 1000
     for words, edits, n, seed in ((100, 3, 60, 1), (60, 2, 90, 2), (30, 1, 50, 3), (200, 9, 40, 4)):
         for t in near_copies(n, words, edits, seed):
