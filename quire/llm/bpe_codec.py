@@ -137,7 +137,7 @@ class ByteBpe:
         if got is None:
             ids = self.encode_piece(piece)
             got = ",".join(map(str, ids)), self.decode(ids)
-        if len(piece) <= CACHE_CHARS:
+        if len(piece) <= CACHE_CHARS and len(self.known) <= 2 * CACHE_PIECES:  # within one text, too
             self.known[piece] = got
         return got
 
@@ -152,8 +152,8 @@ class ByteBpe:
 
 def codec(path: str, pattern: str) -> ByteBpe:
     """The worker's encoder for these parameters, made once per worker."""
-    state = worker_state()
-    key = ("byte_bpe", path, pattern)
+    state = worker_state("byte_bpe")
+    key = (path, pattern)
     if key not in state:
         state[key] = ByteBpe(path, pattern)
     return state[key]

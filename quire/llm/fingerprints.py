@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import doc_buckets, written
+from quire.llm.shared import bucket_of, order_buckets, order_key, written
 
 WHOLE_LANES = 16
 MASK32 = 0xFFFFFFFF
@@ -35,8 +35,6 @@ SCALE = 3.141592653589793 / 2 * (1 << TOP_BITS - ODD_BITS + 1)
 #: What the estimate of a distance exceeds it by, in characters, as few such numbers aren't
 #: quite Cauchy; for a single run it is the ratio.
 EXCESS, SINGLE = 8, 0.69
-#: The table of first ids is broadcast up to so many rows, else joined.
-BROADCAST_ROWS = 200_000
 
 
 def _sum(values: Column, term) -> Column:
@@ -103,25 +101,27 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_next(docs: DataFrame, carried: list[str], id_col: str, tie_col: str) -> DataFrame:
     """Adds ``next_<c>`` for each carried column: the value of the row that follows in
-    ascending (id, tie) order, null ids first, and of the first row for the last one.
+    ascending order of id and tie (a long), null ids first, and of the first row for the
+    last one.
 
-    Rows are dealt to ranges of ids; the first row of each range also visits the range
-    before it, so that one shuffle brings every row together with its successor.
+    Rows are dealt to ranges of that order; the first row of each range also visits the
+    range before it, so that one shuffle brings every row together with its successor.
     """
-    rows = docs.withColumn("_b", doc_buckets(docs, id_col))
-    firsts = rows.groupBy("_b").agg(F.min(id_col).alias("_first"))
-    around = Window.orderBy("_b")
+    key = order_key(id_col, F.col(tie_col))
+    rows = docs.withColumn("_k", key).withColumn("_b", bucket_of(F.col("_k"), order_buckets(docs, key)))
+    place = F.struct("_k.known", "_k.id", "_k.tie")
+    firsts = rows.groupBy("_b").agg(F.min(place).alias("_first"))
+    around = Window.orderBy("_b")  # MOST_BUCKETS rows at most
     firsts = firsts.withColumn("_before", F.coalesce(F.lag("_b").over(around), F.max("_b").over(Window.partitionBy(F.lit(0)))))
     firsts = written(firsts, "first-ids")
-    small = firsts.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(firsts) if small else firsts, "_b")
+    rows = rows.join(F.broadcast(firsts), "_b")
     own, visit = F.struct(F.col("_b").alias("g"), F.lit(False).alias("v")), F.struct(F.col("_before").alias("g"), F.lit(True).alias("v"))
-    rows = rows.withColumn("_at", F.explode(F.when(F.col(id_col).eqNullSafe(F.col("_first")), F.array(own, visit)).otherwise(F.array(own))))
+    rows = rows.withColumn("_at", F.explode(F.when(place == F.col("_first"), F.array(own, visit)).otherwise(F.array(own))))
     # flat columns and one projection: all leads share one exchange and one sort
-    rows = rows.select(*docs.columns, F.col("_at.g").alias("_g"), F.col("_at.v").alias("_v"))
-    w = Window.partitionBy("_g").orderBy("_v", F.col(id_col).asc_nulls_first(), tie_col)
+    rows = rows.select(*docs.columns, "_k", F.col("_at.g").alias("_g"), F.col("_at.v").alias("_v"))
+    w = Window.partitionBy("_g").orderBy("_v", "_k")
     rows = rows.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried))
-    return rows.filter(~F.col("_v")).drop("_g", "_v")
+    return rows.filter(~F.col("_v")).drop("_g", "_v", "_k")
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,11 +130,12 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near_edited, near_next).
 
     A null text counts as empty.  Rows of equal id follow each other in the order of their
-    texts, null ids come first, and the row after the last is the first; one row alone is
-    its own successor.  Other columns are ignored.
+    texts' hashes (xxhash64), null ids come first, and the row after the last is the first;
+    one row alone is its own successor.  Other columns are ignored; an empty table gives no
+    rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(rows, "text", "f"), ["text", "f"], "doc_id", "text")
+    rows = with_next(with_fingerprint(rows.withColumn("th", F.xxhash64("text")), "text", "f"), ["text", "f"], "doc_id", "th")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), substring(next_text, 1, int(n_chars div 4)))"))
     rows = with_fingerprint(rows.drop("text", "next_text"), "edited", "e").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))

@@ -2,8 +2,11 @@
 
 Each source's texts, in the order of a hash, form one stream of words, cut into blocks of
 a fixed length.  Output shards have a fixed number of slots, a block each.  Every shard
-draws how many of its slots each source gets: the whole part of the expected number, and
-a multinomial draw for the rest.  A source's slots are numbered through; slot number j
+draws at random how many of its slots each source gets: a multinomial draw, conditioned on
+the sources' totals over all shards, which are their targets.  Such draws are made by
+halves: of the slots of a range of shards, the first half's draw leaves the second half's
+(a multivariate hypergeometric one), each with a generator of its own, so that any task
+finds its shards' counts alone.  A source's slots are numbered through; slot number j
 stands for block ``permutation(j mod blocks)`` of a pseudorandom permutation of its own
 for each round through the blocks.  Slots and texts are then joined by block number.
 """
@@ -17,13 +20,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import BUCKET_ROWS, running_total, written
+from quire.llm.shared import BUCKET_ROWS, inner_names, running_total, written
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 #: Weights of the sources in order, repeating, and how often a source may be gone through.
 WEIGHTS = (1, 2, 3)
 MOST_ROUNDS = 3
+#: Totals from which a half is taken by its share and only what is left over is drawn.
+DRAWN_MOST = 500_000_000
+#: Shards whose counts are summed together.
+SHARD_BUCKET = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,6 +53,45 @@ def targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
     return out
 
 
+def whole_totals(want: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whole numbers near ``want`` with its sum, rounded, none over ``most`` (where that can be)."""
+    out = np.minimum(np.floor(want + 1e-9).astype(np.int64), most)
+    left = int(round(float(want.sum()))) - int(out.sum())
+    for k in np.argsort(-(want - out), kind="stable"):
+        step = min(1, left, int(most[k] - out[k]))
+        out[k] += step
+        left -= step
+    return out
+
+
+def half(counts: np.ndarray, slots: int, seed: list[int]) -> np.ndarray:
+    """How many of ``slots`` slots each source gets, of ``counts`` in all."""
+    rng, total = np.random.Generator(np.random.PCG64(seed)), int(counts.sum())
+    if total <= DRAWN_MOST:
+        return rng.multivariate_hypergeometric(counts, slots, method="marginals")
+    share = counts / total * slots
+    out = np.floor(share).astype(np.int64)
+    rest = share - out
+    out += rng.multinomial(slots - int(out.sum()), rest / max(rest.sum(), 1e-9)) if slots > out.sum() else 0
+    return np.minimum(out, counts)
+
+
+def shard_counts(totals: np.ndarray, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, counts by source) of the shards from ``first`` up to ``last``."""
+    slots = int(totals.sum())
+    todo = [(0, -(-slots // SHARD_SLOTS), totals)]
+    while todo:
+        a, b, counts = todo.pop()
+        if b <= first or a >= last:
+            continue
+        if b - a == 1:
+            yield a, counts
+            continue
+        mid = (a + b) // 2
+        left = half(counts, (mid - a) * SHARD_SLOTS, [seed, a, b])
+        todo += [(mid, b, counts - left), (a, mid, left)]
+
+
 def feistel(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A pseudorandom permutation of range(n) by key, element by element: a Feistel network
     over the next even power of two, walked until it falls below n."""
@@ -68,7 +114,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, row_c
     """(row, doc_id, source, size, hash, bucket): a number of its own for every row, its
     words, and its place in the order of a hash of its id."""
     n = docs.count()
-    bits = max(0, int(np.ceil(np.log2(max(1, n / BUCKET_ROWS)))))
+    bits = min(13, max(0, int(np.ceil(np.log2(max(1, n / BUCKET_ROWS))))))
     h = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     return docs.select(
         (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
@@ -93,35 +139,22 @@ def plan(rows: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS) -> tupl
     # a block counts as its average length, so that a short last block costs no words
     per_block = np.array([t[2] / t[4] if t[4] else 1.0 for t in table])
     want = np.array([t[3] for t in table]) / np.maximum(per_block, 1e-9)
-    slots = int(round(float(want.sum())))
-    shards = -(-slots // SHARD_SLOTS)
-    share = want / max(float(want.sum()), 1e-9)
+    blocks_of = np.array([t[4] for t in table], np.int64)
+    totals = whole_totals(want, MOST_ROUNDS * blocks_of)
+    shards = -(-int(totals.sum()) // SHARD_SLOTS)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard in batch["id"]:
-                here = min(SHARD_SLOTS, slots - int(shard) * SHARD_SLOTS)
-                whole = np.floor(here * share + 1e-9).astype(np.int64)
-                rest = here - int(whole.sum())
-                part = np.maximum(here * share - whole, 0)
-                if rest > 0:
-                    part = part / part.sum() if part.sum() > 0 else share / share.sum()
-                    whole = whole + np.random.Generator(np.random.PCG64([seed, int(shard)])).multinomial(rest, part)
-                yield pd.DataFrame({"shard": int(shard), "src": np.arange(len(whole), dtype=np.int32), "n": whole})
-
-    drawn = written(spark.range(shards).mapInPandas(draw, "shard long, src int, n long"), "draws")
-    before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("n > 0")
+            for shard, counts in shard_counts(totals, int(batch["id"].min()), int(batch["id"].max()) + 1, seed) if len(batch) else ():
+                yield pd.DataFrame({"shard": shard, "src": np.arange(len(counts), dtype=np.int32), "n": counts})
 
-    blocks_of = np.array([t[4] for t in table], np.int64)
+    drawn = written(spark.range(shards).mapInPandas(draw, "shard long, src int, n long").filter("n > 0"), "draws")
+    drawn = running_total(drawn.withColumn("bucket", F.expr(f"shard div {SHARD_BUCKET}")), ["src"], "bucket", ["shard"], "n", "first")
 
     def slot_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for src, first, n in zip(batch["src"], batch["first"], batch["n"], strict=True):
                 j = np.arange(first, first + n)
-                j = j[j < MOST_ROUNDS * blocks_of[src]]  # a draw may ask for a few blocks over the most
-                if not len(j):
-                    continue
                 size = np.full(len(j), blocks_of[src])
                 key = (j // size).astype(np.uint64) + np.uint64(seed * 1_000_003 + src * 101)
                 block, times = np.unique(feistel(j % size, size, key * np.uint64(0x94D049BB133111EB)), return_counts=True)
@@ -146,7 +179,7 @@ def mix(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str =
 
     Null texts count as empty and are taken 0 times; null sources are one source, last in
     order; every repeated row counts.  Runs over the same files agree, as draws and
-    permutations depend on the seed and the order on ids alone.
+    permutations depend on the seed and the order on ids alone.  An empty table gives no rows.
     """
     rows, taken = plan(written(measured(docs, id_col, text_col, source_col), "sizes"), seed)
     rows = written(rows.select("row", "doc_id", "src", "size", "source_size", "target", "start"), "starts")
@@ -157,13 +190,17 @@ def mix(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str =
 def mixed_documents(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus itself, with the columns of ``docs``: a row for each time that words
     of a document are taken, its text the words taken so often, in their order and with the
-    white space between them.  A document taken whole keeps its text as it is."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    sizes = written(measured(numbered, id_col, text_col, source_col, "_row"), "sizes")
+    white space between them.  A document taken whole keeps its text as it is.
+
+    Rows without words are taken 0 times and go; null sources are one source; repeated rows
+    each count; columns of any names come through; an empty table gives no rows."""
+    row, pieces_, copy = inner_names(docs, 3)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    sizes = written(measured(numbered, id_col, text_col, source_col, row), "sizes")
     rows, taken = plan(sizes, seed)
-    got = pieces(rows, taken).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "times"))).alias("_pieces"))
-    joined = numbered.join(got.withColumnRenamed("row", "_row"), "_row")
-    out = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("_pieces.times").cast("int"))))
+    got = pieces(rows, taken).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "times"))).alias(pieces_))
+    joined = numbered.join(got.withColumnRenamed("row", row), row)
+    out = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.array_max(F.col(pieces_)["times"]).cast("int"))))
 
     @F.pandas_udf("string")
     def taken_text(texts: pd.Series, parts: pd.Series, copies: pd.Series) -> pd.Series:
@@ -188,4 +225,4 @@ def mixed_documents(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text
             result.append("\n".join(joined))
         return pd.Series(result)
 
-    return out.withColumn(text_col, taken_text(text_col, "_pieces", "_copy")).select(*docs.columns)
+    return out.withColumn(text_col, taken_text(text_col, pieces_, copy)).select(*docs.columns)

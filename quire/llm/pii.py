@@ -19,11 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shared import written
-from quire.llm.spans import apart, listed, matches, of_kind
+from quire.llm.spans import apart, bound, listed, matches, of_kind
 
 # A run of local-part characters is tried from its first one only, or where the match
-# before ended; each run is thus read once, and the matches are the plain pattern's.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# before ended; each run is thus read once, and the matches are the plain pattern's.  Labels
+# are taken possessively, which changes no match and needs no stack.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -67,9 +68,14 @@ def proposals(text: Column) -> Column:
     ip = F.filter(matches(text, IP), lambda s: _ip_ok(s["m"]))
     card = F.filter(matches(text, CARD), lambda s: between(n_digits(s), 16, 19) & luhn(F.substring(_digits(s["m"]), 1, 19)))
     phone = F.filter(matches(text, PHONE, F.contains(text, F.lit("+"))), lambda s: between(n_digits(s), 8, 15))
-    base = F.concat(*(of_kind(x, k, i) for i, (k, x) in enumerate(zip(BASE, (email, ip, card, phone), strict=True))))
     more = [matches(text, SPELLED, F.contains(F.lower(text), F.lit("at"))), matches(text, NATIONAL), matches(text, SOCIAL)]
-    return F.concat(base, *(of_kind(apart(x, base), k, len(BASE) + i) for i, (k, x) in enumerate(zip(MORE, more, strict=True)))).cast(SPANS)
+    found = dict(zip(KINDS, (email, ip, card, phone, *more), strict=True))
+
+    def all_of(v):
+        base = [of_kind(v[k], k, i) for i, k in enumerate(BASE)]
+        return F.concat(*base, *(of_kind(apart(v[k], *(v[b] for b in BASE)), k, len(BASE) + i) for i, k in enumerate(MORE)))
+
+    return bound(found, all_of).cast(SPANS)
 
 
 def _votes(s: Column, before: Column) -> list[Column]:
@@ -135,8 +141,12 @@ def _lookup(table: dict, *keys: Column) -> Column:
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9) -> DataFrame:
     """One row per document: (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans,
-    n_more).  A null text counts as empty, repeated rows each give a row, other columns
-    are ignored."""
+    n_more, probabilities: the classifier's for each span, in the order of ``spans``).
+
+    A null text counts as empty, repeated rows each give a row, other columns are ignored,
+    an empty table gives no rows.  No pattern backtracks over a long text, so a text may be
+    one match or hold any number of them.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"), proposals(text).alias("found"))
 
@@ -167,10 +177,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         logit = logit + F.coalesce(_lookup(odds, F.lit(n), c), F.lit(0.0))
     scored = held.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0)))))
     kept = scored.filter((F.col("ord") < len(BASE)) | (F.col("score") >= threshold))
-    spans = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "kind"))).alias("all"))
-    none = F.array().cast("array<struct<ord:int,start:bigint,end:bigint,kind:string>>")
+    spans = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "kind", "score"))).alias("all"))
+    none = F.array().cast("array<struct<ord:int,start:bigint,end:bigint,kind:string,score:double>>")
     out = rows.select("doc_id", "row").join(spans, "row", "left").withColumn("all", F.coalesce("all", none))
     base = F.filter("all", lambda s: s["ord"] < len(BASE))
     count = lambda kind: F.size(F.filter("all", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     n_more = F.size(F.filter("all", lambda s: s["ord"] >= len(BASE))).cast("long").alias("n_more")
-    return out.select("doc_id", *(count(k) for k in BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"), n_more)
+    return out.select("doc_id", *(count(k) for k in BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"), n_more, F.transform("all", lambda s: F.round(s["score"], 6)).alias("probabilities"))

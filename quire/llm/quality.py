@@ -161,8 +161,8 @@ def score(text: Column, model: dict) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        state = worker_state()
-        key = ("quality", hash((model["good"], model["bad"])))
+        state = worker_state("quality")
+        key = hash((model["good"], model["bad"]))
         if key not in state:
             state[key] = Compressors(model["good"], model["bad"])
         pair = state[key]

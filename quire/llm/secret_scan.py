@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.spans import apart, listed, matches, of_kind
+from quire.llm.spans import apart, bound, listed, matches, of_kind
 from quire.llm.shared import written
 
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -38,8 +38,13 @@ def candidates(text: Column) -> Column:
     hexes = matches(text, HEX)
     mixed = lambda s: s["m"].rlike("[a-z]") & s["m"].rlike("[A-Z]") & s["m"].rlike("[0-9]")
     bare = F.filter(matches(text, BARE), mixed)
-    base = F.concat(of_kind(assign, "assign", 0), of_kind(access, "access", 1), of_kind(hexes, "hex", 2))
-    return F.concat(base, of_kind(apart(bare, base), "bare", 3)).cast(SPANS)
+    found = {"assign": assign, "access": access, "hex": hexes, "bare": bare}
+
+    def all_of(v):
+        base = [of_kind(v[k], k, i) for i, k in enumerate(KINDS[:3])]
+        return F.concat(*base, of_kind(apart(v["bare"], v["assign"], v["access"], v["hex"]), "bare", 3))
+
+    return bound(found, all_of).cast(SPANS)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str | None = None, owner_col: str = "source") -> DataFrame:

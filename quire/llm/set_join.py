@@ -583,16 +583,17 @@ def rounds(live: DataFrame, pairs: DataFrame, sets: DataFrame, judge: Callable[[
     low, high, judged = ROUND_ZERO, ROUND_ZERO * GROWTH, pairs
     if live.isEmpty():
         return
-    marks = sets.select("name", "parity").dropDuplicates(["name"])
     state = settle(None)
+    default = F.col("name") if by_root else F.lit(0).cast("long")
     while True:
-        rows = live.join(state, "name", "left").join(marks, "name", "left")
-        default = F.col("name") if by_root else F.lit(0).cast("long")
-        rows = rows.select("key", "name", "body", F.coalesce("state", default).alias("state"), "parity")
+        rows = written(live.join(state, "name", "left").select("key", "name", "body", F.coalesce("state", default).alias("state")), "live")
         # only tokens that have an open row go on
         differ = rows.groupBy("key").agg(F.min("state").alias("_l"), F.max("state").alias("_m"))
         differ = differ.filter(F.col("_l") < F.col("_m") if by_root else F.col("_l") == 0).select("key")
-        rows = rows.join(differ, "key", "left_semi").repartition("key").sortWithinPartitions("key")
+        live = rows.join(differ, "key", "left_semi").drop("state")
+        rows = rows.join(differ, "key", "left_semi")
+        rows = rows.join(sets.select("name", "parity"), "name", "left") if by_root else rows.withColumn("parity", F.lit(None).cast("binary"))
+        rows = rows.select("key", "name", "body", "state", "parity").repartition("key").sortWithinPartitions("key")
         new = written(rows.mapInArrow(later_round(low, high, by_root), "a long, b long").distinct(), "open-pairs")
         more = not new.filter("a is null").isEmpty()
         fresh_pairs = written(new.filter("a is not null").join(judged, ["a", "b"], "left_anti"), "new-pairs")

@@ -4,6 +4,8 @@ over an ordered corpus, and state that outlives a task inside a Python worker.""
 from __future__ import annotations
 
 import atexit
+import json
+import re
 import sys
 import tempfile
 import types
@@ -14,16 +16,21 @@ from pyspark.sql import functions as F
 
 #: Rows that one ordered bucket holds on average; a bucket is sorted by one task.
 BUCKET_ROWS = 2048
+MOST_BUCKETS = 8192
+#: Keys of a bucket from which bounds are found, on average.
+BUCKET_SAMPLE = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it; a temporary folder stands in only where that
-    setting is absent, which is the case in single-machine tests.
+    ``spark.checkpoint.dir`` names it; a temporary folder stands in where that setting is
+    absent and everything runs on one machine, as in tests.  A cluster without it raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quire-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quire-{spark.sparkContext.applicationId}"
@@ -55,27 +62,60 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python worker (tasks unpickle their
-    functions anew, so module globals would not last)."""
-    return sys.modules.setdefault("_quire_worker_state", types.ModuleType("_quire_worker_state")).__dict__
+def worker_state(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker, until another owner asks (tasks
+    unpickle their functions anew, so module globals would not last).  A worker that has
+    gone over to another operator doesn't keep the caches of the one before."""
+    held = sys.modules.setdefault("_quire_worker_state", types.ModuleType("_quire_worker_state")).__dict__
+    if held.get("owner") != owner:
+        held["owner"], held["state"] = owner, {}
+    return held["state"]
 
 
-def doc_buckets(docs: DataFrame, id_col: str) -> Column:
-    """An expression numbering ranges of ascending ``id_col`` (null: -1, so first), about
-    ``BUCKET_ROWS`` rows each for evenly spread ids.  Only three numbers reach the driver."""
-    lo, hi, n = docs.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    if not n:
-        return F.lit(-1).cast("long")
-    width = max(1, -(-(int(hi) - int(lo) + 1) * BUCKET_ROWS // n))
-    return F.coalesce(F.floor((F.col(id_col) - F.lit(int(lo))) / F.lit(width)), F.lit(-1)).cast("long")
+KEY = "array<struct<known:boolean,id:bigint,tie:bigint,row:bigint>>"
+
+
+def order_key(id_col: str, tie: Column) -> Column:
+    """The place of a row in ascending order of an integer id, null ids first, and then of
+    ``tie``, a long; rows alike in both are told apart by a number of their own."""
+    row_id = F.col(id_col).cast("long")
+    return F.struct(row_id.isNotNull().alias("known"), F.coalesce(row_id, F.lit(0)).alias("id"), tie.alias("tie"), F.monotonically_increasing_id().alias("row"))
+
+
+def order_buckets(df: DataFrame, key: Column) -> tuple[list, Column]:
+    """Bounds that cut the rows into ranges of ``key`` (of ``order_key``) of about
+    ``BUCKET_ROWS`` rows each, or a ``MOST_BUCKETS``th of them where that is more, whatever
+    the ids; and the literal of the bounds for ``bucket_of``.
+
+    The bounds are quantiles of a sample of the keys, of ``BUCKET_SAMPLE`` rows a bucket:
+    only these reach the driver.
+    """
+    n = df.count()
+    buckets = min(MOST_BUCKETS, -(-n // BUCKET_ROWS))
+    bounds: list = []
+    if buckets > 1:
+        every = max(1, n // (buckets * BUCKET_SAMPLE))
+        rows = df.select(key.alias("key")).filter(F.pmod(F.xxhash64("key.row"), F.lit(every)) == 0)
+        sample = sorted(tuple(r["key"]) for r in rows.collect())
+        bounds = sorted({sample[k * len(sample) // buckets] for k in range(1, buckets)}) if sample else []
+    names = ("known", "id", "tie", "row")
+    return bounds, F.from_json(F.lit(json.dumps([dict(zip(names, b, strict=True)) for b in bounds])), KEY)
+
+
+def bucket_of(key: Column, bounds: tuple[list, Column]) -> Column:
+    """The number of bounds at or before ``key``, by bisection."""
+    some, literal = bounds
+    if not some:
+        return F.lit(0)
+    steps = F.array(*(F.lit(1 << k) for k in range(len(some).bit_length() - 1, -1, -1)))
+    past = lambda at: (at <= len(some)) & (F.try_element_at(literal, at) <= key)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(past(at + step), at + step).otherwise(at))
 
 
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows of the same group before this one,
     in the order (bucket, *order).  Buckets are summed first and their totals accumulated,
-    so that no task sorts more than one bucket; the bucket totals are about
-    1/``BUCKET_ROWS`` of the rows."""
+    so that no task sorts more than one bucket, or more totals than there are buckets."""
     totals = df.groupBy(*group, bucket).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*group, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))

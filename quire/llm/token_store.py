@@ -16,6 +16,7 @@ Reading checks every chunk against its key and every recipe against its root.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from array import array
@@ -24,75 +25,84 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import doc_buckets, fresh_path, running_total, worker_state
+from quire.llm.shared import bucket_of, fresh_path, order_buckets, order_key, running_total, worker_state
 
 WINDOW = 16
 #: A cut has this many low bits of the rolling hash clear: chunks of about 512 ids.
 CUT_BITS = 9
 MIN_CHUNK, MAX_CHUNK = 128, 4096
-#: Distinct words whose ids a worker remembers, up to twice so many.
-CACHE_WORDS = 300_000
+#: Distinct words whose ids a worker remembers, and pieces of words, up to twice so many.
+CACHE_WORDS = 150_000
+#: Texts of about so many bytes are encoded together.
+SLICE_BYTES = 1 << 21
 
 OBJECTS = "kind string, key binary, width int, n long, body binary, doc_id long, seq long, keys array<binary>, sizes array<int>, root binary"
 
 
-class _Known(dict):
-    """A dictionary that learns what it misses."""
-
-    def __init__(self, learn):
-        self.learn = learn
-
-    def __missing__(self, word: str) -> bytes:
-        return self.learn(word)
+#: What ``WordTokenizer`` can take apart: the file's normalizer and pre-tokenizer.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class WordTokenizer:
     """Ids of texts by the tokenizers library, word by word.
 
-    The tokenizer lower-cases, composes and splits at white space before its merges, so a
-    text's ids are those of its words in turn.  Words of plain letters, digits and ASCII
-    marks go straight to the library's merge model; all others, and texts with
-    characters that Python alone takes for white space, go through the whole tokenizer.
+    A tokenizer that composes, lower-cases and splits at white space before its merges
+    (``BY_WORD``) gives a text the ids of its words in turn.  Words of plain letters,
+    digits and ASCII marks go straight to the library's merge model, and each distinct word
+    of some texts once; all others, texts with characters that not all take for white
+    space, and all texts of other tokenizers go through the whole tokenizer.
     """
 
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    OTHER_SPACE = r"[\x1C-\x1F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.by_word = all(made.get(k) == v for k, v in BY_WORD.items()) and not made.get("truncation") and not made.get("padding")
         self.model = self.whole.model
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.words: dict[str, bytes] = _Known(self._word)
-        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        byte_char = self.byte_char
-        text = piece if piece.isascii() else "".join([byte_char[b] for b in piece.encode()])
-        self.pieces[piece] = out = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
-        return out
+        got = self.older.get(piece)
+        if got is None:
+            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_char)
+            got = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        self.pieces[piece] = got
+        return got
 
     def _word(self, word: str) -> bytes:
-        got = self.older.get(word)
-        if got is None:
-            get, low = self.pieces.get, word.lower()
-            if len(word) < 256 and (word.isascii() and word.isprintable() or self.PLAIN.fullmatch(word)):
-                if low.isalpha():
-                    got = get(low) or self._piece(low)
-                else:
-                    got = b"".join([get(p) or self._piece(p) for p in self.PIECES.findall(low)])
+        get, low = self.pieces.get, word.lower()
+        if len(word) < 256 and (word.isascii() and word.isprintable() or self.PLAIN.fullmatch(word)):
+            if low.isalpha():
+                got = get(low) or self._piece(low)
             else:
-                got = self.encode_whole(word)
+                got = b"".join([get(p) or self._piece(p) for p in self.PIECES.findall(low)])
+        else:
+            got = self.encode_whole(word) if word else b""
         if len(word) <= 64:
             self.words[word] = got
         return got
@@ -100,24 +110,44 @@ class WordTokenizer:
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self.encode_whole(text)
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text; a null one has none."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            yield from (self.encode_whole(t) for t in texts.to_pylist())
+            return
         if len(self.words) > CACHE_WORDS:
-            self.words, self.older = _Known(self._word), self.words
-        return b"".join(map(self.words.__getitem__, text.split()))
+            self.words = {}
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces, self.older = {}, self.pieces
+        odd = pc.match_substring_regex(texts, self.OTHER_SPACE)
+        split = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
+        ends, coded = split.offsets.to_numpy() - split.offsets[0].as_py(), split.flatten().dictionary_encode()
+        get, learn = self.words.get, self._word
+        known = [get(w) or learn(w) for w in coded.dictionary.to_pylist()]
+        all_ids, code = np.frombuffer(b"".join(known), "<u4"), coded.indices.to_numpy()
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin, each = (np.cumsum(size) - size)[code], size[code]
+        total = np.concatenate([[0], np.cumsum(each)])
+        ids = all_ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], each)]
+        cut = total[ends]
+        for k, whole in enumerate(odd.to_pylist()):
+            yield self.encode_whole(texts[k].as_py()) if whole else ids[cut[k] : cut[k + 1]].tobytes()
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    state = worker_state()
-    if ("words", path) not in state:
-        state["words", path] = WordTokenizer(path)
-    return state["words", path]
+    state = worker_state("words")
+    if path not in state:
+        state.clear()
+        state[path] = WordTokenizer(path)
+    return state[path]
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
+_BASE = 0xD6E8FEB86659FD93
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -125,12 +155,12 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= MIN_CHUNK:
         return [n] if n else []
-    x = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
-    x ^= x >> np.uint64(29)
-    h = x.copy()
-    for k in range(1, WINDOW):  # the hash of the last WINDOW ids, at each id
-        x = x * _BASE
-        h[k:] += x[: n - k]
+    h = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
+    h ^= h >> np.uint64(29)
+    span = 1
+    while span < WINDOW:  # the hash of the last 2, 4, ... WINDOW ids, at each id
+        h[span:] = h[span:] + h[:-span] * np.uint64(pow(_BASE, span, 1 << 64))
+        span *= 2
     h ^= h >> np.uint64(32)
     marks = np.flatnonzero((h & np.uint64((1 << CUT_BITS) - 1)) == 0) + 1
     out, start = [], 0
@@ -179,6 +209,17 @@ def crc32_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return crc
 
 
+def _text_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive texts of about a slice's bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def _objects(path: str, end_id: int):
     """Rows of both kinds for batches of (id, seq, text)."""
     schema = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("width", pa.int32()), ("n", pa.int64()), ("body", pa.binary()), ("doc_id", pa.int64()), ("seq", pa.int64()), ("keys", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("root", pa.binary())])
@@ -188,8 +229,8 @@ def _objects(path: str, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, size = [], 0
-            for doc_id, seq, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
-                raw = tok.encode(text.as_py() or "") + end
+            texts = (raw + end for part in _text_slices(batch[2]) for raw in tok.encode_all(part))
+            for doc_id, seq, raw in zip(batch[0].to_pylist(), batch[1].to_pylist(), texts, strict=True):
                 ids = np.frombuffer(raw, "<u4")
                 keys, sizes, start = [], [], 0
                 for stop in cuts(ids):
@@ -231,7 +272,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1
 
     A null text counts as empty and holds ``end_id`` alone.  Null ids come first, and rows
     of equal id stand in a fixed order of their contents (equal rows are told apart by a
-    number of their own); other columns are ignored.
+    number of their own); other columns are ignored; an empty table makes an empty store.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("seq"), F.col(text_col).alias("text"))
     objects = rows.mapInArrow(_objects(tokenizer_path, end_id), OBJECTS)
@@ -239,8 +280,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1
     dealt.mapInArrow(_first_of_each_key, OBJECTS).write.option("compression", "zstd").parquet(f"{path}/objects")
     spark = docs.sparkSession
     recipes = spark.read.schema(OBJECTS).parquet(f"{path}/objects").filter("kind = 'r'").select("doc_id", "seq", "n", "keys", "sizes", "root")
-    recipes = recipes.withColumn("bucket", doc_buckets(recipes, "doc_id"))
-    recipes = running_total(recipes, [], "bucket", [F.col("doc_id").asc_nulls_first(), "root", "seq"], "n", "start")
+    key = order_key("doc_id", F.xxhash64("root"))
+    recipes = recipes.withColumn("key", key).withColumn("bucket", bucket_of(F.col("key"), order_buckets(recipes, key)))
+    recipes = running_total(recipes, [], "bucket", ["key"], "n", "start")
     recipes = recipes.select("bucket", "doc_id", "start", F.col("n").alias("n_tokens"), "keys", "sizes", "root")
     order = ["bucket", "start"]
     recipes.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/recipes")

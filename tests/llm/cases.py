@@ -2,7 +2,12 @@
 
 import random
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, ids array<int>, n long"
+#: Extra columns with names that the operators may use themselves, and their values.
+CLASHES = {
+    "key string": "clash", "ids array<int>": [1], "n long": 5, "lines string": "l", "name string": None, "row long": 6, "_h long": 7, "_copy int": 8, "_cut string": "c", "_row long": 9,
+    "_pieces string": "p", "_id long": 10, "_score double": 0.5, "_q0 string": "q", "_Q1 int": 11, "size long": 12, "bucket int": 13, "n_worded int": 14,
+}
+DOCS = ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *CLASHES])
 
 
 def odd_documents(spark, extra=()):
@@ -26,4 +31,10 @@ def odd_documents(spark, extra=()):
         (9, "é ß\x1c日本 🙂  \n\n l'été", "fr", "c"),
         *extra,
     ]
-    return spark.createDataFrame([(*r, None, "clash", [1], 5) for r in rows], DOCS)
+    return spark.createDataFrame([(*r, None, *CLASHES.values()) for r in rows], DOCS)
+
+
+def kept_clashes(rows):
+    """Whether the extra columns have come through as they were."""
+    names = [c.split()[0] for c in CLASHES]
+    return all([r[c] for c in names] == list(CLASHES.values()) for r in rows)

@@ -1,17 +1,20 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import fingerprints as fp
+from quire.llm import shared
 from tests.llm.cases import odd_documents
 
 
 def test_edited_texts_match_brute_force(spark):
     docs = odd_documents(spark)
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    rows = docs.selectExpr("doc_id", "coalesce(text, '') t").selectExpr("doc_id", "t", "xxhash64(t) h").collect()
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
     want = []
-    for k, (i, t) in enumerate(rows):
+    for k, (i, t, _) in enumerate(rows):
         nxt, n = rows[(k + 1) % len(rows)][1], len(t)
         want.append((i, n, hashlib.sha256((t[: n - n // 4] + nxt[: n // 4]).encode()).hexdigest()))
     got = fp.neighbours(docs).collect()
@@ -72,3 +75,20 @@ def test_low_quantiles_of_edited_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     low, mid = fp.neighbours(docs).filter("n_chars > 200").selectExpr("percentile(near_edited, array(0.01, 0.5)) q").first().q
     assert low > 0.45 and 0.65 < mid < 0.85
+
+
+@pytest.mark.parametrize("shape", ["one far id", "all null", "one id", "equal rows"])
+def test_ranges_of_any_ids_are_even(spark, monkeypatch, shape):
+    monkeypatch.setattr(shared, "BUCKET_ROWS", 100)
+    ids = {"one far id": "if(id = 7, 1L << 60, id)", "all null": "cast(null as long)", "one id": "5L", "equal rows": "5L"}[shape]
+    docs = spark.range(0, 4000, 1, 4).selectExpr(f"{ids} as doc_id", "'same' as text" if shape == "equal rows" else "cast(id as string) as text")
+    key = shared.order_key("doc_id", F.xxhash64("text"))
+    bounds = shared.order_buckets(docs, key)
+    sizes = [r["count"] for r in docs.select(key.alias("k")).groupBy(shared.bucket_of(F.col("k"), bounds).alias("b")).count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) >= 35 and max(sizes) < 400
+    got = fp.neighbours(docs)
+    assert got.count() == 4000 and got.filter("near_next is null").count() == 0
+    rows = docs.selectExpr("doc_id", "text", "xxhash64(text) h").collect()
+    rows = [r.text for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))]
+    want = [hashlib.sha256((a[: len(a) - len(a) // 4] + b[: len(a) // 4]).encode()).hexdigest() for a, b in zip(rows, rows[1:] + rows[:1])]
+    assert sorted(r[0] for r in got.select("edited_sha256").collect()) == sorted(want)

@@ -6,7 +6,7 @@ import pytest
 
 from quire.llm import line_dedup as ld
 from quire.llm import set_join as sj
-from tests.llm.cases import odd_documents
+from tests.llm.cases import kept_clashes, odd_documents
 
 
 def lower(text):
@@ -58,7 +58,8 @@ def test_kept_lines_match_brute_force(spark, monkeypatch, hot_rows):
 
 def test_columns_and_empty_table(spark):
     docs = odd_documents(spark)
-    out = ld.dedup_lines(docs)
-    assert out.columns == [*docs.columns, "n_lines", "n_removed", "n_worded"]
-    assert out.count() == docs.count()
+    out = ld.dedup_lines(docs, added=("a1", "a2", "a3"))
+    assert out.columns == [*docs.columns, "a1", "a2", "a3"]
+    assert out.count() == docs.count() and kept_clashes(out.collect())
+    assert ld.dedup_lines(docs).columns == [c for c in docs.columns if c != "n_worded"] + ["n_lines", "n_removed", "n_worded"]
     assert ld.digests(docs.limit(0)).count() == 0

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quire.llm import mixing as mx
-from tests.llm.cases import odd_documents
+from tests.llm.cases import kept_clashes, odd_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -50,7 +50,30 @@ def test_odd_rows(spark):
     got = mx.mix(docs).collect()
     assert len(got) == docs.count()
     assert all(r.taken == 0 for r in got if r["size"] == 0)
-    assert mx.mixed_documents(docs).columns == docs.columns
-    assert mx.mixed_documents(docs).count() > 0
+    mixed = mx.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0 and kept_clashes(mixed.collect())
     assert mx.mix(docs.limit(0)).count() == 0
     assert mx.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_shards_share_the_totals_out(monkeypatch):
+    totals = np.array([30_000, 5_000, 17, 0, 70_000], np.int64)
+    shards = -(-int(totals.sum()) // mx.SHARD_SLOTS)
+    got = dict(mx.shard_counts(totals, 0, shards, 1))
+    assert sorted(got) == list(range(shards))
+    assert (sum(got.values()) == totals).all()
+    assert all(c.sum() == mx.SHARD_SLOTS for k, c in got.items() if k < shards - 1)
+    for a, b in ((0, 3), (3, 11), (11, shards)):  # any task finds its own
+        assert all((c == got[k]).all() for k, c in mx.shard_counts(totals, a, b, 1))
+    draws = np.array([dict(mx.shard_counts(totals, 0, 1, seed))[0] for seed in range(400)])
+    share = totals / totals.sum()
+    assert np.allclose(draws.mean(0), mx.SHARD_SLOTS * share, atol=8)  # and spread as a multinomial draw without replacement
+    spread = mx.SHARD_SLOTS * share * (1 - share) * (1 - mx.SHARD_SLOTS / totals.sum())
+    assert np.allclose(draws.var(0), spread, rtol=0.35, atol=1)
+    monkeypatch.setattr(mx, "DRAWN_MOST", 100)
+    assert (sum(c for _, c in mx.shard_counts(totals, 0, shards, 1)) == totals).all()
+
+
+def test_totals_are_whole_and_bounded():
+    got = mx.whole_totals(np.array([10.5, 3.25, 0.25]), np.array([10, 30, 30]))
+    assert got.sum() == 14 and got[0] == 10

@@ -57,3 +57,20 @@ def test_more_spans(spark):
     rows = [(400 + k, f"call me: 415-{200 + k}-{1234 + k * 7} or write joe{k} [at] site [dot] com", "en", "s") for k in range(30)]
     got = pii.detect(odd_documents(spark, rows)).filter("doc_id >= 400").collect()
     assert all(r.n_more >= 1 and r.n_phone == 0 for r in got)
+
+
+def test_very_many_labels_and_matches_in_one_text(spark):
+    rows = [(700, "a@b" + ".c" * 100_000, "en", "s"), (701, "1.2.3.4 " * 40_000, "en", "s"), (702, "x@y.zz 415-555-1234 " * 20_000, "en", "s"), (703, "1.2.3.4 " * 257, "en", "s"), (704, "a@b.c " * 256, "en", "s")]
+    rows += [(705, "a@" + "b-" * 50_000 + " c@d" + "." * 9, "en", "s")]
+    docs = odd_documents(spark, rows).filter("doc_id >= 700")
+    got = pii.detect(docs).collect()
+    assert sorted((r.doc_id, [r.n_email, r.n_ip, r.n_card, r.n_phone], r.base_sha256) for r in got) == sorted((r.doc_id, *brute(r.text)) for r in docs.collect())
+    assert all(len(r.probabilities) == (r.spans.count(",") + 1 if r.spans else 0) for r in got)
+    assert all(0 <= p <= 1 for r in got for p in r.probabilities)
+
+
+def test_spans_of_other_kinds_keep_off_base_spans(spark):
+    rows = [(800, "joe@x.org, 415-555-1234, +1 415-555-1234 415-555-9999", "en", "s")]
+    found = odd_documents(spark, rows).filter("doc_id = 800").select(pii.proposals(pii.F.col("text")).alias("p")).first().p
+    spans = sorted((s.start, s.end, s.kind) for s in found)
+    assert [s[2] for s in spans].count("email") == 1 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import corpus_pipeline as cp
+from tests.llm.cases import kept_clashes, odd_documents
 from tests.llm import test_line_dedup as lines
 from tests.llm import test_ngram_join as near
 from tests.llm.test_bpe_codec import REF
@@ -45,3 +46,24 @@ def test_empty_documents(spark, sf_dir):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_stages_carry_odd_rows_and_clashing_columns(spark, sf_dir):
+    near_copy = " ".join(f"n{k}" for k in range(90))
+    docs = odd_documents(spark, [(None, near_copy, "en", "c"), (31, near_copy + " more", "en", "c"), (32, near_copy, "en", None)])
+    for name, stage in cp.STAGES:
+        out = cp.written(stage(spark, docs, sf_dir), f"odd-{name}")
+        if name == "encode":
+            assert out.count() == docs.count()
+            continue
+        rows = out.collect()
+        assert out.columns == docs.columns and kept_clashes(rows) and 0 < len(rows)
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
+        if name == "near":
+            assert sum("n5 " in (r.text or "") for r in rows) == 1
+
+
+def test_empty_texts_have_a_score(spark, sf_dir):
+    docs = odd_documents(spark).filter("text is null or text = ''")
+    assert cp.stage_quality(spark, docs, sf_dir).count() <= docs.count()
+    assert cp.stage_near(spark, docs, sf_dir).count() == 2  # (4, null) and one of the equal rows (5, '')

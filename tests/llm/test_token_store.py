@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -24,12 +26,14 @@ def brute(rows):
 
 
 def test_digests_and_documents_match_brute_force(spark, tmp_path):
-    docs = odd_documents(spark).filter("doc_id is null or doc_id <> 9")
+    docs = odd_documents(spark)
     path = str(tmp_path / "store")
     ts.write_store(docs, PATH, path)
     rows = sorted(((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0))
-    want = brute(rows)
     got = ts.read_digests(spark, path).orderBy("start").collect()
+    want = brute(rows)
+    if [r.ids_crc32 for r in got] != [w[3] for w in want]:  # the two texts of id 9, in either order
+        want = brute(rows[:-2] + rows[:-3:-1])
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == [w[:4] for w in want]
     back = ts.read_documents(spark, path).orderBy("start").collect()
     assert [list(r.ids) for r in back] == [w[4] for w in want]
@@ -59,3 +63,24 @@ def test_empty_table(spark, tmp_path):
 
 def test_merkle_root_depends_on_order():
     assert ts.merkle_root([b"a", b"b", b"c"]) != ts.merkle_root([b"b", b"a", b"c"])
+
+
+def test_odd_words_get_the_librarys_ids():
+    random.seed(1)
+    marks = list(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u3000\u200b\ufeffabcABCéÉßǅİıﬁŒ\u0308\u0344's't日🙂٣४09-%#<|>") + ["<|endoftext|>", "'re", "'LL", " "]
+    texts = ["".join(random.choice(marks) for _ in range(random.randint(0, 30))) for _ in range(3000)] + [None]
+    whole = Tokenizer.from_file(PATH)
+    whole.encode_special_tokens = True
+    tok = ts.WordTokenizer(PATH)
+    assert tok.by_word
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(r, "<u4").tolist() for r in tok.encode_all(pa.array(texts, pa.string()))] == want
+    tok.by_word = False
+    assert [np.frombuffer(r, "<u4").tolist() for r in tok.encode_all(pa.array(texts[-50:], pa.string()))] == want[-50:]
+
+
+def test_rolling_hash_covers_a_window():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 49408, 5000).astype("<u4"), rng.integers(0, 49408, 700).astype("<u4")
+    ends = lambda ids: {tuple(ids[max(0, e - ts.WINDOW) : e].tolist()) for e in ts.cuts(ids)[:-1]}
+    assert len(ends(np.concatenate([b, a])) & ends(a)) >= 3  # cuts are found again behind another beginning
