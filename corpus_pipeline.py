@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe_codec, line_dedup, mixing, ngram_join, quality
-from quire.llm.shared import written
+from quire.llm.shared import inner_names, written
 
 LEAST_QUALITY = 0.3
 
@@ -26,27 +26,37 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose texts score at least ``LEAST_QUALITY``.  Null and empty texts are scored like
+    any other, long ones whole; repeated rows stay or go together; without labels every
+    score is 0.5 and all stay; an empty table stays empty."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.withColumn("_score", quality.score(F.col("text"), model)).filter(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    return docs.filter(quality.score(F.col("text"), model) >= LEAST_QUALITY)
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that had no words to begin with stay as they are."""
-    out = line_dedup.dedup_lines(docs).filter((F.col("n_worded") > 0) | (F.col("n_removed") == 0))
-    return _recounted(out.select(*docs.columns))
+    """Texts without the lines that have an earlier match; a document that loses all its
+    lines with words goes.  Null, empty and blank texts stay as they are; of rows of equal
+    id and text the first keeps its lines."""
+    n_lines, n_removed, n_worded = inner_names(docs, 3)
+    out = line_dedup.dedup_lines(docs, added=(n_lines, n_removed, n_worded))
+    return _recounted(out.filter((F.col(n_worded) > 0) | (F.col(n_removed) == 0)).select(*docs.columns))
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of several rows with the id that a group keeps, the one of the least text stays.
-    Rows without an id stay unless they link with one that has an id."""
+    """One row of each group of near duplicates: that of the smallest id, and of several
+    rows with it the one of the least text.  Rows without words are like no other and
+    stay; so do rows without an id, unless they link with one that has an id."""
     return ngram_join.one_of_each(docs)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes, a row for each time a document is taken.  Rows without
+    words aren't taken; null sources are one source."""
     return _recounted(mixing.mixed_documents(docs))
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; a null text counts as empty."""
     return bpe_codec.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
