@@ -36,6 +36,7 @@ BASE = ("email", "ip", "card", "phone")
 MORE = ("spelled", "national", "social")
 KINDS = BASE + MORE
 CONTEXT_CHARS = 24
+CHUNK_CHARS = 4096
 CONTEXT_YES = r"(?i)(mail|contact|write|phone|tel|call|mobile|cell|fax|card|visa|ssn|social|address|ip|host|from)[^a-z]*$"
 CONTEXT_NO = r"(?i)(version|isbn|order|invoice|serial|part|page|figure|table|section|doi|id)[^a-z]*$"
 #: Common endings of mail domains.
@@ -150,11 +151,18 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"), proposals(text).alias("found"))
 
-    def voted(s):
-        before = F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)).cast("int"))
-        return F.struct(*(s[c].alias(c) for c in ("ord", "kind", "start", "end")), *(v.alias(n) for v, n in zip(_votes(s, before), LABELERS, strict=True)), F.least(F.char_length(_digits(s["m"])), F.lit(20)).alias("digits"))
+    def voted(chunks):
+        def of(s):
+            k, at = F.floor(s["start"] / CHUNK_CHARS).cast("int"), (s["start"] % CHUNK_CHARS).cast("int")
+            near = F.concat(F.when(k > 0, F.substring(F.try_element_at(chunks, k), CHUNK_CHARS + 1 - CONTEXT_CHARS, CONTEXT_CHARS)).otherwise(""), F.substring(F.coalesce(F.try_element_at(chunks, k + 1), F.lit("")), F.lit(1), at))
+            return bound({"before": F.substring(near, -CONTEXT_CHARS, CONTEXT_CHARS)}, lambda v: F.struct(*(s[c].alias(c) for c in ("ord", "kind", "start", "end")), *(x.alias(n) for x, n in zip(_votes(s, v["before"]), LABELERS, strict=True)), F.least(F.char_length(_digits(s["m"])), F.lit(20)).alias("digits")))
 
-    rows = written(rows.select("doc_id", "row", F.transform("found", voted).alias("found")), "personal-proposals")
+        return of
+
+    # a text is cut into chunks once, as each look into a long one from its start takes its length
+    cut = F.when(F.size("found") > 0, F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % CHUNK_CHARS), F.lit(0)))
+    judged = bound({"chunks": cut, "found": F.col("found")}, lambda v: F.transform(v["found"], voted(v["chunks"])))
+    rows = written(rows.select("doc_id", "row", judged.alias("found")), "personal-proposals")
     held = rows.filter(F.size("found") > 0).select("row", F.explode("found").alias("s")).select("row", "s.*")
     patterns = held.groupBy(*LABELERS).count().collect()  # 27 rows at most
     model = fit_votes({tuple(r[n] for n in LABELERS): r["count"] for r in patterns})

@@ -60,8 +60,8 @@ def test_more_spans(spark):
 
 
 def test_very_many_labels_and_matches_in_one_text(spark):
-    rows = [(700, "a@b" + ".c" * 100_000, "en", "s"), (701, "1.2.3.4 " * 40_000, "en", "s"), (702, "x@y.zz 415-555-1234 " * 20_000, "en", "s"), (703, "1.2.3.4 " * 257, "en", "s"), (704, "a@b.c " * 256, "en", "s")]
-    rows += [(705, "a@" + "b-" * 50_000 + " c@d" + "." * 9, "en", "s")]
+    rows = [(700, "a@b" + ".c" * 100_000, "en", "s"), (701, "1.2.3.4 " * 30_000, "en", "s"), (702, "x@y.zz 415-555-1234 " * 10_000, "en", "s"), (703, "1.2.3.4 " * 257, "en", "s"), (704, "a@b.c " * 256, "en", "s")]
+    rows += [(705, "a@" + "b-" * 3_000 + " c@d" + "." * 9, "en", "s")]
     docs = odd_documents(spark, rows).filter("doc_id >= 700")
     got = pii.detect(docs).collect()
     assert sorted((r.doc_id, [r.n_email, r.n_ip, r.n_card, r.n_phone], r.base_sha256) for r in got) == sorted((r.doc_id, *brute(r.text)) for r in docs.collect())
@@ -74,3 +74,9 @@ def test_spans_of_other_kinds_keep_off_base_spans(spark):
     found = odd_documents(spark, rows).filter("doc_id = 800").select(pii.proposals(pii.F.col("text")).alias("p")).first().p
     spans = sorted((s.start, s.end, s.kind) for s in found)
     assert [s[2] for s in spans].count("email") == 1 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_context_across_chunks(spark):
+    rows = [(900 + k, "é" * k + "🙂 call 415-555-1234 or isbn 415-555-1234", "en", "s") for k in (0, 4080, 4085, 4090, 4096, 4100, 8191)]
+    got = {r.doc_id: r.probabilities for r in pii.detect(odd_documents(spark, rows), threshold=0.0).filter("doc_id >= 900").collect()}
+    assert len({tuple(p) for p in got.values()}) == 1 and len(got[900]) == 2
