@@ -72,7 +72,7 @@ def _postings(counts: np.ndarray, low: int, high: int, buckets: int):
                         lost.append(old)
                     else:
                         lost.append(mine)
-                dealer.add_postings(sets, counts, noise, new, place[doc])
+                dealer.add_postings(sets, counts, noise, new, place[doc], True)
                 if lost:
                     h, i, t, n = (np.array(x) for x in zip(*lost, strict=True))
                     dealer.add(sj.ITEMS, GONE, sj.mix(t.astype(np.int64).view(np.uint64)), [i, h, t, n])
@@ -106,7 +106,7 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, texts in sj.slices(batch[0]):
             sets, _, _ = _line_sets(texts)
-            yield sets.rows(sj.fresh(sets.name, seen), False)
+            yield sets.rows(sj.fresh(sets.name, seen), sj.LINE_PARITY)
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -126,7 +126,7 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def losers(pairs: DataFrame) -> DataFrame:
         """Names with an earlier match, among candidate pairs (a, b)."""
         at = lambda k: places.select(F.col("name").alias(k), F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "th", "line").alias("f" + k))
-        links = sj.verified(pairs, sets, False).join(at("a"), "a").join(at("b"), "b")
+        links = sj.verified(pairs, sets).join(at("a"), "a").join(at("b"), "b")
         return links.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("name")).distinct()
 
     gone = written(losers(pairs), "line-losers")

@@ -52,7 +52,7 @@ def _postings(size: int, counts: np.ndarray, buckets: int):
             known = np.array(batch[0].is_valid(), dtype=np.int8)
             for at, texts in sj.slices(batch[1]):
                 sets = _sets(texts, size)
-                dealer.add_postings(sets, counts, noise, sj.fresh(sets.name, seen), sets.size)
+                dealer.add_postings(sets, counts, noise, sj.fresh(sets.name, seen), sets.size, False)
                 mine, have = ids[at : at + len(texts)].astype(np.int64), known[at : at + len(texts)]
                 n, name = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64)
                 n[sets.who], name[sets.who] = sets.size, sets.name
@@ -88,7 +88,7 @@ def _token_rows(size: int):
         for batch in batches:
             for _, texts in sj.slices(batch[1]):
                 sets = _sets(texts, size)
-                yield sets.rows(sj.fresh(sets.name, seen), True)
+                yield sets.rows(sj.fresh(sets.name, seen), sj.DOCUMENT_PARITY)
 
     return run
 
@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
     sets = sj.wanted_sets(texts.mapInArrow(_token_rows(size), sj.TOKENS), names)
 
-    links = sj.verified(pairs, sets, True).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = sj.verified(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
     joined = components(links)
 
     def settle(links: DataFrame | None) -> DataFrame:
@@ -127,7 +127,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             joined = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
         return joined.select(F.col("node").alias("name"), F.col("root").alias("state"))
 
-    sj.rounds(live, pairs, sets, lambda new: sj.verified(new, sets, True), settle, True)
+    sj.rounds(live, pairs, sets, lambda new: sj.verified(new, sets), settle, True)
     linked = joined.select(F.col("node").alias("name"), "root").unionByName(joined.select(F.col("root").alias("name"), "root").distinct())
     inside = written(linked.join(named, "name"), "linked")
     classes = inside.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -39,6 +39,8 @@ SKETCH_BITS = 20
 #: Cells travel from tasks in blocks of so many.
 SKETCH_BLOCK = 4096
 SLICE_BYTES = 1 << 20
+#: Sets of more tokens have the wide signature.
+WIDE_FROM = 64
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 64
 #: Rows of one token that meet in one cell; a token with more is dealt to several.
@@ -240,11 +242,22 @@ class Sets:
             total = np.add.reduceat(mix(self.token ^ _PLACE[5]), self.first)
             self.name = mix(total ^ (self.size.astype(np.uint64) * _PLACE[6])).view(np.int64)
 
-    def signatures(self) -> np.ndarray:
-        """One 64-bit parity of token bits per set: sets that differ in d tokens differ in
-        at most d bits."""
-        bits = U(1) << (self.token >> U(40) & U(63))
-        return np.bitwise_xor.reduceat(bits, self.first) if len(self.first) else np.zeros(0, np.uint64)
+    def signatures(self, wide: bool) -> np.ndarray:
+        """Four 64-bit words of parities of token bits per set: sets that differ in d tokens
+        differ in at most d bits of the first word, and of the others together.  These are 0
+        unless ``wide``, and for sets of up to ``WIDE_FROM`` tokens, for which one will do."""
+        out = np.zeros((len(self.first), 4), np.uint64)
+        if not len(self.first):
+            return out
+        out[:, 0] = np.bitwise_xor.reduceat(U(1) << (self.token >> U(40) & U(63)), self.first)
+        large = self.size > WIDE_FROM
+        if wide and large.any():
+            token = self.token[np.repeat(large, self.size)]
+            first = np.cumsum(self.size[large]) - self.size[large]
+            word, bit = (token >> U(46)) % U(3), U(1) << (token >> U(34) & U(63))
+            for k in range(3):
+                out[large, k + 1] = np.bitwise_xor.reduceat(np.where(word == U(k), bit, U(0)), first)
+        return out
 
     def prefixes(self, counts: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Set index, key, count and position of the prefix tokens of the sets that ``keep``
@@ -261,22 +274,25 @@ class Sets:
         short = (pos < size + (-NUM * size) // DEN + 1) & (count > 1)  # size - ceil(size * NUM / DEN) + 1
         return which[short], mix(rank[short]), count[short], pos[short]
 
-    def rows(self, keep: np.ndarray, parity: bool) -> pa.RecordBatch:
+    def rows(self, keep: np.ndarray, parity_bits: int) -> pa.RecordBatch:
         """Rows of ``TOKENS`` of the sets that ``keep`` marks."""
         at = np.flatnonzero(keep)
         on = np.repeat(keep, self.size)
         tokens = self.token[on]
         offsets = np.concatenate([[0], np.cumsum(self.size[at])]) * 8
         body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(tokens.tobytes())]).cast(pa.binary())
-        marks = pa.nulls(len(at), pa.binary())
-        if parity:
-            bits = [np.bincount((self.token[a : a + n] >> U(8)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1 for a, n in zip(self.first[at], self.size[at], strict=True)]
-            marks = pa.array([np.packbits(b.astype(np.uint8)).tobytes() for b in bits], pa.binary())
+        owner = np.repeat(np.arange(len(at)), self.size[at])
+        bits = np.zeros((len(at), parity_bits), np.uint8)
+        if len(at):
+            place = owner * parity_bits + ((tokens >> U(8)).astype(np.int64) & (parity_bits - 1))
+            bits = (np.bincount(place, minlength=len(at) * parity_bits) & 1).astype(np.uint8).reshape(len(at), -1)
+        raw = np.packbits(bits, axis=1)
+        marks = pa.FixedSizeBinaryArray.from_buffers(pa.binary(parity_bits // 8), len(at), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(self.name[at]), marks, body], ["name", "parity", "tokens"])
 
 
-#: Bits of the parity by which pairs of large sets are looked at before their tokens are fetched.
-PARITY_BITS = 2048
+#: Bits of the parity by which pairs are looked at before their tokens are fetched: of documents, and of lines.
+DOCUMENT_PARITY, LINE_PARITY = 2048, 512
 TOKENS = "name long, parity binary, tokens binary"
 
 
@@ -322,8 +338,8 @@ def required(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 DEALT = "bucket int, kind byte, body binary"
 #: Kinds of packed arrays: postings, first rows by name, rows of the result to pass on.
 POSTINGS, FIRSTS, ITEMS = 0, 1, 2
-#: Lower half of the key, name, signature, order, size and position.
-POSTING = ("<u4", "<i8", "<u8", "<i4", "<i4", "<i4")
+#: Lower half of the key, name, order, size, position and the signature's words.
+POSTING = ("<u4", "<i8", "<i4", "<i4", "<i4", "<u8", "<u8", "<u8", "<u8")
 
 
 def pack(columns: list[np.ndarray], types: tuple[str, ...]) -> bytes:
@@ -368,7 +384,7 @@ class Dealer:
             yield pa.RecordBatch.from_arrays([pa.array(at[cuts].astype(np.int32)), pa.array(np.full(len(cuts), kind, np.int8)), pa.array(bodies, pa.binary())], ["bucket", "kind", "body"])
         self.held, self.size = {}, 0
 
-    def add_postings(self, sets: Sets, counts: np.ndarray, noise: int, keep: np.ndarray, order: np.ndarray) -> None:
+    def add_postings(self, sets: Sets, counts: np.ndarray, noise: int, keep: np.ndarray, order: np.ndarray, wide: bool) -> None:
         which, key, count, pos = sets.prefixes(counts, keep)
         salts = np.maximum(1, -(-(count - noise) // HOT_ROWS))
         if len(salts) and salts.max() > 1:
@@ -378,7 +394,7 @@ class Dealer:
             low, high = np.minimum(own, other.astype(np.uint64)), np.maximum(own, other.astype(np.uint64))
             cell = mix(key[row] + low * _PLACE[3] + high * _PLACE[4])
             which, pos, key = which[row], pos[row], np.where(salts[row] > 1, cell, key[row])
-        self.add(POSTINGS, POSTING, key, [key & U(0xFFFFFFFF), sets.name[which], sets.signatures()[which], order[which], sets.size[which], pos])
+        self.add(POSTINGS, POSTING, key, [key & U(0xFFFFFFFF), sets.name[which], order[which], sets.size[which], pos, *sets.signatures(wide)[which].T])
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -430,7 +446,10 @@ def partners(group: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray,
             i = np.repeat(rows[a:b], w)
             j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(since[a:b], w)
             budget = _apart(n[i], n[j])
-            ok = np.bitwise_count(sig[i] ^ sig[j]) <= budget
+            ok = np.bitwise_count(sig[i, 0] ^ sig[j, 0]) <= budget
+            i, j, budget = i[ok], j[ok], budget[ok]
+            apart = np.bitwise_count(sig[i, 1:] ^ sig[j, 1:]).sum(1, dtype=np.int64)
+            ok = (apart <= budget) | (n[j] <= WIDE_FROM)
             i, j, budget = i[ok], j[ok], budget[ok]
             ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= (n[i] + n[j] - budget) // 2
             i, j, budget = i[ok], j[ok], budget[ok]
@@ -458,7 +477,7 @@ FOUND = "k byte, a long, b long, c long, n int, body binary"
 PAIR, LIVE, FIRST, ITEM = 0, 1, 2, 3
 _FOUND = pa.schema([("k", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
 #: What a row for later rounds holds besides key and name.
-BODY = np.dtype([("sig", "<u8"), ("ord", "<i4"), ("n", "<i4"), ("pos", "<i4")])
+BODY = np.dtype([("sig", "<u8", (4,)), ("ord", "<i4"), ("n", "<i4"), ("pos", "<i4")])
 
 
 def found(kind: int, size: int, **columns) -> pa.RecordBatch:
@@ -468,8 +487,15 @@ def found(kind: int, size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_FOUND)
 
 
+def packed_rows(sig: np.ndarray, order: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.Array:
+    body = np.zeros(len(n), BODY)
+    body["sig"], body["ord"], body["n"], body["pos"] = sig, order, n, pos
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(BODY.itemsize), len(body), [None, pa.py_buffer(body.tobytes())]).cast(pa.binary())
+
+
 def _first_round(bucket: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
-    h, name, sig, order, n, pos = unpack(bodies, POSTING)
+    h, name, order, n, pos, *words = unpack(bodies, POSTING)
+    sig = np.stack(words, 1)
     o = np.argsort(h.astype(np.uint64) << U(32) | name.view(np.uint64) & U(0xFFFFFFFF))
     h, name, sig, order, n, pos = (x[o] for x in (h, name, sig, order, n, pos))
     new = np.ones(len(h), bool)  # copies of a set from several tasks, and tokens of one rank in a set
@@ -494,11 +520,8 @@ def _first_round(bucket: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.sort(np.stack([name[i], name[j]], 1), 1), axis=0)
         yield found(PAIR, len(pairs), a=np.ascontiguousarray(pairs[:, 0]), b=np.ascontiguousarray(pairs[:, 1]))
     if live.any():
-        body = np.zeros(int(live.sum()), BODY)
-        body["sig"], body["ord"], body["n"], body["pos"] = sig[live], order[live], n[live], pos[live]
         key = np.int64(bucket) << 32 | h[live].astype(np.int64)
-        raw = body.tobytes()
-        yield found(LIVE, len(body), a=key, b=name[live], body=pa.FixedSizeBinaryArray.from_buffers(pa.binary(BODY.itemsize), len(body), [None, pa.py_buffer(raw)]).cast(pa.binary()))
+        yield found(LIVE, len(key), a=key, b=name[live], body=packed_rows(sig[live], order[live], n[live], pos[live]))
 
 
 def first_round(others: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]]) -> Callable:
@@ -524,18 +547,48 @@ def first_round(others: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]])
     return run
 
 
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, name, rows, state, parities or None) of each key, from batches (key, name, body,
+    state, parity) sorted by key."""
+    held = None
+    for batch in batches:
+        marks = batch[4].to_pylist()
+        parity = np.frombuffer(b"".join(marks), np.uint64).reshape(len(marks), -1) if marks and marks[0] is not None else None
+        part = [batch[0].to_numpy(), batch[1].to_numpy(), np.frombuffer(b"".join(batch[2].to_pylist()), BODY), batch[3].to_numpy(), parity]
+        if held is not None and len(held[0]):
+            part = [None if p is None else np.concatenate([h, p]) for h, p in zip(held, part, strict=True)]
+        cuts = [0, *(np.flatnonzero(np.diff(part[0])) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield int(part[0][a]), *(None if p is None else p[a:b] for p in part[1:])
+        held = [None if p is None else p[cuts[-1] :] for p in part]
+    if held is not None and len(held[0]):
+        yield int(held[0][0]), *held[1:]
+
+
+def _settled(state: np.ndarray, by_root: bool) -> bool:
+    return bool((state == state[0]).all()) and (by_root or state[0] == 1)
+
+
+def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of those keys that hold sets of several components."""
+    for key, name, x, state, _ in _by_key(batches):
+        if not _settled(state, True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), key)), pa.array(name), packed_rows(x["sig"], x["ord"], x["n"], x["pos"]), pa.array(state)], ["key", "name", "body", "state"])
+
+
+ROUND = "a long, b long, key long, name long, body binary"
+
+
 def later_round(low: int, high: int, by_root: bool) -> Callable:
     """Over rows (key, name, body, state, parity) sorted by key: pairs (a, b) of rank
-    ``low`` up to ``high`` that are still open, and a row of nulls where pairs of higher
-    rank may be.  It holds the rows of one key.
+    ``low`` up to ``high`` that are still open, and again the rows (key, name, body) of
+    which pairs of higher rank are left.  It holds the rows of one key.
 
     With ``by_root``, ``state`` is a component and pairs of one component are settled; else
     it is 1 for a set that has gone, and pairs are settled whose later set has gone.
     """
 
-    def group(name, x, state, parity) -> Iterator[pa.RecordBatch]:
-        if (state == state[0]).all() and (by_root or state[0] == 1):
-            return
+    def group(key, name, x, state, parity) -> Iterator[pa.RecordBatch]:
         o = np.lexsort((name, x["ord"], x["n"]))
         name, x, state = name[o], x[o], state[o]
         marks = None if parity is None else parity[o]
@@ -547,34 +600,24 @@ def later_round(low: int, high: int, by_root: bool) -> Callable:
             lost = np.where(order[i] > order[j], state[i], np.where(order[i] < order[j], state[j], state[i] & state[j]))
             return lost == 0
 
-        i, j, over = partners(np.ones(len(n), np.int64), n, x["pos"].astype(np.int64), x["sig"], low, high, wanted, marks)
-        if len(i):
-            pairs = np.unique(np.sort(np.stack([name[i], name[j]], 1), 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
-        if over.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
+        i, j, more = partners(np.ones(len(n), np.int64), n, x["pos"].astype(np.int64), x["sig"], low, high, wanted, marks)
+        pairs = np.unique(np.sort(np.stack([name[i], name[j]], 1), 1), axis=0)
+        p, m = len(pairs), int(more.sum())
+        if p:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), *(pa.nulls(p, t) for t in (pa.int64(), pa.int64(), pa.binary()))], ["a", "b", "key", "name", "body"])
+        if m:
+            x = x[more]
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(np.full(m, key)), pa.array(name[more]), packed_rows(x["sig"], x["ord"], x["n"], x["pos"])], ["a", "b", "key", "name", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            key, name, state = (batch[k].to_numpy() for k in (0, 1, 3))
-            x = np.frombuffer(b"".join(batch[2].to_pylist()), BODY)
-            marks = batch[4].to_pylist()
-            parity = np.frombuffer(b"".join(marks), np.uint64).reshape(len(marks), -1) if marks and marks[0] is not None else None
-            part = [key, name, x, state, parity]
-            if held is not None:
-                part = [None if p is None else np.concatenate([h, p]) for h, p in zip(held, part, strict=True)]
-            cuts = [0, *(np.flatnonzero(np.diff(part[0])) + 1).tolist()]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                yield from group(*(None if p is None else p[a:b] for p in part[1:]))
-            held = [None if p is None else p[cuts[-1] :] for p in part]
-        if held is not None and len(held[0]):
-            yield from group(*held[1:])
+        for key, name, x, state, parity in _by_key(batches):
+            if not _settled(state, by_root):
+                yield from group(key, name, x, state, parity)
 
     return run
 
 
-def rounds(live: DataFrame, pairs: DataFrame, sets: DataFrame, judge: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame], DataFrame], by_root: bool) -> None:
+def rounds(live: DataFrame, pairs: DataFrame, sets: DataFrame, judge: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame | None], DataFrame], by_root: bool) -> None:
     """Later rounds over the rows that the first one kept.
 
     ``judge`` takes new candidate pairs to links, ``settle`` takes all links of a round into
@@ -585,22 +628,22 @@ def rounds(live: DataFrame, pairs: DataFrame, sets: DataFrame, judge: Callable[[
         return
     state = settle(None)
     default = F.col("name") if by_root else F.lit(0).cast("long")
+    none = F.lit(None).cast("binary").alias("parity")
     while True:
-        rows = written(live.join(state, "name", "left").select("key", "name", "body", F.coalesce("state", default).alias("state")), "live")
-        # only tokens that have an open row go on
-        differ = rows.groupBy("key").agg(F.min("state").alias("_l"), F.max("state").alias("_m"))
-        differ = differ.filter(F.col("_l") < F.col("_m") if by_root else F.col("_l") == 0).select("key")
-        live = rows.join(differ, "key", "left_semi").drop("state")
-        rows = rows.join(differ, "key", "left_semi")
-        rows = rows.join(sets.select("name", "parity"), "name", "left") if by_root else rows.withColumn("parity", F.lit(None).cast("binary"))
-        rows = rows.select("key", "name", "body", "state", "parity").repartition("key").sortWithinPartitions("key")
-        new = written(rows.mapInArrow(later_round(low, high, by_root), "a long, b long").distinct(), "open-pairs")
-        more = not new.filter("a is null").isEmpty()
-        fresh_pairs = written(new.filter("a is not null").join(judged, ["a", "b"], "left_anti"), "new-pairs")
+        few = state.count() <= SENT_NAMES
+        rows = live.join(F.broadcast(state) if few else state, "name", "left").select("key", "name", "body", F.coalesce("state", default).alias("state"), none)
+        rows = rows.repartition("key").sortWithinPartitions("key")
+        if by_root:  # only tokens that have an open row go on, with the large parities of their sets
+            rows = written(rows.mapInArrow(still_open, "key long, name long, body binary, state long"), "open")
+            rows = rows.join(sets.select("name", "parity"), "name").select("key", "name", "body", "state", "parity")
+            rows = rows.repartition("key").sortWithinPartitions("key")
+        new = written(rows.mapInArrow(later_round(low, high, by_root), ROUND), "round")
+        fresh_pairs = written(new.filter("a is not null").select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"), "new-pairs")
         if not fresh_pairs.isEmpty():
             state = settle(judge(fresh_pairs))
-            judged = written(judged.unionByName(fresh_pairs), "judged")
-        if not more:
+            judged = judged.unionByName(fresh_pairs)
+        live = new.filter("a is null").select("key", "name", "body")
+        if live.isEmpty():
             return
         low, high = high, high * GROWTH
 
@@ -628,13 +671,12 @@ def verify(a: bytes, b: bytes) -> int:
     return both if both >= need else -1
 
 
-def verified(pairs: DataFrame, sets: DataFrame, parity: bool) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of names that link; ``sets``: a written table of TOKENS, one row a
     name.
 
-    With ``parity``, for large sets: two sets differ in at least as many tokens as their
-    parities in bits, which settles most pairs that don't link; only the tokens of the
-    others are fetched.
+    Two sets differ in at least as many tokens as their parities in bits, which settles most
+    pairs that don't link; only the tokens of the others are fetched.
     """
 
     @F.pandas_udf("boolean")
@@ -649,10 +691,9 @@ def verified(pairs: DataFrame, sets: DataFrame, parity: bool) -> DataFrame:
     def links(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([verify(x, y) >= 0 for x, y in zip(a, b, strict=True)])
 
-    if parity:
-        marks = sets.select("name", "parity", F.octet_length("tokens").alias("n"))
-        side = lambda k: marks.select(F.col("name").alias(k), F.col("parity").alias("p" + k), F.col("n").alias("n" + k))
-        pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(may("pa", "na", "pb", "nb")).select("a", "b"), "near-pairs")
+    marks = sets.select("name", "parity", F.octet_length("tokens").alias("n"))
+    side = lambda k: marks.select(F.col("name").alias(k), F.col("parity").alias("p" + k), F.col("n").alias("n" + k))
+    pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(may("pa", "na", "pb", "nb")).select("a", "b"), "near-pairs")
     got = pairs.join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b")
     got = got.join(sets.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a")
     return got.filter(links("ta", "tb")).select("a", "b")

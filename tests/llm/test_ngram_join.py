@@ -116,3 +116,19 @@ def test_one_row_of_each_component_stays_where_ids_repeat(spark):
     assert sorted(got) == sorted(best.values())
     assert sum(t == alone for *_, t in got) == 1
     assert any(t.startswith("é ß") for *_, t in got) and not any(t.endswith(" tail") for *_, t in got)
+
+
+def test_no_pair_is_judged_twice(spark, monkeypatch):
+    judged = []
+    verified = sj.verified
+
+    def counted(pairs, sets):
+        judged.extend(map(tuple, pairs.select("a", "b").collect()))
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(sj, "verified", counted)
+    rows = [(k, t, "en", "s") for k, t in enumerate(near_copies(150, 60, 6, 8))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sorted(map(tuple, nj.near_duplicates(docs).collect()))
+    assert got == sorted(brute([r[:2] for r in rows]))
+    assert len(judged) == len(set(judged)) > 20 and all(a < b for a, b in judged)
