@@ -50,7 +50,7 @@ ROUND_ZERO, GROWTH = 4, 8
 #: Pairs that are looked at side by side.
 PAIR_BATCH = 1 << 20
 #: Postings that a task holds before it gives them out.
-HELD_POSTINGS = 1 << 20
+HELD_POSTINGS = 1 << 18
 #: Buckets of token hashes for each shuffle partition.
 BUCKETS = 4
 #: Names of sets that are broadcast up to so many (8 bytes each); more are joined.
