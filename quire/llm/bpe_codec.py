@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quire.llm.shared import worker_state
 
 #: A worker remembers the results of the latest distinct pre-tokens, up to twice so many.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Longer pre-tokens are not remembered.
 CACHE_CHARS = 64
 
