@@ -17,6 +17,9 @@ UNITS = {"px": 1.0, "in": 72.0, "cm": 72.0 / 2.54, "mm": 72.0 / 25.4}
 #: Named paper sizes in points.
 PAPER = {"a3": (842, 1191), "a4": (595, 842), "a5": (420, 595), "a6": (298, 420), "b4": (709, 1001), "b5": (499, 709), "legal": (612, 1008), "letter": (612, 792), "ledger": (792, 1224), "tabloid": (792, 1224)}
 
+#: The corners of the rectangle that holds everything.
+INFINITE = (-2147483648.0, 2147483520.0)
+
 
 def _col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
@@ -55,6 +58,10 @@ class Rect:
     def is_valid(self) -> Column:
         return (self.x0 <= self.x1) & (self.y0 <= self.y1)
 
+    def is_infinite(self) -> Column:
+        low, high = INFINITE
+        return (self.x0 == low) & (self.y0 == low) & (self.x1 == high) & (self.y1 == high)
+
     def normalize(self) -> Rect:
         return Rect(F.least(self.x0, self.x1), F.least(self.y0, self.y1), F.greatest(self.x0, self.x1), F.greatest(self.y0, self.y1))
 
@@ -115,6 +122,35 @@ def iou(a: Rect, b: Rect) -> Column:
     return F.when(total > 0, both / total).otherwise(F.lit(0.0))
 
 
+class IRect(Rect):
+    """A rectangle of whole numbers; its union and intersection are such ones, too."""
+
+    @staticmethod
+    def around(r: Rect) -> IRect:
+        """The least one that holds ``r``."""
+        return IRect(*(c.cast("int") for c in (F.floor(r.x0), F.floor(r.y0), F.ceil(r.x1), F.ceil(r.y1))))
+
+    def _whole(self, r: Rect) -> IRect:
+        return IRect(*(c.cast("int") for c in (r.x0, r.y0, r.x1, r.y1)))
+
+    def union(self, other: Rect) -> IRect:
+        return self._whole(super().union(other))
+
+    def intersect(self, other: Rect) -> IRect:
+        return self._whole(super().intersect(other))
+
+
+def norm(x, y) -> Column:
+    """Length of a vector."""
+    return F.hypot(_col(x), _col(y))
+
+
+def unit(x, y) -> tuple[Column, Column]:
+    """The vector of length 1 in the same direction; the null vector stays."""
+    size = norm(x, y)
+    return tuple(F.when(size > 0, _col(c) / F.when(size > 0, size)).otherwise(F.lit(0.0)) for c in (x, y))
+
+
 @dataclass(frozen=True)
 class Matrix:
     a: Column
@@ -172,6 +208,45 @@ class Matrix:
         return x * self.a + y * self.c + self.e, x * self.b + y * self.d + self.f
 
 
+def planish(x1, y1, x2, y2) -> Matrix:
+    """The matrix that takes a segment's start to the origin and its end to the positive x axis."""
+    c, s = unit(_col(x2) - _col(x1), _col(y2) - _col(y1))
+    return Matrix.translate(-_col(x1), -_col(y1)).then(Matrix(c, -s, s, c, F.lit(0.0), F.lit(0.0)))
+
+
+@dataclass(frozen=True)
+class Quad:
+    """Four corners, each (x, y): upper left, upper right, lower left, lower right."""
+
+    ul: tuple[Column, Column]
+    ur: tuple[Column, Column]
+    ll: tuple[Column, Column]
+    lr: tuple[Column, Column]
+
+    @staticmethod
+    def of(r: Rect) -> Quad:
+        return Quad((r.x0, r.y0), (r.x1, r.y0), (r.x0, r.y1), (r.x1, r.y1))
+
+    def corners(self) -> list[tuple[Column, Column]]:
+        return [self.ul, self.ur, self.ll, self.lr]
+
+    def columns(self, prefix: str = "") -> list[Column]:
+        return [c.alias(f"{prefix}{n}_{a}") for n, p in zip(("ul", "ur", "ll", "lr"), self.corners(), strict=True) for a, c in zip("xy", p, strict=True)]
+
+    def transform(self, m: Matrix) -> Quad:
+        return Quad(*(m.point(x, y) for x, y in self.corners()))
+
+    def rect(self) -> Rect:
+        """The least rectangle around it."""
+        xs, ys = zip(*self.corners(), strict=True)
+        return Rect(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
+
+    def is_rectangular(self, slack: float = 1e-6) -> Column:
+        """Whether the sides meet at right angles."""
+        right = lambda o, p, q: F.abs((p[0] - o[0]) * (q[0] - o[0]) + (p[1] - o[1]) * (q[1] - o[1])) <= slack
+        return right(self.ul, self.ur, self.ll) & right(self.ur, self.ul, self.lr) & right(self.ll, self.ul, self.lr)
+
+
 def page_matrix(box: Rect, rotate: Column) -> Matrix:
     """User space (y up) to device space (y down, origin at the top left) of a turned page."""
     pick = lambda a, b, c, d: F.when(rotate == 90, _col(b)).when(rotate == 180, _col(c)).when(rotate == 270, _col(d)).otherwise(_col(a))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Elements that end a line, and elements without text.
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "header", "footer", "nav", "main", "blockquote", "pre", "title", "hr", "dt", "dd"}
-SILENT = {"script", "style", "noscript", "template", "head"} - {"head"}
+SILENT = {"script", "style", "noscript", "template", "head", "title"}
 
 
 class _Text(HTMLParser):
@@ -21,6 +21,8 @@ class _Text(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.silent += tag in SILENT
+        if tag == "body":  # a head that isn't closed ends here
+            self.silent = 0
         if tag in BLOCKS:
             self.out.append("\n")
         if tag == "a":

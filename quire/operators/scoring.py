@@ -107,3 +107,17 @@ def causes(scores: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("reason").orderBy("id"))
     few = scores.withColumn("_k", first).filter("_k <= 3").groupBy("reason").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("examples"))
     return scores.groupBy("reason").agg(F.count("*").alias("n")).join(few, "reason")
+
+
+def rates(records: DataFrame, by: str, flags: dict[str, Column], value: str, limits: tuple[float, ...]) -> DataFrame:
+    """By group: records, how many have each flag and their share, the mean of a value, and
+    how many are at or over each limit."""
+    counts = [F.count_if(c).alias(f"n_{k}") for k, c in flags.items()] + [F.count_if(F.col(value) >= x).alias(f"from_{x:g}") for x in limits]
+    out = records.groupBy(by).agg(F.count("*").alias("n"), *counts, F.avg(value).alias(f"mean_{value}"))
+    return out.withColumns({f"{k}_rate": F.col(f"n_{k}") / F.col("n") for k in flags})
+
+
+def medians_of_runs(runs: DataFrame, by: list[str], item: str, value: str) -> DataFrame:
+    """By group: the items, the median of the items' medians over their runs, and the medians' sum."""
+    of_item = runs.groupBy(*by, item).agg(F.median(value).alias("_m"))
+    return of_item.groupBy(*by).agg(F.count("*").alias("n"), F.median("_m").alias(f"median_{value}"), F.sum("_m").alias(f"sum_{value}"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
@@ -102,15 +103,9 @@ def logical_order(text: str) -> str:
 
 
 def lcs_similarity(a: str, b: str) -> float:
-    """Twice the longest common subsequence over both lengths; 1 for two empty strings."""
-    if not a and not b:
-        return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+    """Twice the characters in matching blocks over both lengths; 1 for two empty strings.
+    The blocks are the longest common run and, on either side of it, theirs in turn."""
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
 def box_overlap(a: Box, b: Box) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import dehyphenate, html_escape, json_number
@@ -78,3 +78,10 @@ def get_text(docs: DataFrame, option: str = "text") -> DataFrame:
     if option == "blocks":
         return virtual.blocks(docs)
     return VIEWS.get(option, text)(docs)
+
+
+def sorted_by_position(rows: DataFrame, *ties: str) -> DataFrame:
+    """Words or blocks with ``ord``, their place on their page from top to bottom and then
+    from left to right; rows in one place follow each other in the order of ``ties``."""
+    place = Window.partitionBy("doc_id", "page_no").orderBy("y0", "x0", *ties)
+    return rows.withColumn("ord", F.row_number().over(place))

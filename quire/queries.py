@@ -441,3 +441,54 @@ def color_cmyk(spark, sf_dir):
 @query("SELECT p_partkey AS k, CASE WHEN regexp_full_match(p_name, '[\\x00-\\x7F]*') THEN '(' || p_name || ')' END AS lit, CASE WHEN contains(lower(p_type), 'black') THEN 16 ELSE 0 END AS flags FROM part")
 def string_functions(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), tx.pdf_string(F.col("p_name")).alias("lit"), tx.style_flags(F.col("p_type")).alias("flags"))
+
+
+@query(f"WITH {RECTS} SELECT k, n, round(sqrt(x0 * x0 + y0 * y0), 6) AS norm, CASE WHEN x0 = 0 AND y0 = 0 THEN 0 ELSE round(x0 / sqrt(x0 * x0 + y0 * y0), 6) END AS ux, CASE WHEN x0 = 0 AND y0 = 0 THEN 0 ELSE round(y0 / sqrt(x0 * x0 + y0 * y0), 6) END AS uy FROM rects")
+def geometry_points(spark, sf_dir):
+    ux, uy = g.unit(F.col("x0"), F.col("y0"))
+    return rects(spark, sf_dir).select("k", "n", F.round(g.norm(F.col("x0"), F.col("y0")), 6).alias("norm"), F.round(ux, 6).alias("ux"), F.round(uy, 6).alias("uy"))
+
+
+@query(f"WITH {RECTS}, i AS (SELECT k, n, CAST(floor(x0 / 3) AS INT) AS x0, CAST(floor(y0 / 3) AS INT) AS y0, CAST(ceil(x1 / 3) AS INT) AS x1, CAST(ceil(y1 / 3) AS INT) AS y1 FROM rects) SELECT *, {MEETS(20, 20, 90, 90)} AS meets, CASE WHEN {MEETS(20, 20, 90, 90)} THEN greatest(x0, 20) ELSE 0 END AS ix0, CASE WHEN {MEETS(20, 20, 90, 90)} THEN least(y1, 90) ELSE 0 END AS iy1, CASE WHEN x0 >= x1 OR y0 >= y1 THEN 20 ELSE least(x0, 20) END AS ux0, CASE WHEN x0 >= x1 OR y0 >= y1 THEN 90 ELSE greatest(y1, 90) END AS uy1 FROM i")
+def geometry_irects(spark, sf_dir):
+    third = g.Rect(*(F.col(c) / 3 for c in ("x0", "y0", "x1", "y1")))
+    whole, other = g.IRect.around(third), g.IRect(*(F.lit(v) for v in (20, 20, 90, 90)))
+    both, either = whole.intersect(other), whole.union(other)
+    return rects(spark, sf_dir).select("k", "n", *whole.columns(), whole.intersects(other).alias("meets"), both.x0.alias("ix0"), both.y1.alias("iy1"), either.x0.alias("ux0"), either.y1.alias("uy1"))
+
+
+@query(f"WITH {RECTS} SELECT k, n, -y0 + 10 AS ul_x, x0 - 4 AS ul_y, -y0 + 10 AS ur_x, x1 - 4 AS ur_y, -y1 + 10 AS ll_x, x0 - 4 AS ll_y, -y1 + 10 AS lr_x, x1 - 4 AS lr_y, -y1 + 10 AS x0, x0 - 4 AS y0, -y0 + 10 AS x1, x1 - 4 AS y1, true AS straight FROM rects")
+def geometry_quads(spark, sf_dir):
+    quad = g.Quad.of(g.Rect.named()).transform(g.Matrix.rotate(90).then(g.Matrix.translate(10, -4)))
+    return rects(spark, sf_dir).select("k", "n", *quad.columns(), *quad.rect().columns(), quad.is_rectangular().alias("straight"))
+
+
+@query(f"WITH {RECTS} SELECT k, n, round(CASE WHEN x1 = x0 AND y1 = y0 THEN 0 ELSE sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) END, 6) AS end_x, CAST(0 AS DOUBLE) AS end_y, CAST(0 AS DOUBLE) AS start_x, CAST(0 AS DOUBLE) AS start_y FROM rects")
+def geometry_planish(spark, sf_dir):
+    m = g.planish(*(F.col(c) for c in ("x0", "y0", "x1", "y1")))
+    (ex, ey), (sx, sy) = m.point(F.col("x1"), F.col("y1")), m.point(F.col("x0"), F.col("y0"))
+    near = lambda c: F.round(c, 6) + 0.0
+    return rects(spark, sf_dir).select("k", "n", near(ex).alias("end_x"), near(ey).alias("end_y"), near(sx).alias("start_x"), near(sy).alias("start_y"))
+
+
+@query(f"WITH {WORDS} SELECT doc_id, page_no, word, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0, x0, block_no, line_no, word_no) AS ord FROM words")
+def text_words_sorted(spark, sf_dir):
+    words = views.get_text(docs(spark, sf_dir), "words")
+    return views.sorted_by_position(words, "block_no", "line_no", "word_no").select("doc_id", "page_no", "word", F.col("ord").cast("long").alias("ord"))
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (user_id % 7 <> 0) AS n_opened, count(*) FILTER (user_id % 5 = 0) AS n_repaired, count(*) FILTER (value >= 10) AS from_10, count(*) FILTER (value >= 50) AS from_50, round(avg(value), 6) AS mean_value, round(count(*) FILTER (user_id % 7 <> 0) / count(*), 9) AS opened_rate, round(count(*) FILTER (user_id % 5 = 0) / count(*), 9) AS repaired_rate FROM events GROUP BY event_type")
+def score_rates(spark, sf_dir):
+    out = scoring.rates(table(spark, sf_dir, "events"), "event_type", {"opened": F.col("user_id") % 7 != 0, "repaired": F.col("user_id") % 5 == 0}, "value", (10.0, 50.0))
+    return out.withColumns({"mean_value": F.round("mean_value", 6), **{c: F.round(c, 9) for c in ("opened_rate", "repaired_rate")}})
+
+
+@query("WITH m AS (SELECT event_type, user_id, median(value) AS m FROM events GROUP BY ALL) SELECT event_type, count(*) AS n, round(median(m), 6) AS median_value, round(sum(m), 4) AS sum_value FROM m GROUP BY event_type")
+def score_medians_of_runs(spark, sf_dir):
+    out = scoring.medians_of_runs(table(spark, sf_dir, "events"), ["event_type"], "user_id", "value")
+    return out.withColumns({"median_value": F.round("median_value", 6), "sum_value": F.round("sum_value", 4)})
+
+
+@query("SELECT p_partkey AS k, base64(encode(p_name)) AS coded FROM part")
+def string_base64(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.base64(F.encode("p_name", "UTF-8")).alias("coded"))
