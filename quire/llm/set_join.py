@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import written
+from quire.llm.shared import trim, written
 
 #: Similarity from which sets link: 80 / 100.
 NUM, DEN = 80, 100
 SKETCH_BITS = 20
 #: Cells travel from tasks in blocks of so many.
 SKETCH_BLOCK = 4096
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Sets of more tokens have the wide signature.
 WIDE_FROM = 64
 #: Words of more bytes are hashed one by one.
@@ -48,7 +48,7 @@ HOT_ROWS = 1 << 13
 #: Partners of a row that the first round gives out, and how many times more each later one.
 ROUND_ZERO, GROWTH = 4, 8
 #: Pairs that are looked at side by side.
-PAIR_BATCH = 1 << 20
+PAIR_BATCH = 1 << 17
 #: Postings that a task holds before it gives them out.
 HELD_POSTINGS = 1 << 18
 #: Buckets of token hashes for each shuffle partition.
@@ -165,7 +165,7 @@ def sketched(tokens_of: Callable[[list[bytes]], np.ndarray], column: int = 0) ->
         for batch in batches:
             for _, texts in slices(batch[column]):
                 held.append(cells_of(tokens_of(texts)))
-                if sum(map(len, held)) > 4 << SKETCH_BITS:
+                if sum(map(len, held)) > 1 << SKETCH_BITS:
                     counts += np.bincount(np.concatenate(held), minlength=len(counts))
                     held = []
         if held:
@@ -173,6 +173,7 @@ def sketched(tokens_of: Callable[[list[bytes]], np.ndarray], column: int = 0) ->
         blocks = np.minimum(counts, 2**32 - 1).astype("<u4").reshape(-1, SKETCH_BLOCK)
         full = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([blocks[k].tobytes() for k in full], pa.binary())], ["cell", "tokens"])
+        trim()
 
     return run
 
@@ -383,6 +384,8 @@ class Dealer:
             bodies = [pack([c[a:b] for c in columns], types) for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(at[cuts].astype(np.int32)), pa.array(np.full(len(cuts), kind, np.int8)), pa.array(bodies, pa.binary())], ["bucket", "kind", "body"])
         self.held, self.size = {}, 0
+        del at, columns, bodies
+        trim()
 
     def add_postings(self, sets: Sets, counts: np.ndarray, noise: int, keep: np.ndarray, order: np.ndarray, wide: bool) -> None:
         which, key, count, pos = sets.prefixes(counts, keep)
@@ -543,6 +546,8 @@ def first_round(others: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]])
                     held, now = {}, bucket
                 held.setdefault(kind, []).append(body.as_buffer())
         yield from out()
+        held = {}
+        trim()
 
     return run
 

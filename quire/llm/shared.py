@@ -4,6 +4,7 @@ over an ordered corpus, and state that outlives a task inside a Python worker.""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import json
 import re
 import sys
@@ -11,6 +12,7 @@ import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +74,14 @@ def worker_state(owner: str) -> dict:
     return held["state"]
 
 
+def trim() -> None:
+    """Gives what the Python worker has freed back to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 KEY = "array<struct<known:boolean,id:bigint,tie:bigint,row:bigint>>"
 
 
