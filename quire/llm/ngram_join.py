@@ -52,7 +52,7 @@ def _postings(size: int, counts: np.ndarray, buckets: int):
             known = np.array(batch[0].is_valid(), dtype=np.int8)
             for at, texts in sj.slices(batch[1]):
                 sets = _sets(texts, size)
-                dealer.add_postings(sets, counts, noise, sj.fresh(sets.name, seen), sets.size, False)
+                dealer.add_postings(sets, counts, noise, sj.fresh(sets.name, seen), sets.size, True)
                 mine, have = ids[at : at + len(texts)].astype(np.int64), known[at : at + len(texts)]
                 n, name = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64)
                 n[sets.who], name[sets.who] = sets.size, sets.name
