@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = names.count() <= sj.SENT_NAMES  # and so are the ids wanted: each name has one
     wanted = names.join(named, "name").select(F.col("doc_id").alias("_w")).distinct()
     texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
-    sets = sj.wanted_sets(texts.mapInArrow(_token_rows(size), sj.TOKENS), names)
+    sets = sj.wanted_sets(texts.mapInArrow(_token_rows(size), sj.TOKENS), names, False)
 
     links = sj.verified(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
     joined = components(links)

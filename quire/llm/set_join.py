@@ -681,7 +681,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     name.
 
     Two sets differ in at least as many tokens as their parities in bits, which settles most
-    pairs that don't link; only the tokens of the others are fetched.
+    pairs that don't link; only the tokens of the others are fetched, and sets that are in
+    none of them aren't moved.
     """
 
     @F.pandas_udf("boolean")
@@ -700,11 +701,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda k: marks.select(F.col("name").alias(k), F.col("parity").alias("p" + k), F.col("n").alias("n" + k))
     pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(may("pa", "na", "pb", "nb")).select("a", "b"), "near-pairs")
     got = pairs.join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b")
-    got = got.join(sets.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a")
+    firsts = pairs.select(F.col("a").alias("name"))
+    of_firsts = sets.select("name", "tokens").join(F.broadcast(firsts) if pairs.count() <= SENT_NAMES else firsts, "name", "left_semi")
+    got = got.join(of_firsts.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a")
     return got.filter(links("ta", "tb")).select("a", "b")
 
 
-def wanted_sets(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """A written table of those ``rows`` (of ``TOKENS``, perhaps with repeats) that are named, once each."""
-    few = names.count() <= SENT_NAMES
-    return written(rows.join(F.broadcast(names) if few else names, "name", "left_semi").dropDuplicates(["name"]), "sets")
+def wanted_sets(rows: DataFrame, names: DataFrame, repeats: bool = True) -> DataFrame:
+    """A written table of those ``rows`` (of ``TOKENS``) that are named, once each.  Without
+    ``repeats`` every name is expected once, and rows move only where one is not."""
+    n = names.count()
+    named = rows.join(F.broadcast(names) if n <= SENT_NAMES else names, "name", "left_semi")
+    if not repeats:
+        named = written(named, "sets")
+        if named.count() == n:  # each name has a row
+            return named
+    return written(named.dropDuplicates(["name"]), "sets")
