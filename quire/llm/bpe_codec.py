@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import worker_state
+from quire.llm.shared import bound_batches, worker_state
 
 #: A worker remembers the results of the latest distinct pre-tokens, up to twice so many.
 CACHE_PIECES = 200_000
@@ -169,6 +169,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
         for batch in texts:
             yield pd.Series([bpe.encode(t or "") for t in batch])
 
+    bound_batches(docs)
     return docs.select(id_col, encode(F.col(text_col)).alias("ids"))
 
 
@@ -200,4 +201,5 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: s
                 rows.append((n, hashlib.sha256(ids.encode("ascii")).hexdigest(), hashlib.sha256(content).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bound_batches(docs)
     return docs.select(id_col, digest(F.col(text_col)).alias("d")).select(id_col, "d.*")

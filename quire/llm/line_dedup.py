@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import set_join as sj
-from quire.llm.shared import inner_names, written
+from quire.llm.shared import bound_batches, inner_names, written
 
 #: Packed columns of a removed line, and of a set's first line in a task: id, whether it has one, text hash, line.
 GONE = ("<i8", "i1", "<i8", "<i4")
@@ -111,6 +111,7 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, lines array<int>): numbers of the removed lines by id and text hash."""
+    bound_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     counts = sj.sketch(rows.select("text").mapInArrow(sj.sketched(lambda texts: sj.owned_words(texts)[1]), "cell int, tokens binary"))
     low, high = rows.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import BUCKET_ROWS, inner_names, running_total, written
+from quire.llm.shared import BUCKET_ROWS, bound_batches, inner_names, running_total, written
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
@@ -194,6 +194,7 @@ def mixed_documents(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text
 
     Rows without words are taken 0 times and go; null sources are one source; repeated rows
     each count; columns of any names come through; an empty table gives no rows."""
+    bound_batches(docs)
     row, pieces_, copy = inner_names(docs, 3)
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     sizes = written(measured(numbered, id_col, text_col, source_col, row), "sizes")

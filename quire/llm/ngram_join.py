@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import set_join as sj
 from quire.llm.components import components
-from quire.llm.shared import inner_names, written
+from quire.llm.shared import bound_batches, inner_names, written
 
 SIZE = 5
 #: Packed columns of a document (id, whether it has one, name, size) and of a name's first document.
@@ -102,6 +102,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null ids never name one unless a component has no other.  Extra columns are ignored;
     an empty table gives no rows.
     """
+    bound_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = sj.sketch(rows.mapInArrow(sj.sketched(_tokens(size), 1), "cell int, tokens binary"))
     dealt = sj.deal(rows.mapInArrow(_postings(size, counts, sj.bucket_count(docs)), sj.DEALT))

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import worker_state
+from quire.llm.shared import bound_batches, worker_state
 
 #: Labelled texts of each class that a fit takes at most: those of the smallest hashes.
 #: The bound keeps the driver's share of the corpus fixed.
@@ -113,6 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     curve, weighted to the classes' true shares.  Without labels every score is 0.5;
     with one class only, every score leans to it.
     """
+    bound_batches(docs)
     known = labels.filter(F.col(label_col).isin(0, 1) & (fold(id_col) != 0)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     shares = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     by_hash = F.xxhash64(F.col(id_col))

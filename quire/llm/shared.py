@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import json
 import re
 import sys
@@ -21,6 +22,8 @@ BUCKET_ROWS = 2048
 MOST_BUCKETS = 8192
 #: Keys of a bucket from which bounds are found, on average.
 BUCKET_SAMPLE = 32
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,9 +74,20 @@ def worker_state(owner: str) -> dict:
     held = sys.modules.setdefault("_quire_worker_state", types.ModuleType("_quire_worker_state")).__dict__
     if held.get("owner") != owner:
         held["owner"], held["state"] = owner, {}
+        gc.collect()
+        trim()
     return held["state"]
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Bounds the Arrow batches of the session of ``df`` by ``BATCH_BYTES``, unless it has a
+    bound of its own: batches of so many rows, of long texts, would take hundreds of MB in a
+    worker and as much again beside the JVM's heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+
+
 def trim() -> None:
     """Gives what the Python worker has freed back to the system, as far as its allocators can."""
     pa.default_memory_pool().release_unused()
