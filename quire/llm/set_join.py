@@ -341,6 +341,8 @@ DEALT = "bucket int, kind byte, body binary"
 POSTINGS, FIRSTS, ITEMS = 0, 1, 2
 #: Lower half of the key, name, order, size, position and the signature's words.
 POSTING = ("<u4", "<i8", "<i4", "<i4", "<i4", "<u8", "<u8", "<u8", "<u8")
+#: Lower half of the key, and name: enough to tell which sets share a key with another.
+BRIEF = ("<u4", "<i8")
 
 
 def pack(columns: list[np.ndarray], types: tuple[str, ...]) -> bytes:
@@ -387,7 +389,7 @@ class Dealer:
         del at, columns, bodies
         trim()
 
-    def add_postings(self, sets: Sets, counts: np.ndarray, noise: int, keep: np.ndarray, order: np.ndarray, wide: bool) -> None:
+    def add_postings(self, sets: Sets, counts: np.ndarray, noise: int, keep: np.ndarray, order: np.ndarray, wide: bool, brief: bool = False) -> None:
         which, key, count, pos = sets.prefixes(counts, keep)
         salts = np.maximum(1, -(-(count - noise) // HOT_ROWS))
         if len(salts) and salts.max() > 1:
@@ -397,6 +399,9 @@ class Dealer:
             low, high = np.minimum(own, other.astype(np.uint64)), np.maximum(own, other.astype(np.uint64))
             cell = mix(key[row] + low * _PLACE[3] + high * _PLACE[4])
             which, pos, key = which[row], pos[row], np.where(salts[row] > 1, cell, key[row])
+        if brief:
+            self.add(POSTINGS, BRIEF, key, [key & U(0xFFFFFFFF), sets.name[which]])
+            return
         self.add(POSTINGS, POSTING, key, [key & U(0xFFFFFFFF), sets.name[which], order[which], sets.size[which], pos, *sets.signatures(wide)[which].T])
 
 
@@ -477,7 +482,7 @@ def partners(group: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray,
 
 FOUND = "k byte, a long, b long, c long, n int, body binary"
 #: Kinds of what the first round finds: pairs, rows for later rounds, and as in ``DEALT``.
-PAIR, LIVE, FIRST, ITEM = 0, 1, 2, 3
+PAIR, LIVE, FIRST, ITEM, SHARING = 0, 1, 2, 3, 4
 _FOUND = pa.schema([("k", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
 #: What a row for later rounds holds besides key and name.
 BODY = np.dtype([("sig", "<u8", (4,)), ("ord", "<i4"), ("n", "<i4"), ("pos", "<i4")])
@@ -527,9 +532,22 @@ def _first_round(bucket: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
         yield found(LIVE, len(key), a=key, b=name[live], body=packed_rows(sig[live], order[live], n[live], pos[live]))
 
 
-def first_round(others: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]]) -> Callable:
-    """Over ``deal``'s rows: candidate pairs and rows for later rounds; packed arrays of the
+def _sharing(bucket: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+    h, name = unpack(bodies, BRIEF)
+    o = np.lexsort((name, h))
+    h, name = h[o], name[o]
+    other = (h[1:] == h[:-1]) & (name[1:] != name[:-1])
+    both = np.unique(np.concatenate([name[1:][other], name[:-1][other]]))
+    # the names of one key stand in order, so each has a neighbour of another name if the key has two
+    if len(both):
+        yield found(SHARING, len(both), a=both)
+
+
+def first_round(others: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]], brief: bool = False) -> Callable:
+    """Over ``deal``'s rows: candidate pairs and rows for later rounds, or of ``BRIEF``
+    postings the names of the sets that share a key with another set; packed arrays of the
     other kinds go through ``others`` (kind, bodies).  It holds one bucket."""
+    of_postings = _sharing if brief else _first_round
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -537,7 +555,7 @@ def first_round(others: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]])
 
         def out() -> Iterator[pa.RecordBatch]:
             for kind, bodies in held.items():
-                yield from _first_round(now, bodies) if kind == POSTINGS else others(kind, bodies)
+                yield from of_postings(now, bodies) if kind == POSTINGS else others(kind, bodies)
 
         for batch in batches:
             for bucket, kind, body in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
@@ -700,10 +718,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     marks = sets.select("name", "parity", F.octet_length("tokens").alias("n"))
     side = lambda k: marks.select(F.col("name").alias(k), F.col("parity").alias("p" + k), F.col("n").alias("n" + k))
     pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(may("pa", "na", "pb", "nb")).select("a", "b"), "near-pairs")
-    got = pairs.join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b")
-    firsts = pairs.select(F.col("a").alias("name"))
-    of_firsts = sets.select("name", "tokens").join(F.broadcast(firsts) if pairs.count() <= SENT_NAMES else firsts, "name", "left_semi")
-    got = got.join(of_firsts.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a")
+    few = pairs.count() <= SENT_NAMES
+
+    def of(side: str) -> DataFrame:
+        names = pairs.select(F.col(side).alias("name"))
+        own = sets.select("name", "tokens").join(F.broadcast(names) if few else names, "name", "left_semi")
+        return own.select(F.col("name").alias(side), F.col("tokens").alias("t" + side))
+
+    got = pairs.join(of("b"), "b").join(of("a"), "a")
     return got.filter(links("ta", "tb")).select("a", "b")
 
 
