@@ -725,7 +725,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         own = sets.select("name", "tokens").join(F.broadcast(names) if few else names, "name", "left_semi")
         return own.select(F.col("name").alias(side), F.col("tokens").alias("t" + side))
 
-    got = pairs.join(of("b"), "b").join(of("a"), "a")
+    got = of("b").join(F.broadcast(pairs) if few else pairs, "b").join(of("a"), "a")
     return got.filter(links("ta", "tb")).select("a", "b")
 
 

@@ -51,6 +51,15 @@ def near_copies(n, words, edits, seed):
         yield " ".join(w)
 
 
+def test_more_names_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(sj, "SENT_NAMES", 3)
+    monkeypatch.setattr(sj, "ROUND_ZERO", 1)
+    docs = odd_documents(spark, [(500 + k, t, "en", "s") for k, t in enumerate(near_copies(25, 80, 3, 5))])
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = sorted(map(tuple, nj.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted(brute(rows), key=repr)
+
+
 @pytest.mark.parametrize("hot_rows", [None, 3])
 def test_components_match_brute_force(spark, monkeypatch, hot_rows):
     if hot_rows:  # tokens in many cells, and pairs in many batches
