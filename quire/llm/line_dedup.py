@@ -176,7 +176,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append((text, len(all_lines), len(drop), sum(worded) - len(drop)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "n_worded"])
 
-    out = joined.withColumn(cut, kept(F.col(text_col), F.col(lines), F.col(copy)))
+    # else a filter on the numbers of lines would run it a second time, in a second worker of the task
+    out = joined.withColumn(cut, kept.asNondeterministic()(F.col(text_col), F.col(lines), F.col(copy)))
     columns = [F.col(cut)["text"].alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in added]
     return out.select(*columns, *(F.col(cut)[f].alias(c) for f, c in zip(("n_lines", "n_removed", "n_worded"), added, strict=True)))
 

@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.shared import BUCKET_ROWS, bound_batches, inner_names, running_total, written
@@ -122,6 +123,14 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, row_c
     )
 
 
+def source_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """(src, source, source_size, target, blocks).  From an Arrow table, as rows of Python
+    objects would go through Python workers of another kind, which stay beside the usual ones."""
+    types = {"src": pa.int32(), "source": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "blocks": pa.int64()}
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types)))
+
+
 def plan(rows: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """From ``measured`` rows: (rows with source_size, target and start in their source's
     stream; (src, block, times): how often the mix takes each block).
@@ -133,7 +142,7 @@ def plan(rows: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS) -> tupl
     goal = targets(sizes)
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
     table = [(k, s, int(sizes[s]), float(goal[s]), int(-(-sizes[s] // block_words))) for k, s in enumerate(order)]
-    sources = spark.createDataFrame(table, "src int, source string, source_size long, target double, blocks long")
+    sources = source_table(spark, table)
     rows = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop("source")
     rows = running_total(rows, ["src"], "bucket", ["hash", "doc_id", "size", "row"], "size", "start")
     # a block counts as its average length, so that a short last block costs no words

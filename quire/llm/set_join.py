@@ -695,8 +695,8 @@ def verify(a: bytes, b: bytes) -> int:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of names that link; ``sets``: a written table of TOKENS, one row a
-    name.
+    """The pairs (a, b) of names that link, written, so that no task that goes on with them
+    has two workers; ``sets``: a written table of TOKENS, one row a name.
 
     Two sets differ in at least as many tokens as their parities in bits, which settles most
     pairs that don't link; only the tokens of the others are fetched, and sets that are in
@@ -726,7 +726,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return own.select(F.col("name").alias(side), F.col("tokens").alias("t" + side))
 
     got = of("b").join(F.broadcast(pairs) if few else pairs, "b").join(of("a"), "a")
-    return got.filter(links("ta", "tb")).select("a", "b")
+    return written(got.filter(links("ta", "tb")).select("a", "b"), "links")
 
 
 def wanted_sets(rows: DataFrame, names: DataFrame, repeats: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 import re
 
 import corpus_pipeline as cp
+from quire.llm import mixing
+from quire.llm import set_join as sj
 from tests.llm.cases import kept_clashes, odd_documents
 from tests.llm import test_line_dedup as lines
 from tests.llm import test_ngram_join as near
@@ -67,3 +69,19 @@ def test_empty_texts_have_a_score(spark, sf_dir):
     docs = odd_documents(spark).filter("text is null or text = ''")
     assert cp.stage_quality(spark, docs, sf_dir).count() <= docs.count()
     assert cp.stage_near(spark, docs, sf_dir).count() == 3  # without words they are like no other
+
+
+def test_a_task_has_one_worker(spark, sf_dir):
+    """Two Python operators in one task take two workers, and those of RDDs of Python objects are others again."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = odd_documents(spark)
+    assert plan(cp.stage_lines(spark, docs, sf_dir)).count("ArrowEvalPython") == 1
+    sets = near.nj._token_rows(5)
+    sets = cp.written(docs.select("doc_id", "text").mapInArrow(sets, sj.TOKENS).dropDuplicates(["name"]), "sets")
+    pairs = sets.select(lines.ld.F.col("name").alias("a")).crossJoin(sets.select(lines.ld.F.col("name").alias("b"))).filter("a < b")
+    links = sj.verified(pairs, sets)
+    assert links.count() > 0 and "Python" not in plan(links)
+    sources = mixing.source_table(spark, [(0, "a", 5, 2.5, 1), (1, None, 7, 9.5, 1)])
+    assert [tuple(r) for r in sources.collect()] == [(0, "a", 5, 2.5, 1), (1, None, 7, 9.5, 1)]
+    assert mixing.source_table(spark, []).count() == 0
+    assert "PythonRDD" not in sources._jdf.queryExecution().toRdd().toDebugString()
