@@ -2,9 +2,9 @@
 
 A document's set is that of its 5-word shingles.  The join itself is described in
 ``set_join``: rare-first prefixes, length, positional and signature filters on the prefix
-n-grams, a suffix filter and one verification per pair.  A brief exchange of keys and names
-comes first: only sets that share a prefix n-gram send what the filters need.  Documents of equal sets are one
-record throughout, and pairs inside a component that earlier links have joined aren't
+n-grams, a suffix filter and one verification per pair.  A brief exchange of keys, names, sizes
+and positions comes first: only postings that meet another under their key are sent with what
+the other filters need.  Documents of equal sets are one record throughout, and pairs inside a component that earlier links have joined aren't
 looked at again, so large groups of copies cost no more than their members' prefixes.
 """
 
@@ -41,8 +41,8 @@ def _sets(texts: list[bytes], size: int) -> sj.Sets:
 
 
 def _postings(size: int, counts: np.ndarray, buckets: int):
-    """Brief prefix postings of each set that the task meets; a row for every document; and
-    the least id of every name."""
+    """Brief prefix postings, size and signature of each set that the task meets; a row for
+    every document; and the least id of every name."""
     noise = sj.noise_of(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +53,9 @@ def _postings(size: int, counts: np.ndarray, buckets: int):
             known = np.array(batch[0].is_valid(), dtype=np.int8)
             for at, texts in sj.slices(batch[1]):
                 sets = _sets(texts, size)
-                dealer.add_postings(sets, counts, noise, sj.fresh(sets.name, seen), sets.size, False, True)
+                new = sj.fresh(sets.name, seen)
+                dealer.add_postings(sets, counts, noise, new, sets.size, False, True)
+                dealer.add(sj.SETS, sj.SET, sj.mix(sets.name[new].view(np.uint64)), [sets.name[new], sets.size[new], *sets.signatures(True)[new].T])
                 mine, have = ids[at : at + len(texts)].astype(np.int64), known[at : at + len(texts)]
                 n, name = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64)
                 n[sets.who], name[sets.who] = sets.size, sets.name
@@ -71,26 +73,12 @@ def _postings(size: int, counts: np.ndarray, buckets: int):
     return run
 
 
-def _whole_postings(size: int, counts: np.ndarray, buckets: int):
-    """Prefix postings, with what the filters need, of each set that the task meets."""
-    noise = sj.noise_of(counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer, seen = sj.Dealer(buckets), set()
-        for batch in batches:
-            for _, texts in sj.slices(batch[1]):
-                sets = _sets(texts, size)
-                dealer.add_postings(sets, counts, noise, sj.fresh(sets.name, seen), sets.size, True)
-                yield from dealer.given(sj.HELD_POSTINGS)
-        yield from dealer.given()
-
-    return run
-
-
 def _others(kind: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
     if kind == sj.ITEMS:
         ids, known, name, n = sj.unpack(bodies, ITEM)
         yield sj.found(sj.ITEM, len(ids), b=pa.array(ids, mask=known == 0), c=pa.array(name, mask=n == 0), n=n)
+    elif kind == sj.SETS:
+        yield sj.known_sets(bodies)
     else:
         name, ids, known = sj.unpack(bodies, FIRST)
         o = np.lexsort((ids, known == 0, name))
@@ -128,10 +116,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     info = met.filter(F.col("k") == sj.ITEM).select(F.col("b").alias("doc_id"), F.col("c").alias("name"), "n")
     named = met.filter(F.col("k") == sj.FIRST).select(F.col("a").alias("name"), F.col("b").alias("doc_id"))
 
-    # a set that shares no key is in no pair; where too many share one to be sent, all texts give whole postings
-    sharing = written(met.filter(F.col("k") == sj.SHARING).select(F.col("a").alias("name")).distinct().join(named, "name").select(F.col("doc_id").alias("_w")).distinct(), "sharing")
-    mine = rows.join(F.broadcast(sharing), F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi") if sharing.count() <= sj.SENT_NAMES else rows
-    dealt = sj.deal(mine.mapInArrow(_whole_postings(size, counts, buckets), sj.DEALT))
+    # a posting that meets no other under its key is in no pair
+    sharing = met.filter(F.col("k") == sj.SHARING).select(F.col("b").alias("name"), F.col("a").alias("key"), F.col("n").alias("pos"))
+    known = met.filter(F.col("k") == sj.KNOWN).select(F.col("a").alias("name"), "n", F.col("body").alias("sig"))
+    whole = sharing.join(known, "name").select("name", "key", "pos", "n", "sig")
+    dealt = sj.deal(whole.mapInArrow(sj.whole_postings(buckets), sj.DEALT))
     found = written(dealt.mapInArrow(sj.first_round(_others), sj.FOUND), "found")
     pairs = written(found.filter(F.col("k") == sj.PAIR).select("a", "b").distinct(), "pairs")
     live = found.filter(F.col("k") == sj.LIVE).select(F.col("a").alias("key"), F.col("b").alias("name"), "body")

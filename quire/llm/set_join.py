@@ -47,6 +47,8 @@ LONG_WORD = 64
 HOT_ROWS = 1 << 13
 #: Partners of a row that the first round gives out, and how many times more each later one.
 ROUND_ZERO, GROWTH = 4, 8
+#: Rows of one key up to which brief postings are compared by position, too.
+CROWD = 256
 #: Pairs that are looked at side by side.
 PAIR_BATCH = 1 << 17
 #: Postings that a task holds before it gives them out.
@@ -337,12 +339,16 @@ def required(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- packed arrays
 
 DEALT = "bucket int, kind byte, body binary"
-#: Kinds of packed arrays: postings, first rows by name, rows of the result to pass on.
-POSTINGS, FIRSTS, ITEMS = 0, 1, 2
+#: Kinds of packed arrays: postings, first rows by name, rows of the result to pass on, sets.
+POSTINGS, FIRSTS, ITEMS, SETS = 0, 1, 2, 3
 #: Lower half of the key, name, order, size, position and the signature's words.
 POSTING = ("<u4", "<i8", "<i4", "<i4", "<i4", "<u8", "<u8", "<u8", "<u8")
-#: Lower half of the key, and name: enough to tell which sets share a key with another.
-BRIEF = ("<u4", "<i8")
+#: Lower half of the key, name, size and position, both held down to ``BRIEF_MOST``: enough
+#: to tell which postings share a key with another that the size and position filters leave.
+BRIEF = ("<u4", "<i8", "<u2", "<u2")
+BRIEF_MOST = (1 << 16) - 1
+#: Name, size and the signature's words of a set.
+SET = ("<i8", "<i4", "<u8", "<u8", "<u8", "<u8")
 
 
 def pack(columns: list[np.ndarray], types: tuple[str, ...]) -> bytes:
@@ -400,7 +406,7 @@ class Dealer:
             cell = mix(key[row] + low * _PLACE[3] + high * _PLACE[4])
             which, pos, key = which[row], pos[row], np.where(salts[row] > 1, cell, key[row])
         if brief:
-            self.add(POSTINGS, BRIEF, key, [key & U(0xFFFFFFFF), sets.name[which]])
+            self.add(POSTINGS, BRIEF, key, [key & U(0xFFFFFFFF), sets.name[which], np.minimum(sets.size[which], BRIEF_MOST), np.minimum(pos, BRIEF_MOST)])
             return
         self.add(POSTINGS, POSTING, key, [key & U(0xFFFFFFFF), sets.name[which], order[which], sets.size[which], pos, *sets.signatures(wide)[which].T])
 
@@ -482,7 +488,7 @@ def partners(group: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray,
 
 FOUND = "k byte, a long, b long, c long, n int, body binary"
 #: Kinds of what the first round finds: pairs, rows for later rounds, and as in ``DEALT``.
-PAIR, LIVE, FIRST, ITEM, SHARING = 0, 1, 2, 3, 4
+PAIR, LIVE, FIRST, ITEM, SHARING, KNOWN = 0, 1, 2, 3, 4, 5
 _FOUND = pa.schema([("k", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
 #: What a row for later rounds holds besides key and name.
 BODY = np.dtype([("sig", "<u8", (4,)), ("ord", "<i4"), ("n", "<i4"), ("pos", "<i4")])
@@ -532,21 +538,88 @@ def _first_round(bucket: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
         yield found(LIVE, len(key), a=key, b=name[live], body=packed_rows(sig[live], order[live], n[live], pos[live]))
 
 
+def _met(group: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by (group, n), have another of their group that passes the length
+    and positional filters; in groups of more than ``CROWD`` rows, the length filter alone."""
+    rows = np.arange(len(group))
+    key = group.astype(np.int64) << 32 | n
+    since = np.searchsorted(key, group.astype(np.int64) << 32 | -(-(NUM * n) // DEN))
+    crowd = np.bincount(group)[group] > CROWD
+    width = np.where(crowd, 0, rows - since)
+    ok = crowd & (since < rows)
+    ok[:-1] |= crowd[:-1] & (since[1:] <= rows[:-1])
+    total = np.cumsum(width)
+    a = 0
+    while a < len(group):
+        before = int(total[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(total, before + PAIR_BATCH, "right")))
+        w = width[a:b]
+        if w.any():
+            i = np.repeat(rows[a:b], w)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(since[a:b], w)
+            near = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= required(n[i], n[j])
+            near |= (n[i] == BRIEF_MOST) | (n[j] == BRIEF_MOST)
+            ok[i[near]] = ok[j[near]] = True
+        a = b
+    return ok
+
+
 def _sharing(bucket: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
-    h, name = unpack(bodies, BRIEF)
-    o = np.lexsort((name, h))
-    h, name = h[o], name[o]
-    other = (h[1:] == h[:-1]) & (name[1:] != name[:-1])
-    both = np.unique(np.concatenate([name[1:][other], name[:-1][other]]))
-    # the names of one key stand in order, so each has a neighbour of another name if the key has two
-    if len(both):
-        yield found(SHARING, len(both), a=both)
+    h, name, n, pos = unpack(bodies, BRIEF)
+
+    def many(h: np.ndarray) -> np.ndarray:
+        size = np.diff(np.flatnonzero(np.diff(h.astype(np.int64), prepend=-1)), append=len(h))
+        return np.repeat(size > 1, size)
+
+    o = np.argsort(h, kind="stable")
+    o = o[many(h[o])]
+    o = o[np.lexsort((name[o], h[o]))]
+    h, name, n, pos = h[o], name[o], n[o], pos[o]
+    new = np.ones(len(h), bool)  # copies of a set from several tasks, and tokens of one rank in a set
+    new[1:] = (h[1:] != h[:-1]) | (name[1:] != name[:-1])
+    first = np.flatnonzero(new)
+    if not len(first):
+        return
+    pos, h, name, n = np.minimum.reduceat(pos, first), h[first], name[first], n[first]
+    on = many(h)
+    h, name, n, pos = h[on], name[on], n[on].astype(np.int64), pos[on].astype(np.int64)
+    o = np.lexsort((n, h))
+    h, name, n, pos = h[o], name[o], n[o], pos[o]
+    on = _met(np.cumsum(np.diff(h.astype(np.int64), prepend=-1) != 0), n, pos)
+    if on.any():
+        yield found(SHARING, int(on.sum()), a=np.int64(bucket) << 32 | h[on].astype(np.int64), b=name[on], n=pos[on].astype(np.int32))
+
+
+def known_sets(bodies: list[bytes]) -> pa.RecordBatch:
+    """Each set of packed arrays of ``SET`` once: its name, size and signature."""
+    name, n, *words = unpack(bodies, SET)
+    name, first = np.unique(name, return_index=True)
+    sig = np.stack(words, 1)[first]
+    return found(KNOWN, len(name), a=name, n=n[first], body=pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(name), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary()))
+
+
+def whole_postings(buckets: int) -> Callable:
+    """Packed postings, with what the filters need, from rows (name, key, position, size,
+    signature) of the postings that share a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(buckets)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name, key, pos, n = (batch[k].to_numpy() for k in range(4))
+            key, sig = key.view(np.uint64), np.frombuffer(b"".join(batch[4].to_pylist()), np.uint64).reshape(-1, 4)
+            dealer.add(POSTINGS, POSTING, key, [key & U(0xFFFFFFFF), name, n, n, pos, *sig.T])
+            yield from dealer.given(HELD_POSTINGS)
+        yield from dealer.given()
+
+    return run
 
 
 def first_round(others: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]], brief: bool = False) -> Callable:
     """Over ``deal``'s rows: candidate pairs and rows for later rounds, or of ``BRIEF``
-    postings the names of the sets that share a key with another set; packed arrays of the
-    other kinds go through ``others`` (kind, bodies).  It holds one bucket."""
+    postings the key, name and position of those that share a key with another set; packed
+    arrays of the other kinds go through ``others`` (kind, bodies).  It holds one bucket."""
     of_postings = _sharing if brief else _first_round
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

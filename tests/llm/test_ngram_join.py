@@ -141,3 +141,40 @@ def test_no_pair_is_judged_twice(spark, monkeypatch):
     got = sorted(map(tuple, nj.near_duplicates(docs).collect()))
     assert got == sorted(brute([r[:2] for r in rows]))
     assert len(judged) == len(set(judged)) > 20 and all(a < b for a, b in judged)
+
+
+def test_only_postings_that_meet_another_are_sent_whole(spark, monkeypatch):
+    sent = []
+    deal = sj.deal
+
+    def counted(rows):
+        width = sum(np.dtype(t).itemsize for t in (sj.POSTING if sent else sj.BRIEF))
+        sent.append(rows.filter(f"kind = {sj.POSTINGS}").selectExpr("sum(octet_length(body))").first()[0] // width)
+        return deal(rows)
+
+    monkeypatch.setattr(sj, "deal", counted)
+    # as in a large corpus, where the sketch tells hardly any shingle from another
+    monkeypatch.setattr(sj, "sketch", lambda rows: np.full(1 << sj.SKETCH_BITS, 50, np.int32))
+    passage = lambda k: " ".join(f"p{k}x{i}" for i in range(30))
+    rows = [(k, " ".join(f"u{k}x{i}" for i in range(300)) + " " + passage(k // 2)) for k in range(60)]
+    rows += [(60, rows[0][1] + " more")]
+    got = sorted(map(tuple, nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(brute(rows))
+    assert got[60][2] == 0
+    assert sent[0] > 3600 and 0 < sent[1] < 800  # whole ones of all documents before, as each shares a key
+
+
+@pytest.mark.parametrize("crowd", [0, 256])
+def test_brief_postings_that_meet_are_found(monkeypatch, crowd):
+    monkeypatch.setattr(sj, "CROWD", crowd)
+    monkeypatch.setattr(sj, "PAIR_BATCH", 20)
+    rng = np.random.default_rng(4)
+    group, n = rng.integers(0, 25, 120), rng.choice([3, 20, 22, 30, 31, 90, sj.BRIEF_MOST], 120)
+    pos = (n * rng.random(120) * 0.25).astype(np.int64)
+    o = np.lexsort((n, group))
+    group, n, pos = group[o], n[o], pos[o]
+    got = sj._met(group, n, pos)
+    for i in range(120):
+        others = [j for j in range(120) if j != i and group[j] == group[i] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j])]
+        filtered = [j for j in others if max(n[i], n[j]) == sj.BRIEF_MOST or min(n[i] - pos[i], n[j] - pos[j]) * 180 >= 80 * (n[i] + n[j])]
+        assert got[i] == bool(filtered if crowd else others)
