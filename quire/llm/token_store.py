@@ -35,10 +35,10 @@ WINDOW = 16
 #: A cut has this many low bits of the rolling hash clear: chunks of about 512 ids.
 CUT_BITS = 9
 MIN_CHUNK, MAX_CHUNK = 128, 4096
-#: Distinct words whose ids a worker remembers, and pieces of words, up to twice so many.
-CACHE_WORDS = 150_000
+#: Distinct words and pieces of words whose ids a worker remembers, up to twice so many.
+CACHE_WORDS = 300_000
 #: Texts of about so many bytes are encoded together.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 22
 
 OBJECTS = "kind string, key binary, width int, n long, body binary, doc_id long, seq long, keys array<binary>, sizes array<int>, root binary"
 
@@ -82,8 +82,9 @@ class WordTokenizer:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        #: ids of the latest words and pieces, as a piece has the same ids as a word of its own;
+        #: the older half is dropped when both are full
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -91,11 +92,15 @@ class WordTokenizer:
         if got is None:
             text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_char)
             got = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
-        self.pieces[piece] = got
+        self.known[piece] = got
         return got
 
     def _word(self, word: str) -> bytes:
-        get, low = self.pieces.get, word.lower()
+        got = self.older.get(word)
+        if got is not None:
+            self.known[word] = got
+            return got
+        get, low = self.known.get, word.lower()
         if len(word) < 256 and (word.isascii() and word.isprintable() or self.PLAIN.fullmatch(word)):
             if low.isalpha():
                 got = get(low) or self._piece(low)
@@ -104,7 +109,7 @@ class WordTokenizer:
         else:
             got = self.encode_whole(word) if word else b""
         if len(word) <= 64:
-            self.words[word] = got
+            self.known[word] = got
         return got
 
     def encode_whole(self, text: str) -> bytes:
@@ -116,15 +121,13 @@ class WordTokenizer:
         if not self.by_word:
             yield from (self.encode_whole(t) for t in texts.to_pylist())
             return
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces, self.older = {}, self.pieces
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
         odd = pc.match_substring_regex(texts, self.OTHER_SPACE)
         split = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
         ends, coded = split.offsets.to_numpy() - split.offsets[0].as_py(), split.flatten().dictionary_encode()
-        get, learn = self.words.get, self._word
-        known = [get(w) or learn(w) for w in coded.dictionary.to_pylist()]
+        get, learn = self.known.get, self._word
+        known = [get(w) or learn(w) for w in coded.dictionary.to_numpy(zero_copy_only=False)]
         all_ids, code = np.frombuffer(b"".join(known), "<u4"), coded.indices.to_numpy()
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         begin, each = (np.cumsum(size) - size)[code], size[code]
@@ -306,14 +309,18 @@ def _checked(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": rows["key"], "size": rows["n"], "crc": np.array(crcs, np.int64)})
 
 
+def _check_root(keys: list[bytes], root: bytes) -> None:
+    if merkle_root(keys) != bytes(root):
+        raise ValueError("a recipe doesn't match its root")
+
+
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     """Recipes whose chunk keys match their Merkle root; any other raises."""
 
     @F.pandas_udf("boolean")
     def sound(keys: pd.Series, roots: pd.Series) -> pd.Series:
         for k, r in zip(keys, roots, strict=True):
-            if merkle_root([bytes(x) for x in k]) != bytes(r):
-                raise ValueError("a recipe doesn't match its root")
+            _check_root([bytes(x) for x in k], r)
         return pd.Series([True] * len(keys))
 
     return spark.read.parquet(f"{path}/recipes").filter(sound("keys", "root"))
@@ -323,20 +330,23 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, n_chunks) of every document, from the files.
 
     Each stored chunk is read and checked once; a document's CRC-32 is put together from
-    those of its chunks, so no ids are shuffled.
+    those of its chunks, so no ids are shuffled.  Recipes are checked as by ``read_recipes``,
+    but where their parts are made: one worker a task, keys sent to it once.
     """
     chunks = spark.read.schema(OBJECTS).parquet(f"{path}/objects").filter("kind = 'c'").select("key", "width", "n", "body")
     chunks = chunks.mapInPandas(lambda it: map(_checked, it), "key binary, size long, crc long")
 
     @F.pandas_udf("array<struct<key: binary, here: long, after: long>>")
-    def parts_of(keys: pd.Series, sizes: pd.Series) -> pd.Series:
+    def parts_of(keys: pd.Series, sizes: pd.Series, roots: pd.Series) -> pd.Series:
         out = []
-        for k, n in zip(keys, sizes, strict=True):
-            n = np.asarray(n, np.int64)
-            out.append([{"key": bytes(x), "here": int(h), "after": int(4 * a)} for x, h, a in zip(k, n, n.sum() - n.cumsum(), strict=True)])
+        for k, n, root in zip(keys, sizes, roots, strict=True):
+            k, n = [bytes(x) for x in k], np.asarray(n, np.int64)
+            _check_root(k, root)
+            out.append([{"key": x, "here": h, "after": a} for x, h, a in zip(k, n.tolist(), (4 * (n.sum() - n.cumsum())).tolist(), strict=True)])
         return pd.Series(out)
 
-    parts = read_recipes(spark, path).select("doc_id", "start", "n_tokens", F.explode(parts_of("keys", "sizes")).alias("p")).select("doc_id", "start", "n_tokens", "p.*")
+    recipes = spark.read.parquet(f"{path}/recipes")
+    parts = recipes.select("doc_id", "start", "n_tokens", F.explode(parts_of("keys", "sizes", "root")).alias("p")).select("doc_id", "start", "n_tokens", "p.*")
 
     @F.pandas_udf("long")
     def shifted(crc: pd.Series, n_bytes: pd.Series) -> pd.Series:

@@ -84,3 +84,31 @@ def test_rolling_hash_covers_a_window():
     a, b = rng.integers(0, 49408, 5000).astype("<u4"), rng.integers(0, 49408, 700).astype("<u4")
     ends = lambda ids: {tuple(ids[max(0, e - ts.WINDOW) : e].tolist()) for e in ts.cuts(ids)[:-1]}
     assert len(ends(np.concatenate([b, a])) & ends(a)) >= 3  # cuts are found again behind another beginning
+
+
+def test_a_remembered_word_is_not_taken_apart_again(monkeypatch):
+    tok, taken = ts.WordTokenizer(PATH), []
+
+    class Pieces:
+        def findall(self, word, pattern=tok.PIECES):
+            taken.append(word)
+            return pattern.findall(word)
+
+    monkeypatch.setattr(ts, "CACHE_WORDS", 1)
+    tok.PIECES = Pieces()
+    texts = ["Ab-c1, plain", "Ab-c1, 'LL", "Ab-c1, é9! x"]
+    got = [tok.encode(t) for t in texts]
+    assert got == [tok.encode_whole(t) for t in texts]
+    assert taken.count("ab-c1,") == 1
+
+
+def test_recipes_are_checked_in_the_worker_that_makes_their_parts(spark, tmp_path):
+    path = str(tmp_path / "store")
+    ts.write_store(odd_documents(spark), PATH, path)
+    plan = ts.read_digests(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # the parts, and after a shuffle the sums
+    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes.withColumn("root", F.unhex(F.sha2("root", 256))).write.parquet(str(tmp_path / "bad/recipes"))
+    spark.read.parquet(f"{path}/objects").write.parquet(str(tmp_path / "bad/objects"))
+    with pytest.raises(Exception, match="match its root"):
+        ts.read_digests(spark, str(tmp_path / "bad")).collect()
