@@ -98,6 +98,11 @@ def _token_rows(size: int):
     return run
 
 
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``verified`` pairs, written: a task of ``components`` that checked them, too, would have two workers."""
+    return written(sj.verified(pairs, sets), "links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id), the smallest id that links
     reach.
@@ -131,7 +136,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
     sets = sj.wanted_sets(texts.mapInArrow(_token_rows(size), sj.TOKENS), names, False)
 
-    links = sj.verified(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = _links(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
     joined = components(links)
 
     def settle(links: DataFrame | None) -> DataFrame:
@@ -141,7 +146,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             joined = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
         return joined.select(F.col("node").alias("name"), F.col("root").alias("state"))
 
-    sj.rounds(live, pairs, sets, lambda new: sj.verified(new, sets), settle, True)
+    sj.rounds(live, pairs, sets, lambda new: _links(new, sets), settle, True)
     linked = joined.select(F.col("node").alias("name"), "root").unionByName(joined.select(F.col("root").alias("name"), "root").distinct())
     inside = written(linked.join(named, "name"), "linked")
     classes = inside.groupBy("root").agg(F.min("doc_id").alias("component_id"))

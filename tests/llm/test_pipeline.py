@@ -79,7 +79,7 @@ def test_a_task_has_one_worker(spark, sf_dir):
     sets = near.nj._token_rows(5)
     sets = cp.written(docs.select("doc_id", "text").mapInArrow(sets, sj.TOKENS).dropDuplicates(["name"]), "sets")
     pairs = sets.select(lines.ld.F.col("name").alias("a")).crossJoin(sets.select(lines.ld.F.col("name").alias("b"))).filter("a < b")
-    links = sj.verified(pairs, sets)
+    links = near.nj._links(pairs, sets)
     assert links.count() > 0 and "Python" not in plan(links)
     sources = mixing.source_table(spark, [(0, "a", 5, 2.5, 1), (1, None, 7, 9.5, 1)])
     assert [tuple(r) for r in sources.collect()] == [(0, "a", 5, 2.5, 1), (1, None, 7, 9.5, 1)]
