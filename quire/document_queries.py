@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from quire.operators import markup, raster, tables
-from quire.plans import layout, virtual
 from quire.queries import LINES, WORDS, docs, query, table
 from quire.sources import relations
 from quire.streaming import documents as streaming
@@ -15,7 +14,7 @@ from quire.streaming import documents as streaming
 
 def files(spark, sf_dir):
     """Every document's virtual pages as a document in bytes."""
-    return relations.written_documents(virtual.lines(docs(spark, sf_dir)))
+    return relations.written_documents(docs(spark, sf_dir))
 
 
 @query(f"WITH {LINES} SELECT doc_id, '1.7' AS version, CAST(max(page_no) + 1 AS INT) AS page_count, CAST(1 AS INT) AS revisions, FALSE AS is_repaired FROM lines GROUP BY doc_id")
@@ -25,13 +24,12 @@ def document_open(spark, sf_dir):
 
 @query(f"WITH {LINES} SELECT doc_id, page_no, string_agg(text, '' ORDER BY r) AS text FROM lines WHERE text <> '' GROUP BY doc_id, page_no")
 def document_text(spark, sf_dir):
-    g = relations.relation(files(spark, sf_dir), "glyphs")
-    return g.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "unicode"))), lambda s: s["unicode"]), "").alias("text"))
+    return relations.relation(files(spark, sf_dir), "texts")
 
 
 @query(f"WITH {WORDS} SELECT doc_id, page_no, word, round(x0, 3) AS x0, round(y1, 3) AS y1 FROM words")
 def document_words(spark, sf_dir):
-    w = layout.words(relations.relation(files(spark, sf_dir), "glyphs"))
+    w = relations.relation(files(spark, sf_dir), "words")
     return w.select("doc_id", "page_no", "word", F.round("x0", 3).alias("x0"), F.round("y1", 3).alias("y1"))
 
 

@@ -10,10 +10,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from quire.plans import arrow, layout, virtual
 from quire.sources import document as dc
 from quire.sources import inventory
 from quire.sources.syntax import Name, Ref, Stream, write
@@ -27,7 +31,13 @@ SCHEMAS = {
     "toc": "doc_id long, ord int, level int, title string, page int",
     "links": "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double, uri string",
     "diagnostics": "doc_id long, offset long, kind string, detail string",
+    "texts": "doc_id long, page_no int, text string",
+    "words": "doc_id long, page_no int, line_no int, word_no int, word string, x0 double, y0 double, x1 double, y1 double",
 }
+#: Of the rows of a virtual page, from the bottom.
+BASELINES = [virtual.HEIGHT - (virtual.MARGIN + k * virtual.LEADING) - 0.75 * virtual.SIZE for k in range(virtual.ROWS)]
+#: Rows of a batch, and documents' bytes and glyphs after which one is given out.
+BATCH_ROWS, BATCH_BYTES, BATCH_GLYPHS = 10_000, 4 << 20, 1 << 18
 
 
 def _plain(value):
@@ -77,19 +87,6 @@ def _on_device(d, page):
     return lambda x, y: {0: (x - c[0], c[3] - y), 90: (y - c[1], x - c[0]), 180: (c[2] - x, y - c[1]), 270: (h - (y - c[1]), w - (x - c[0]))}.get(rotate, (x - c[0], c[3] - y)), c
 
 
-def _glyphs(i, d):
-    for k, (_, page) in enumerate(d.pages()):
-        to, c = _on_device(d, page)
-        seq = 0
-        for g in dc.interpret(d, page)[0]:
-            if not (c[0] - 1 <= g.x <= c[2] + 1 and c[1] - 1 <= g.y <= c[3] + 1):
-                continue
-            (ax, ay), (bx, by) = to(g.x, g.y - 0.25 * g.size), to(g.x + g.advance, g.y + 0.75 * g.size)
-            ox, oy = to(g.x, g.y)
-            yield i, k, seq, g.unicode, ox, oy, min(ax, bx), min(ay, by), max(ax, bx), max(ay, by), g.size, g.font
-            seq += 1
-
-
 def _rects(i, d):
     for k, (_, page) in enumerate(d.pages()):
         to, _ = _on_device(d, page)
@@ -118,33 +115,168 @@ def _diagnostics(i, d):
         yield i, offset, kind, detail
 
 
-MAKERS: dict[str, Callable] = {"documents": _documents, "pages": _pages, "objects": _objects, "glyphs": _glyphs, "rects": _rects, "toc": _toc, "links": _links, "diagnostics": _diagnostics}
+MAKERS: dict[str, Callable] = {"documents": _documents, "pages": _pages, "objects": _objects, "rects": _rects, "toc": _toc, "links": _links, "diagnostics": _diagnostics}
 
 for _name, (_make, _schema) in inventory.RELATIONS.items():
     MAKERS[_name], SCHEMAS[_name] = _make, _schema
 
 
+class _Glyphs:
+    """The glyphs of the pages of some documents within their crop boxes, in arrays: ``page``
+    is a glyph's place in ``pages`` (doc_id, page_no), ``seq`` its number on its page."""
+
+    def __init__(self):
+        self.pages: list[tuple] = []
+        self.runs: list[dc.Run] = []
+        self.of: list[int] = []
+        self.to: list[tuple] = []
+        self.count = 0
+
+    def add(self, i, d: dc.Document) -> None:
+        found = [(k, d.boxes(page), dc.runs(d, page)[0]) for k, (_, page) in enumerate(d.pages())]
+        for k, (_, c, rotate), shown in found:
+            w, h = c[2] - c[0], c[3] - c[1]
+            to = {90: (0, 1, -c[1], 1, 0, -c[0]), 180: (-1, 0, c[2], 0, 1, -c[1]), 270: (0, -1, h + c[1], -1, 0, w + c[0])}.get(rotate, (1, 0, -c[0], 0, -1, c[3]))
+            self.of += [len(self.pages)] * len(shown)
+            self.to.append((*to, c[0] - 1, c[1] - 1, c[2] + 1, c[3] + 1))
+            self.pages.append((i, k))
+            self.runs += shown
+            self.count += sum(len(r.chars) for r in shown)
+
+    def all_inside(self) -> bool:
+        """Whether the ends of all runs, and so all their glyphs, are within the crop boxes."""
+        boxes = np.array([t[6:] for t in self.to], float).reshape(-1, 4)[np.array(self.of, np.int64)]
+        for low, high, at, by in ((0, 2, "x", "ux"), (1, 3, "y", "uy")):
+            begin, step = (np.array([getattr(r, name) for r in self.runs], float) for name in (at, by))
+            for far in (0.0, np.array([(len(r.chars) - 1) * r.t if isinstance(r.t, float) else r.t.max() for r in self.runs]), np.array([0.0 if isinstance(r.t, float) else r.t.min() for r in self.runs])):
+                v = begin + far * step
+                if not ((boxes[:, low] <= v) & (v <= boxes[:, high])).all():
+                    return False
+        return True
+
+    def place(self) -> None:
+        runs, n = self.runs, np.array([len(r.chars) for r in self.runs], np.int64)
+        of = np.repeat(np.arange(len(runs)), n)
+        even = lambda name: np.array([v if isinstance(v := getattr(r, name), float) else np.nan for r in runs], float)
+        k = arrow.ranges(np.zeros(len(runs), np.int64), n)
+        t, advance = k * even("t")[of], even("advance")[of]
+        first = np.cumsum(n) - n
+        for j, r in enumerate(runs):
+            for name, all_ in (("t", t), ("advance", advance)):
+                if not isinstance(v := getattr(r, name), float):
+                    all_[first[j] : first[j] + n[j]] = v
+        one = lambda name: np.array([getattr(r, name) for r in runs], float)[of]
+        x, y, size = one("x") + t * one("ux"), one("y") + t * one("uy"), one("size")
+        page = np.array(self.of, np.int64)[of]
+        to = np.array(self.to, float).reshape(-1, 10)
+        if all(isinstance(r.chars, str) for r in runs):
+            data = np.frombuffer("".join([r.chars for r in runs]).encode("utf-8", "replace"), np.uint8)
+            ends = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        else:
+            chars = [c.encode("utf-8", "replace") for r in runs for c in r.chars]
+            data, ends = np.frombuffer(b"".join(chars), np.uint8), np.append(0, np.cumsum([len(c) for c in chars]))
+        inside = np.ones(len(x), bool)
+        for v, low, high in ((x, 6, 8), (y, 7, 9)):
+            inside &= (to[page, low] <= v) & (v <= to[page, high])
+        if not inside.all():
+            kept, width = np.flatnonzero(inside), np.diff(ends)
+            data = data[arrow.ranges(ends[kept], width[kept])]
+            ends = np.append(0, np.cumsum(width[kept]))
+            x, y, size, page, advance, of = (v[kept] for v in (x, y, size, page, advance, of))
+        self.data, self.ends, self.page, self.size, self.run_of = data, ends, page, size, of
+        first = np.searchsorted(page, np.arange(len(self.pages) + 1))
+        self.first = first
+        self.seq = np.arange(len(page)) - first[page]
+        a, b, c, d, e, f = (to[:, j][page] for j in range(6)) if len(to) else np.zeros((6, 0))
+        on = lambda x, y: ((a * x + b * y + c), (d * x + e * y + f))
+        (ax, ay), (bx, by) = on(x, y - 0.25 * size), on(x + advance, y + 0.75 * size)
+        self.ox, self.oy = on(x, y)
+        self.x0, self.y0, self.x1, self.y1 = np.minimum(ax, bx), np.minimum(ay, by), np.maximum(ax, bx), np.maximum(ay, by)
+
+    def ids(self, pages: np.ndarray) -> dict:
+        ids = np.array(self.pages, np.int64).reshape(-1, 2)[pages]
+        return {"doc_id": ids[:, 0], "page_no": ids[:, 1].astype(np.int32)}
+
+    def unicode(self) -> pa.Array:
+        return arrow.strings(self.data, self.ends)
+
+
+def _glyphs(g: _Glyphs) -> dict:
+    g.place()
+    font = pa.array([r.font for r in g.runs], pa.string()).take(pa.array(g.run_of))
+    return g.ids(g.page) | {"seq": g.seq.astype(np.int32), "unicode": g.unicode(), "ox": g.ox, "oy": g.oy, "x0": g.x0, "y0": g.y0, "x1": g.x1, "y1": g.y1, "size": g.size, "font": font}
+
+
+def _texts(g: _Glyphs) -> dict:
+    """The glyphs of a page in paint order as one string; a page without glyphs has none."""
+    if g.all_inside():
+        texts: dict[int, list[str]] = {}
+        for page, r in zip(g.of, g.runs, strict=True):
+            texts.setdefault(page, []).append(r.chars if isinstance(r.chars, str) else "".join(r.chars))
+        joined = pa.array(["".join(t).encode("utf-8", "replace") for t in texts.values()], pa.binary()).cast(pa.string())
+        return g.ids(np.array(list(texts), np.int64)) | {"text": joined}
+    g.place()
+    pages = np.flatnonzero(np.diff(g.first))
+    return g.ids(pages) | {"text": arrow.strings(g.data, np.append(g.ends[g.first[pages]], len(g.data)))}
+
+
+def _words(g: _Glyphs) -> dict:
+    g.place()
+    page, made = layout.words_of(g.page, g.seq, g.unicode(), g.ox, g.oy, g.x0, g.y0, g.x1, g.y1, g.size)
+    return g.ids(page) | made
+
+
+GLYPH_MAKERS: dict[str, Callable[[_Glyphs], dict]] = {"glyphs": _glyphs, "texts": _texts, "words": _words}
+
+
 def relation(files: DataFrame, name: str, id_col: str = "doc_id", content_col: str = "content", mode: str = "lenient") -> DataFrame:
     """A relation of ``SCHEMAS`` from documents in a binary column; null contents give none.
 
     mode ``strict`` raises at the first fault instead of mending it.
     """
-    make, schema = MAKERS[name], SCHEMAS[name]
-    columns = [c.split()[0] for c in schema.replace("map<string,string>", "map").split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i, content in zip(batch["i"], batch["c"], strict=True):
-                try:
-                    rows = list(make(i, dc.Document(bytes(content), strict=mode == "strict")))
-                except Exception as e:
-                    if mode == "strict":
-                        raise
-                    rows = [(i, 0, "unreadable", f"{type(e).__name__}: {e}")] if name == "diagnostics" else []
-                for a in range(0, len(rows), 10000):
-                    yield pd.DataFrame(rows[a : a + 10000], columns=columns)
-
-    return files.select(F.col(id_col).cast("long").alias("i"), F.col(content_col).alias("c")).filter("c is not null").mapInPandas(run, schema)
+    make, schema = MAKERS.get(name), StructType.fromDDL(SCHEMAS[name])
+    fields = to_arrow_schema(schema)
+
+    def contents(batch: pa.RecordBatch):
+        return ((i, c.as_py()) for i, c in zip(batch.column("i").to_pylist(), batch.column("c"), strict=True))
+
+    def opened(i, content, use):
+        try:
+            return use(i, dc.Document(content, strict=mode == "strict"))
+        except Exception as e:
+            if mode == "strict":
+                raise
+            return [(i, 0, "unreadable", f"{type(e).__name__}: {e}")] if name == "diagnostics" else []
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([list(v.items()) for v in c] if pa.types.is_map(f.type) else c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    def by_row(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for i, content in contents(batch):
+            found = opened(i, content, lambda i, d: list(make(i, d)))
+            held += len(content) if found else 0
+            for a in range(0, len(found), BATCH_ROWS):
+                rows += found[a : a + BATCH_ROWS]
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield table(rows)
+                    rows, held = [], 0
+        if rows:
+            yield table(rows)
+
+    def by_glyph(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        g = _Glyphs()
+        for i, content in contents(batch):
+            opened(i, content, g.add)
+            if g.count >= BATCH_GLYPHS:
+                yield arrow.batch(GLYPH_MAKERS[name](g))
+                g = _Glyphs()
+        if g.count:
+            yield arrow.batch(GLYPH_MAKERS[name](g))
+
+    rows = files.select(F.col(id_col).cast("long").alias("i"), F.col(content_col).alias("c")).filter("c is not null")
+    return arrow.mapped(rows, by_glyph if name in GLYPH_MAKERS else by_row, schema)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -153,16 +285,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
 
-def written_documents(lines: DataFrame) -> DataFrame:
-    """(doc_id, content): a document of each doc_id's laid-out lines (page_no, row, text, y0)."""
-    by_page = lines.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("row", "text", "x0", "y0"))).alias("ls"))
-    by_doc = by_page.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "ls"))).alias("ps"))
+def written_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, content): a document of each text's virtual pages (doc_id, text)."""
+
+    dealt = docs.repartition("doc_id")  # a file may be one task's, and documents take long
 
-    @F.pandas_udf("binary")
-    def make(docs: pd.Series) -> pd.Series:
-        return pd.Series([dc.from_pages([[(r["x0"], 792 - r["y0"] - 8.25, r["text"]) for r in p["ls"] if r["text"]] for p in ps]) for ps in docs])
+    def make(y: virtual.Layout):
+        first, texts = np.flatnonzero(y.n == 0), y.texts().to_pylist()
+        out = []
+        for a, b in zip(first, np.append(first[1:], len(texts)), strict=True):
+            out.append(dc.from_pages([[(virtual.MARGIN, BASELINES[k], t) for k, t in enumerate(texts[at : min(at + virtual.ROWS, b)]) if t] for at in range(a, b, virtual.ROWS)]))
+        return y.doc[first], {"content": pa.array(out, pa.binary())}
 
-    return by_doc.select("doc_id", make("ps").alias("content"))
+    return virtual.laid_out(dealt, "content binary", make)
 
 
 __all__ = ["MAKERS", "SCHEMAS", "read", "relation", "write", "written_documents"]
