@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -143,19 +144,24 @@ def html_text(spark, sf_dir):
     return p.select("page_id", markup.html_to_text("html").alias("t")).select("page_id", "t.text", F.size("t.links").alias("n_links"))
 
 
+def streamed(spark, sf_dir, name):
+    """A table as a stream, whether it is one file or a folder of files: the path is a pattern
+    of one name, as a path proper would have to be a folder."""
+    plain = re.sub(r"([\\{}\[\]*?])", r"\\\1", sf_dir)
+    return streaming.stream(spark, f"{plain}/{name}.parque[t]", table(spark, sf_dir, name).schema, None)
+
+
 @query(f"WITH {WORDS} SELECT doc_id, count(*) AS n_words FROM words GROUP BY doc_id")
 def stream_words(spark, sf_dir):
     """Words of a stream of documents, counted as they come."""
-    schema = table(spark, sf_dir, "documents").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    source = streamed(spark, sf_dir, "documents")
     counts = streaming.word_stream(source.select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n_words"))
     return streaming.drained(counts, f"words_{uuid.uuid4().hex[:8]}", "complete")
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def stream_event_windows(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    source = streamed(spark, sf_dir, "events")
     source = source.withColumn("ts", F.col("ts").cast("timestamp"))
     out = streaming.drained(streaming.event_counts(source), f"events_{uuid.uuid4().hex[:8]}", "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))

@@ -10,8 +10,10 @@ from quire.plans import virtual
 from quire.sources import relations
 
 
-def stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 16) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = 16) -> DataFrame:
+    """Rows of the files at a path, so many files at a time, or all of them at once."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def word_stream(docs: DataFrame) -> DataFrame:
