@@ -4,40 +4,63 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from quire.plans import arrow
 
 #: Most tokens that the order and edit scores look at.
 TOKEN_CAP = 50_000
 
 
-def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+_BLANKS = str.maketrans("\t\n\f\r", "    ")
+
 
+def token_list(text: str | None) -> list[str]:
+    """Lower-case pieces between white space (space, tab, line and form feed, carriage return);
+    each letter has its lower case whatever stands beside it."""
+    low = (text or "").replace("\u0130", "i").replace("\u03a3", "\u03c3").lower()
+    return [t for t in low.translate(_BLANKS).split(" ") if t]
 
-def token_list(text: Column) -> Column:
-    return F.filter(F.split(F.lower(squeezed(text)), " "), lambda t: t != "")
+
+SCORES = "n_hyp long, n_ref long, precision double, recall double, f1 double, jaccard double"
 
 
 def content_scores(pairs: DataFrame) -> DataFrame:
     """(id, n_hyp, n_ref, precision, recall, f1, jaccard) of ``pairs`` (id, hyp, ref).
 
-    Multiset overlap of tokens: counts by token are summed before anything is joined, so
-    one shuffle by (id, token) and one by id do it.  Two empty texts score 1.
+    Multiset overlap of tokens, counted where the two texts have met: no token is shuffled.
+    Two empty texts score 1.
     """
-    side = lambda c, h, r: pairs.select("id", F.explode(token_list(F.col(c))).alias("t"), F.lit(h).alias("h"), F.lit(r).alias("r"))
-    counts = side("hyp", 1, 0).unionByName(side("ref", 0, 1)).groupBy("id", "t").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    sums = counts.groupBy("id").agg(F.sum("h").alias("n_hyp"), F.sum("r").alias("n_ref"), F.sum(F.least("h", "r")).alias("both"), F.count_if((F.col("h") > 0) & (F.col("r") > 0)).alias("shared"), F.count("*").alias("kinds"))
-    out = pairs.select("id").join(sums, "id", "left").fillna(0)
-    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    empty = (F.col("n_hyp") == 0) & (F.col("n_ref") == 0)
-    one = lambda c: F.when(empty, F.lit(1.0)).otherwise(c)
-    return out.select(
-        "id", "n_hyp", "n_ref", one(ratio("both", "n_hyp")).alias("precision"), one(ratio("both", "n_ref")).alias("recall"),
-        one(F.when(F.col("both") > 0, 2 * F.col("both") / (F.col("n_hyp") + F.col("n_ref"))).otherwise(F.lit(0.0))).alias("f1"), one(ratio("shared", "kinds")).alias("jaccard"),
-    )
+
+    def scores(hyp: str | None, ref: str | None) -> tuple:
+        h, r = Counter(token_list(hyp)), Counter(token_list(ref))
+        n_hyp, n_ref = h.total(), r.total()
+        if not n_hyp and not n_ref:
+            return 0, 0, 1.0, 1.0, 1.0, 1.0
+        if len(h) > len(r):
+            common = [(c, h[t]) for t, c in r.items() if t in h]
+        else:
+            common = [(c, r[t]) for t, c in h.items() if t in r]
+        both = sum(map(min, common))
+        ratio = lambda a, b: a / b if b else 0.0
+        return n_hyp, n_ref, ratio(both, n_hyp), ratio(both, n_ref), 2 * both / (n_hyp + n_ref), len(common) / (len(h) + len(r) - len(common))
+
+    schema = StructType([pairs.schema["id"], *StructType.fromDDL(SCORES).fields])
+    kinds = [pa.int64()] * 2 + [pa.float64()] * 4
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        columns = zip(*(scores(h.as_py(), r.as_py()) for h, r in zip(batch.column("hyp"), batch.column("ref"), strict=True)), strict=True)
+        made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
+        if made:
+            yield arrow.batch(dict(zip(schema.names, [batch.column("id"), *made], strict=True)))
+
+    return arrow.mapped(pairs.select("id", "hyp", "ref"), run, schema)
 
 
 def word_jaccard(a: Column, b: Column) -> Column:
@@ -92,7 +115,7 @@ def aggregate(scores: DataFrame, by: str, metrics: list[str]) -> DataFrame:
 
 def head_to_head(scores: DataFrame, metric: str, a: str, b: str) -> DataFrame:
     """Counts of documents that both extractors scored, by who did better."""
-    both = scores.filter(F.col("extractor").isin(a, b)).groupBy("id").agg(F.max(F.when(F.col("extractor") == a, F.col(metric))).alias("a"), F.max(F.when(F.col("extractor") == b, F.col(metric))).alias("b")).dropna()
+    both = scores.filter(F.col("extractor").isin(a, b)).groupBy("id").agg(F.max(F.when(F.col("extractor") == a, F.col(metric))).alias("a"), F.max(F.when(F.col("extractor") == b, F.col(metric))).alias("b")).filter("a is not null and b is not null")
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("a") >= F.col("b")).alias("at_least"), F.count_if(F.col("a") > F.col("b")).alias("wins"), F.count_if(F.col("a") < F.col("b")).alias("losses"))
 
 
@@ -101,12 +124,12 @@ def worst(scores: DataFrame, metric: str, k: int) -> DataFrame:
 
 
 def causes(scores: DataFrame) -> DataFrame:
-    """Count and three examples by reason; examples are the smallest ids."""
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("reason").orderBy("id"))
-    few = scores.withColumn("_k", first).filter("_k <= 3").groupBy("reason").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("examples"))
-    return scores.groupBy("reason").agg(F.count("*").alias("n")).join(few, "reason")
+    """Count and three examples by reason; examples are the smallest ids.  Each of many parts
+    of the ids gives its own three first, so no task sorts all ids of a reason."""
+    first = lambda ids: F.slice(F.sort_array(ids), 1, 3)
+    parts = scores.groupBy("reason", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("_part")).agg(F.count("*").alias("_n"), first(F.collect_list("id")).alias("_ids"))
+    examples = F.array_join(F.transform(first(F.flatten(F.collect_list("_ids"))), lambda i: i.cast("string")), ",")
+    return parts.groupBy("reason").agg(F.sum("_n").alias("n"), examples.alias("examples"))
 
 
 def rates(records: DataFrame, by: str, flags: dict[str, Column], value: str, limits: tuple[float, ...]) -> DataFrame:
