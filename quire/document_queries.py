@@ -58,30 +58,32 @@ ITEMS = "item AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l
 
 
 def ruled(spark, sf_dir):
-    """(rules in pieces, words) of the tables."""
-    from pyspark.sql import Window
-
+    """(doc_id, page_no, rects, words): the rules in pieces and the words of the tables."""
     li = table(spark, sf_dir, "lineitem")
-    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")) - 1
-    item = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), r.alias("r"), F.array(F.col("l_partkey").cast("string"), F.concat(F.lit("x|"), F.col("l_suppkey")), F.concat("l_returnflag", "l_linestatus")).alias("t"))
-    y = F.lit(100.0) + F.col("r") * 20
-    box = lambda x0, y0, x1, y1: F.struct(F.lit(x0).cast("double").alias("x0"), y0.alias("y0"), F.lit(x1).cast("double").alias("x1"), y1.alias("y1"))
-    pieces = [box(100 + 100 * k, y - 0.5, 200 + 100 * k, y + 0.5) for k in range(3)] + [box(100 + 100 * k, y + 19.5, 200 + 100 * k, y + 20.5) for k in range(3)] + [box(99.5 + 100 * k, y, 100.5 + 100 * k, y + 20) for k in range(4)]
-    rects = item.select("doc_id", "page_no", F.explode(F.array(*pieces)).alias("b")).select("doc_id", "page_no", "b.*")
-    words = item.select("doc_id", "page_no", "r", F.posexplode("t").alias("c", "word"))
-    x = F.lit(105.0) + F.col("c") * 100
-    words = words.select("doc_id", "page_no", "word", x.alias("x0"), (F.lit(104.0) + F.col("r") * 20).alias("y0"), (x + 40).alias("x1"), (F.lit(115.0) + F.col("r") * 20).alias("y1"))
-    return rects, words
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    rows = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(item)).alias("rows"))
+    box = lambda x0, y0, x1, y1, *more: F.struct(*more, F.lit(float(x0)).alias("x0"), y0.alias("y0"), F.lit(float(x1)).alias("x1"), y1.alias("y1"))
+
+    def pieces(_, r):
+        y = F.lit(100.0) + r * 20
+        across = [box(100 + 100 * k, y + d - 0.5, 200 + 100 * k, y + d + 0.5) for d in (0, 20) for k in range(3)]
+        return F.array(*across, *(box(99.5 + 100 * k, y, 100.5 + 100 * k, y + 20) for k in range(4)))
+
+    def words(s, r):
+        y = F.lit(104.0) + r * 20
+        texts = s["l_partkey"].cast("string"), F.concat(F.lit("x|"), s["l_suppkey"].cast("string")), F.concat(s["l_returnflag"], s["l_linestatus"])
+        return F.array(*(box(105 + 100 * k, y, 145 + 100 * k, y + 11, t.alias("word")) for k, t in enumerate(texts)))
+
+    return rows.select("doc_id", F.lit(0).alias("page_no"), F.flatten(F.transform("rows", pieces)).alias("rects"), F.flatten(F.transform("rows", words)).alias("words"))
 
 
 def filled(spark, sf_dir):
-    rects, words = ruled(spark, sf_dir)
-    return tables.texts(tables.grid(tables.cells(tables.edges(rects))), words)
+    return tables.filled(ruled(spark, sf_dir))
 
 
 @query(f"WITH {ITEMS} SELECT doc_id, CAST(r AS INT) AS row_no, CAST(k AS INT) AS col_no, CASE k WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS text, CAST(1 AS INT) AS row_span, CAST(1 AS INT) AS col_span FROM item, (VALUES (0), (1), (2)) AS t(k)")
 def table_cells(spark, sf_dir):
-    return filled(spark, sf_dir).select("doc_id", F.col("row").alias("row_no"), F.col("col").alias("col_no"), "text", "row_span", "col_span")
+    return tables.cells(filled(spark, sf_dir)).select("doc_id", F.col("row").alias("row_no"), F.col("col").alias("col_no"), "text", "row_span", "col_span")
 
 
 @query(f"WITH {ITEMS}, l AS (SELECT doc_id, r, '|' || a || '|' || replace(b, '|', '\\|') || '|' || c || '|' || chr(10) || CASE WHEN r = 0 THEN '|---|---|---|' || chr(10) ELSE '' END AS t FROM item) SELECT doc_id, string_agg(t, '' ORDER BY r) AS out FROM l GROUP BY doc_id")
@@ -103,7 +105,7 @@ def table_from_html(spark, sf_dir):
 
 @query(f"WITH {ITEMS}, n AS (SELECT doc_id, max(r) + 1 AS n FROM item GROUP BY doc_id) SELECT doc_id, 'h' AS dir, CAST(100 + 20 * k AS DOUBLE) AS pos, CAST(100 AS DOUBLE) AS lo, CAST(400 AS DOUBLE) AS hi FROM n, generate_series(0, 60) AS t(k) WHERE k <= n UNION ALL SELECT doc_id, 'v', 100 + 100 * k, 100, 100 + 20 * n FROM n, generate_series(0, 3) AS t(k)")
 def table_edges(spark, sf_dir):
-    return tables.edges(ruled(spark, sf_dir)[0]).select("doc_id", "dir", "pos", "lo", "hi")
+    return tables.edges(ruled(spark, sf_dir)).select("doc_id", "dir", "pos", "lo", "hi")
 
 
 # --- samples --------------------------------------------------------------------------------
