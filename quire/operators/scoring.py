@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import difflib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quire.operators import matching
 from quire.plans import arrow
 
 #: Most tokens that the order and edit scores look at.
@@ -78,14 +79,21 @@ def sequence_scores(hyp: Column, ref: Column, cap: int | None = None) -> Column:
 
     @F.pandas_udf("lev double, order_score double")
     def run(hyps: pd.Series, refs: pd.Series) -> pd.DataFrame:
-        out = []
-        for h, r in zip(hyps, refs, strict=True):
-            a, b = (h or "").lower().split()[:cap], (r or "").lower().split()[:cap]
-            m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-            shared = sum((Counter(a) & Counter(b)).values())
-            matched = sum(x.size for x in m.get_matching_blocks())
-            out.append((m.ratio() if a or b else 1.0, min(1.0, matched / shared) if shared else 1.0))
-        return pd.DataFrame(out, columns=["lev", "order_score"])
+        number: dict[str, int] = {}
+        sides = []
+        for texts in (hyps, refs):
+            tokens = [(t or "").lower().split()[:cap] for t in texts]
+            ends = np.append(0, np.cumsum([len(t) for t in tokens])).astype(np.int64)
+            sides.append((np.array([number.setdefault(w, len(number)) for t in tokens for w in t], np.int64), ends))
+        (a, a_ends), (b, b_ends) = sides
+        n = np.diff(a_ends) + np.diff(b_ends)
+        found = matching.matched(a, a_ends, b, b_ends)
+        # the common multiset: of each token of a pair the smaller count
+        pair_token = lambda ids, ends: np.unique(np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * max(len(number), 1) + ids, return_counts=True)
+        (ka, ca), (kb, cb) = pair_token(a, a_ends), pair_token(b, b_ends)
+        keys, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+        shared = np.bincount(keys // max(len(number), 1), np.minimum(ca[ia], cb[ib]), len(n))
+        return pd.DataFrame({"lev": np.where(n > 0, 2.0 * found / np.maximum(n, 1), 1.0), "order_score": np.where(shared > 0, np.minimum(1.0, found / np.maximum(shared, 1)), 1.0)})
 
     return run(hyp, ref)
 

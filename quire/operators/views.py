@@ -28,6 +28,25 @@ def text(docs: DataFrame, dehyphenated: bool = False) -> DataFrame:
     return out.withColumn("out", dehyphenate(F.col("out"))) if dehyphenated else out
 
 
+def whole_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, whole): each text with the texts of its pages one after the other; a
+    text without ink has no row, as it has no page."""
+
+    def make(y: virtual.Layout):
+        y.number()
+        k = y.inked
+        size = y.b1[k] - y.b0[k] + 1
+        ends = np.cumsum(size)
+        data = np.full(size.sum(), 10, np.uint8)
+        inner = np.ones(len(data), bool)
+        inner[ends - 1] = False
+        data[inner] = y.data[arrow.ranges(y.b0[k], size - 1)]
+        first = np.flatnonzero(np.diff(y.doc[k], prepend=-1))
+        return y.doc[k][first], {"whole": arrow.strings(data, np.append((ends - size)[first], len(data)))}
+
+    return virtual.laid_out(docs, "whole string", make, kept=("doc_id", "text"))
+
+
 def html(docs: DataFrame) -> DataFrame:
     line = F.concat(F.lit('<p style="top:'), json_number(F.col("y0")), F.lit("pt;left:"), json_number(F.col("x0")), F.lit('pt"><span>'), html_escape(F.col("text")), F.lit("</span></p>\n"))
     return _pages(docs, line, lambda v: v).withColumn("out", F.concat(F.lit('<div style="width:612pt;height:792pt">\n'), "out", F.lit("</div>\n")))
