@@ -143,54 +143,54 @@ class _Glyphs:
             self.runs += shown
             self.count += sum(len(r.chars) for r in shown)
 
+    def measured(self) -> None:
+        """Arrays over the runs; ``uneven`` are those whose glyphs have widths of their own."""
+        even = lambda v: v if isinstance(v, float) else np.nan
+        rows = np.array([(r.x, r.y, r.ux, r.uy, r.size, len(r.chars), even(r.t), even(r.advance)) for r in self.runs], float)
+        self.x, self.y, self.ux, self.uy, self.em, n, self.step, self.advance = rows.reshape(-1, 8).T
+        self.n, self.in_page = n.astype(np.int64), np.array(self.of, np.int64)
+        self.uneven = np.flatnonzero(np.isnan(self.step) | np.isnan(self.advance)).tolist()
+        self.on = np.array(self.to, float).reshape(-1, 10)[self.in_page].T
+
     def all_inside(self) -> bool:
         """Whether the ends of all runs, and so all their glyphs, are within the crop boxes."""
-        boxes = np.array([t[6:] for t in self.to], float).reshape(-1, 4)[np.array(self.of, np.int64)]
-        for low, high, at, by in ((0, 2, "x", "ux"), (1, 3, "y", "uy")):
-            begin, step = (np.array([getattr(r, name) for r in self.runs], float) for name in (at, by))
-            for far in (0.0, np.array([(len(r.chars) - 1) * r.t if isinstance(r.t, float) else r.t.max() for r in self.runs]), np.array([0.0 if isinstance(r.t, float) else r.t.min() for r in self.runs])):
-                v = begin + far * step
-                if not ((boxes[:, low] <= v) & (v <= boxes[:, high])).all():
-                    return False
-        return True
+        low, high = np.zeros(len(self.n)), (self.n - 1) * self.step
+        for j in self.uneven:
+            t = self.runs[j].t
+            low[j], high[j] = (0.0, (self.n[j] - 1) * t) if isinstance(t, float) else (t.min(), t.max())
+        ends = [(v + far * by, k) for far in (low, high) for v, by, k in ((self.x, self.ux, 6), (self.y, self.uy, 7))]
+        return all(((self.on[k] <= v) & (v <= self.on[k + 2])).all() for v, k in ends)
 
     def place(self) -> None:
-        runs, n = self.runs, np.array([len(r.chars) for r in self.runs], np.int64)
+        self.measured()
+        runs, n, x, y, ux, uy, size = self.runs, self.n, self.x, self.y, self.ux, self.uy, self.em
+        a, b, c, d, e, f, *box = self.on
         of = np.repeat(np.arange(len(runs)), n)
-        even = lambda name: np.array([v if isinstance(v := getattr(r, name), float) else np.nan for r in runs], float)
-        k = arrow.ranges(np.zeros(len(runs), np.int64), n)
-        t, advance = k * even("t")[of], even("advance")[of]
-        first = np.cumsum(n) - n
-        for j, r in enumerate(runs):
-            for name, all_ in (("t", t), ("advance", advance)):
-                if not isinstance(v := getattr(r, name), float):
+        t, advance, first = arrow.ranges(np.zeros(len(runs), np.int64), n) * self.step[of], self.advance[of], np.cumsum(n) - n
+        for j in self.uneven:
+            for v, all_ in ((runs[j].t, t), (runs[j].advance, advance)):
+                if not isinstance(v, float):
                     all_[first[j] : first[j] + n[j]] = v
-        one = lambda name: np.array([getattr(r, name) for r in runs], float)[of]
-        x, y, size = one("x") + t * one("ux"), one("y") + t * one("uy"), one("size")
-        page = np.array(self.of, np.int64)[of]
-        to = np.array(self.to, float).reshape(-1, 10)
         if all(isinstance(r.chars, str) for r in runs):
             data = np.frombuffer("".join([r.chars for r in runs]).encode("utf-8", "replace"), np.uint8)
             ends = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         else:
             chars = [c.encode("utf-8", "replace") for r in runs for c in r.chars]
             data, ends = np.frombuffer(b"".join(chars), np.uint8), np.append(0, np.cumsum([len(c) for c in chars]))
-        inside = np.ones(len(x), bool)
-        for v, low, high in ((x, 6, 8), (y, 7, 9)):
-            inside &= (to[page, low] <= v) & (v <= to[page, high])
-        if not inside.all():
-            kept, width = np.flatnonzero(inside), np.diff(ends)
+        if not self.all_inside():
+            on_page = lambda v, step, low, high: (low[of] <= (w := v[of] + t * step[of])) & (w <= high[of])
+            kept, width = np.flatnonzero(on_page(x, ux, box[0], box[2]) & on_page(y, uy, box[1], box[3])), np.diff(ends)
             data = data[arrow.ranges(ends[kept], width[kept])]
             ends = np.append(0, np.cumsum(width[kept]))
-            x, y, size, page, advance, of = (v[kept] for v in (x, y, size, page, advance, of))
-        self.data, self.ends, self.page, self.size, self.run_of = data, ends, page, size, of
-        first = np.searchsorted(page, np.arange(len(self.pages) + 1))
+            t, advance, of = t[kept], advance[kept], of[kept]
+        self.data, self.ends, self.size, self.run_of, self.page = data, ends, size[of], of, self.in_page[of]
+        first = np.searchsorted(self.page, np.arange(len(self.pages) + 1))
         self.first = first
-        self.seq = np.arange(len(page)) - first[page]
-        a, b, c, d, e, f = (to[:, j][page] for j in range(6)) if len(to) else np.zeros((6, 0))
-        on = lambda x, y: ((a * x + b * y + c), (d * x + e * y + f))
-        (ax, ay), (bx, by) = on(x, y - 0.25 * size), on(x + advance, y + 0.75 * size)
-        self.ox, self.oy = on(x, y)
+        self.seq = np.arange(len(of)) - first[self.page]
+        # on the device: the origin, and the corners a quarter of the size below and three above
+        self.ox, self.oy = (a * x + b * y + c)[of] + t * (a * ux + b * uy)[of], (d * x + e * y + f)[of] + t * (d * ux + e * uy)[of]
+        ends_of = lambda o, low, high, by: (o + low[of], o + high[of] + advance * by[of])
+        (ax, bx), (ay, by) = ends_of(self.ox, -0.25 * size * b, 0.75 * size * b, a), ends_of(self.oy, -0.25 * size * e, 0.75 * size * e, d)
         self.x0, self.y0, self.x1, self.y1 = np.minimum(ax, bx), np.minimum(ay, by), np.maximum(ax, bx), np.maximum(ay, by)
 
     def ids(self, pages: np.ndarray) -> dict:
@@ -209,6 +209,7 @@ def _glyphs(g: _Glyphs) -> dict:
 
 def _texts(g: _Glyphs) -> dict:
     """The glyphs of a page in paint order as one string; a page without glyphs has none."""
+    g.measured()
     if g.all_inside():
         texts: dict[int, list[str]] = {}
         for page, r in zip(g.of, g.runs, strict=True):

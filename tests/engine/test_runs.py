@@ -10,7 +10,7 @@ from quire import queries
 from quire.plans import layout
 from quire.sources import document as dc
 from quire.sources import relations
-from quire.sources.syntax import Name, Ref, Stream
+from quire.sources.syntax import Name, Parser, Ref, Stream, write
 
 
 def odd(rotate, body, crop=(0, 0, 300, 400), more=None):
@@ -72,3 +72,9 @@ def test_only_texts_are_dealt_out(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Window" not in plan and "collect_list" not in plan
     assert dq.files(spark, sf_dir).count() == dq.docs(spark, sf_dir).count()
+
+
+def test_names_with_escapes_are_keys():
+    value = {"x y": 1, "A#": Name("b c"), "Plain": {"(": [Name("d"), 2.5]}}
+    assert Parser(write(value)).object() == value
+    assert Parser(b"<</A#20B 1/C(x\\)y(z))>>").object() == {"A B": 1, "C": b"x)y(z)"}
